@@ -274,21 +274,22 @@ def _weighted_ranks(parts: dict[str, tuple[float, bool]]) -> Column:
     return reduce(Column.__add__, terms) * 100
 
 
+def erosion_base(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("segment", "category").agg(
+        A.revenue().alias("revenue"),
+        A.list_revenue().alias("list_revenue"),
+        A.margin_value().alias("gross_margin_value"),
+        A.avg_discount().alias("avg_discount_pct"),
+        A.high_share().alias("high_discount_share"),
+        A.lines().alias("order_lines"),
+        A.margin_pct().alias("margin_proxy_pct"),
+        (A.list_revenue() - A.revenue()).alias("discount_leakage_value"),
+    )
+
+
 def margin_erosion(area: StagingArea, lines: DataFrame) -> DataFrame:
     """Segment by category erosion base with a score blended from peer ranks."""
-    base = area.put(
-        "erosion_base",
-        lines.groupBy("segment", "category").agg(
-            A.revenue().alias("revenue"),
-            A.list_revenue().alias("list_revenue"),
-            A.margin_value().alias("gross_margin_value"),
-            A.avg_discount().alias("avg_discount_pct"),
-            A.high_share().alias("high_discount_share"),
-            A.lines().alias("order_lines"),
-            A.margin_pct().alias("margin_proxy_pct"),
-            (A.list_revenue() - A.revenue()).alias("discount_leakage_value"),
-        ),
-    )
+    base = area.put("erosion_base", erosion_base(lines))
     parts = {
         "avg_discount_pct": (P.EROSION_WEIGHTS["discount"], False),
         "high_discount_share": (P.EROSION_WEIGHTS["high_share"], False),

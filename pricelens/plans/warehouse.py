@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import cached_property
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
 from pricelens import policy as P
-from pricelens.plans import customers, fact, marts, risk
+from pricelens.plans import customers, dashboard, fact, marts, risk
 from pricelens.sources import tpch
 from pricelens.sources.area import StagingArea
 from pricelens.sources.staging import staged_tables
@@ -33,6 +34,13 @@ class Warehouse:
         self.raw = dict(raw)
         self.area = area or StagingArea(spark)
         self.line_policy = line_policy
+        self._kept: dict[str, Any] = {}
+
+    def once(self, name: str, build: Callable[[], Any]) -> Any:
+        """Build something on first use and keep it with the warehouse."""
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str) -> Warehouse:
@@ -75,11 +83,22 @@ class Warehouse:
             "segment_pricing_summary", marts.segment_summary(self.area, self.lines)
         )
 
+    @cached_property
+    def segment_mart(self) -> DataFrame:
+        """Segment summary with population spread."""
+        return self.area.put(
+            "mart_segment_pricing_summary", marts.segment_mart(self.area, self.lines)
+        )
+
+    @cached_property
+    def account_facts(self) -> DataFrame:
+        """Month by dimension facts of the accounts in the review queue."""
+        queue = risk.review_queue(self.scores)
+        return self.area.put("account_facts", dashboard.customer_facts(self.lines, queue))
+
     @cached_property
     def scope_facts(self) -> DataFrame:
         """Month by dimension facts behind every dashboard slice."""
-        from pricelens.plans import dashboard
-
         return self.area.put("scope_facts", dashboard.monthly_facts(self.lines))
 
     def derived_tables(self) -> dict[str, DataFrame]:
