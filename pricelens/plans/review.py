@@ -319,7 +319,7 @@ def score_checks(area: StagingArea, scores: DataFrame) -> DataFrame:
         F.avg(F.when(~low, distance)).alias("high_mean"),
     ).withColumn("m", medians.scalar())
     ordered = F.transform("m", lambda x: x["median_score"])
-    steps = F.transform("m", lambda x: F.format_string("%s:%.2f", x["risk_tier"], x["median_score"]))
+    steps = F.transform("m", lambda x: F.format_string("%s:%.3f", x["risk_tier"], x["median_score"]))
     split = col("low_mean").isNotNull() & col("high_mean").isNotNull()
     return as_rows(
         facts,

@@ -35,7 +35,7 @@ _OVERALL = (
 _QUEUE = (
     "customer_id:i segment:k region:k risk_tier:k main_risk_driver:k recommended_action:k"
     " governance_priority_score:r total_revenue:m revenue_in_scope:m high_discount_revenue:m"
-    " margin_at_risk_revenue:m discount_leakage_value:m priority_value_proxy:m"
+    " margin_at_risk_revenue:m discount_leakage_value:m priority_value_proxy:r"
 )
 _ACCOUNT = (
     "customer_id:i segment:k region:k risk_tier:k main_risk_driver:k recommended_action:k"
@@ -80,7 +80,7 @@ COLUMNS = {
     ),
     "b10_safe_ratio": "customer_id:i margin_or_null:r margin_or_zero:r",
     "b11_rounded_columns": (
-        "segment:k sales_channel:k revenue:r avg_discount_pct:r high_discount_share:r"
+        "segment:k sales_channel:k revenue:m avg_discount_pct:r high_discount_share:r"
         " avg_margin_proxy_pct:r"
     ),
     "b12_tenure_band": "customer_id:i tenure_days:r tenure_band:k",
@@ -185,7 +185,7 @@ COLUMNS = {
     ),
     "d16_product_channel_variance": (
         "product_id:k product_name:k category:k sales_channel:k revenue:m order_lines:i"
-        " avg_discount_pct:r realized_price_mean:m realized_price_std:m"
+        " avg_discount_pct:r realized_price_mean:r realized_price_std:r"
         " price_realization_residual_abs_mean:r price_realization_residual_std:r"
         " realized_price_cv:r"
     ),
