@@ -19,9 +19,12 @@ def clip(value: Column, low: float, high: float) -> Column:
 
 
 def half_even(value: Column, digits: int) -> Column:
-    """Round a double to ``digits`` places, ties to even, by scaling and ``rint``."""
+    """Round a double to ``digits`` places, ties to even, by scaling and ``rint``.
+
+    Adding 0.0 turns a negative zero into zero, so both count as one value.
+    """
     scale = float(10**digits)
-    return F.rint(value * F.lit(scale)) / F.lit(scale)
+    return F.rint(value * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
 def flag(condition: Column) -> Column:

@@ -60,6 +60,8 @@ def running_before(
         ],
     )
     carried = carry_in(staged, group, amounts)
+    if not group:
+        carried = F.broadcast(carried)  # one row per chunk
     keys = [*group, "chunk"]
     return local.join(carried, keys, "left").select(
         *staged.columns,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelens.functions import measures as A
 from pricelens.functions.numeric import ratio
 from pricelens.operators.ordered import previous_value
+from pricelens.plans.fact import labels
 
 col = F.col
 
@@ -57,11 +58,11 @@ def order_stats(ledger: DataFrame) -> DataFrame:
     order pairs; one order makes no pair and counts 0.
     """
     pair = col("high_discount_order") * col("previous_high_discount_order")
-    return (
+    orders = ledger.groupBy("customer_id").agg(F.count_distinct("order_id").alias("total_orders"))
+    shares = (
         order_sequence(ledger)
         .groupBy("customer_id")
         .agg(
-            F.count_distinct("order_id").alias("total_orders"),
             F.avg("discounted_order").alias("share_orders_discounted"),
             F.avg("high_discount_order").alias("share_orders_high_discount"),
             (F.sum(pair) / F.greatest(F.count(F.lit(1)) - 1, F.lit(1))).alias(
@@ -69,19 +70,19 @@ def order_stats(ledger: DataFrame) -> DataFrame:
             ),
         )
     )
+    return orders.join(shares, "customer_id")
 
 
 def profile(lines: DataFrame, ledger: DataFrame) -> DataFrame:
     """One row per transacting customer.
 
-    Line measures and the distinct product count share one scan; order measures come from
-    the ledger. Partial sums keep a customer with a third of all lines out of one task.
+    Line measures, the distinct product count, labels and order measures are aggregates of
+    their own, joined on the customer they are all shuffled by. A shared aggregate would
+    carry every sum through the (customer, product) shuffle of the distinct count. Partial
+    sums keep a customer with a third of all lines out of one task.
     """
     spread = F.stddev_pop("realized_price") / F.nullif(F.avg("realized_price"), F.lit(0.0))
     by_customer = lines.groupBy("customer_id").agg(
-        F.min("segment").alias("segment"),
-        F.min("region").alias("region"),
-        F.min("company_size").alias("company_size"),
         A.lines().alias("total_order_items"),
         A.revenue().alias("total_revenue"),
         A.avg_discount().alias("avg_discount_pct"),
@@ -89,7 +90,6 @@ def profile(lines: DataFrame, ledger: DataFrame) -> DataFrame:
             F.sum(col("discount_depth") * col("line_list_revenue")), A.list_revenue(), 0.0
         ).alias("weighted_discount_pct"),
         F.avg("discounted_flag").alias("share_order_items_discounted"),
-        F.count_distinct("product_id").alias("product_diversity"),
         A.margin_pct(otherwise=0.0).alias("avg_margin_proxy_pct"),
         F.coalesce(spread, F.lit(0.0)).alias("realized_price_cv"),
         F.coalesce(F.avg("abs_price_realization_residual_pct"), F.lit(0.0)).alias(
@@ -105,5 +105,13 @@ def profile(lines: DataFrame, ledger: DataFrame) -> DataFrame:
             "repeat_discount_behavior",
         )
     }
-    joined = by_customer.join(order_stats(ledger), "customer_id", "left")
+    named = labels(lines, "customer_id", "segment", "region", "company_size")
+    range_bought = lines.groupBy("customer_id").agg(
+        F.count_distinct("product_id").alias("product_diversity")
+    )
+    joined = (
+        by_customer.join(named, "customer_id")
+        .join(range_bought, "customer_id")
+        .join(order_stats(ledger), "customer_id", "left")
+    )
     return joined.withColumns(filled).select(*PROFILE_COLUMNS)

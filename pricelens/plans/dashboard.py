@@ -75,8 +75,9 @@ class Scope:
         return chosen
 
 
-def _month() -> Column:
-    return F.date_format("order_month", "yyyy-MM").alias("order_month")
+def _with_month_label(facts: DataFrame) -> DataFrame:
+    """Month dates as 'YYYY-MM', after grouping, so only group rows are formatted."""
+    return facts.withColumn("order_month", F.date_format("order_month", "yyyy-MM"))
 
 
 def additive_lines(lines: DataFrame, line_policy: P.LinePolicy = P.POLICY) -> DataFrame:
@@ -85,21 +86,21 @@ def additive_lines(lines: DataFrame, line_policy: P.LinePolicy = P.POLICY) -> Da
 
 def monthly_facts(lines: DataFrame) -> DataFrame:
     """Additive measures per month and dimension combination."""
-    return (
-        additive_lines(lines)
-        .groupBy(_month(), *P.SCOPE_DIMS)
-        .agg(*[F.sum(name).alias(name) for name in ADDITIVE])
+    sums = [F.sum(name).alias(name) for name in ADDITIVE]
+    return _with_month_label(
+        additive_lines(lines).groupBy("order_month", *P.SCOPE_DIMS).agg(*sums)
     )
 
 
 def customer_facts(lines: DataFrame, chosen: DataFrame) -> DataFrame:
     """Additive measures per month, customer and dimension combination of chosen accounts."""
     kept = additive_lines(lines).join(chosen.select("customer_id"), "customer_id", "left_semi")
-    return kept.groupBy(_month(), "customer_id", *P.SCOPE_DIMS).agg(
+    facts = kept.groupBy("order_month", "customer_id", *P.SCOPE_DIMS).agg(
         F.sum("line_revenue").alias("filtered_revenue"),
         F.sum("line_list_revenue").alias("filtered_list_revenue"),
         F.sum("discount_weighted_num").alias("filtered_discount_num"),
     )
+    return _with_month_label(facts)
 
 
 def kpi_cube(facts: DataFrame) -> DataFrame:

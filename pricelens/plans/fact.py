@@ -42,21 +42,34 @@ ENRICHED_COLUMNS = (
 def enriched(staged: Mapping[str, DataFrame]) -> DataFrame:
     """Order lines with order, customer, product and rep attributes.
 
-    Lines without order, customer or product drop out; a missing rep leaves NULLs. Join
-    strategy is left to the optimizer: it broadcasts a dimension only below its size
-    limit, and adaptive execution splits hot join keys.
+    Lines without order, customer or product drop out; a missing rep leaves NULLs.
+    Customers and reps are joined to the orders first, so only order headers are shuffled
+    by customer and rep, and the lines move once, by order. Join strategy is left to the
+    optimizer: it broadcasts a dimension only below its size limit, and adaptive execution
+    splits hot join keys.
     """
-    joined = (
-        staged["order_items"]
-        .join(staged["orders"], "order_id")
-        .join(staged["products"], "product_id")
+    headers = (
+        staged["orders"]
         .join(staged["customers"], "customer_id")
         .join(staged["sales_reps"], "sales_rep_id", "left")
     )
+    joined = staged["order_items"].join(staged["products"], "product_id").join(headers, "order_id")
     days = F.datediff("order_date", "signup_date").alias("days_since_signup")
     return joined.select(*ENRICHED_COLUMNS[:-1], days)
 
 
+def labels(lines: DataFrame, key: str, *names: str) -> DataFrame:
+    """One row per key with the smallest value of each label.
+
+    A minimum over text cannot be hash aggregated, so label combinations are counted first
+    and only one row per combination is sorted. The test on the count keeps the optimizer
+    from folding both steps into one sort of all lines.
+    """
+    combinations = lines.groupBy(key, *names).agg(F.count(F.lit(1)).alias("n"))
+    found = combinations.where(col("n") > 0)
+    return found.groupBy(key).agg(*[F.min(name).alias(name) for name in names])
+
+
 def check_links(staged: Mapping[str, DataFrame]) -> None:
     """Raise unless every link of the star is many-to-one and complete."""
     for left, key, right in (

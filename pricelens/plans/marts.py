@@ -11,6 +11,7 @@ from pricelens.functions import pricing as X
 from pricelens.functions.numeric import clip, ratio, sum_if
 from pricelens.operators.ordered import exact_quantiles
 from pricelens.operators.shapes import by_dimension
+from pricelens.plans.fact import labels
 from pricelens.sources.area import StagingArea
 
 col = F.col
@@ -57,9 +58,7 @@ def yearly(lines: DataFrame) -> DataFrame:
 
 
 def products(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("product_id").agg(
-        F.min("product_name").alias("product_name"),
-        F.min("category").alias("category"),
+    sums = lines.groupBy("product_id").agg(
         A.revenue().alias("revenue"),
         A.list_revenue().alias("list_revenue"),
         A.avg_discount().alias("avg_discount_pct"),
@@ -68,6 +67,8 @@ def products(lines: DataFrame) -> DataFrame:
         A.lines().alias("order_item_count"),
         A.realization().alias("price_realization"),
     )
+    named = labels(lines, "product_id", "product_name", "category")
+    return named.join(sums, "product_id")
 
 
 def erosion_proxy(margin: Column, high_share: Column) -> Column:

@@ -52,7 +52,8 @@ class Warehouse:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return self.area.put("order_item_enriched", fact.enriched(self.staged))
+        """The star join, stored by customer: most aggregates over it are per customer."""
+        return self.area.put("order_item_enriched", fact.enriched(self.staged), "customer_id")
 
     @cached_property
     def lines(self) -> DataFrame:

@@ -40,10 +40,15 @@ class StagingArea:
         self._count += 1
         return f"{self.path}/{self._count:04d}_{name}"
 
-    def put(self, name: str, table: DataFrame) -> DataFrame:
-        """Write ``table`` and return a frame that reads what was written."""
+    def put(self, name: str, table: DataFrame, near: str | None = None) -> DataFrame:
+        """Write ``table`` and return a frame that reads what was written.
+
+        ``near`` names a column whose equal values should share files, so that later
+        aggregates on it combine before their shuffle. It is a rebalance, not a strict
+        partitioning: adaptive execution splits a hot value over several files.
+        """
         where = self.location(name)
-        table.write.parquet(where)
+        (table.hint("rebalance", near) if near else table).write.parquet(where)
         return self.spark.read.schema(table.schema).parquet(where)
 
     def put_in_order(
