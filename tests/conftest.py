@@ -4,8 +4,11 @@ import datetime as dt
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -49,6 +52,16 @@ def day(text: str) -> dt.date:
     return dt.date.fromisoformat(text)
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small frame held as a local relation, which needs no Python worker to read."""
+    schema = StructType.fromDDL(ddl)
+    names = schema.fieldNames()
+    table = pa.Table.from_pylist(
+        [dict(zip(names, row, strict=True)) for row in rows], to_arrow_schema(schema)
+    )
+    return spark.createDataFrame(table, schema)
+
+
 def enriched_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """Rows of (item, order, date, customer, segment, product, category, channel, quantity,
     list price, realized price, discount, cost) as an enriched table."""
@@ -63,7 +76,7 @@ def enriched_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
             realized, discount, cost,
         ) in rows
     ]
-    return spark.createDataFrame(full, ENRICHED)
+    return local_frame(spark, full, ENRICHED)
 
 
 FOUR_LINES = [
@@ -83,25 +96,30 @@ def four_lines(spark) -> DataFrame:
 def raw_tables(spark) -> dict[str, DataFrame]:
     """One valid row per input table, with text ids and text dates."""
     return {
-        "customers": spark.createDataFrame(
+        "customers": local_frame(
+            spark,
             [("C1", "2023-01-01", "S1", "North", "Large")],
             "customer_id string, signup_date string, segment string, region string,"
             " company_size string",
         ),
-        "products": spark.createDataFrame(
+        "products": local_frame(
+            spark,
             [("P1", "Product 1", "K1", 100.0, 40.0)],
             "product_id string, product_name string, category string, list_price double,"
             " unit_cost double",
         ),
-        "sales_reps": spark.createDataFrame(
+        "sales_reps": local_frame(
+            spark,
             [("R1", "Field", "North")], "sales_rep_id string, team string, region string"
         ),
-        "orders": spark.createDataFrame(
+        "orders": local_frame(
+            spark,
             [("O1", "C1", "2024-01-05", "Online", "R1")],
             "order_id string, customer_id string, order_date string, sales_channel string,"
             " sales_rep_id string",
         ),
-        "order_items": spark.createDataFrame(
+        "order_items": local_frame(
+            spark,
             [("OI1", "O1", "P1", 2, 100.0, 90.0, 0.1)],
             "order_item_id string, order_id string, product_id string, quantity bigint,"
             " list_price_at_sale double, realized_unit_price double, discount_pct double",
