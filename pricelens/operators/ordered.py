@@ -95,23 +95,24 @@ def previous_value(
     )
 
 
+def value_counts(table: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Distinct non-NULL values per group with their number of rows ``n``.
+
+    Equal values collapse before the shuffle, so a value that fills a third of the table
+    is one row per task.
+    """
+    known = table.where(col(value).isNotNull())
+    return known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def value_positions(
     area: StagingArea,
-    table: DataFrame,
+    counts: DataFrame,
     group: Sequence[str],
     value: str,
     chunks: int | None = None,
 ) -> DataFrame:
-    """Distinct non-NULL values per group with ``n``, ``before`` and the group's ``total``.
-
-    Equal values collapse before the shuffle, so a value that fills a third of the table
-    is one row per task.
-    """
-    counts = (
-        table.where(col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Add to value counts the rows ``before`` each value and the group's ``total``."""
     staged = area.put_in_order("value_counts", counts, *group, value, chunks=chunks)
     placed = running_before(staged, group, [value], before=col("n")).drop("chunk")
     if not group:
@@ -139,7 +140,8 @@ def percentile_ranks(
     long = rounded.unpivot(list(key), list(metrics), "metric", "value").where(
         col("value").isNotNull()
     )
-    placed = value_positions(area, long, ["metric"], "value", chunks)
+    counts = value_counts(long, ["metric"], "value")
+    placed = value_positions(area, counts, ["metric"], "value", chunks)
     rank = (col("before") + (col("n") + 1) / 2) / col("total")
     heavy = col("n") * HEAVY_VALUES >= col("total")
     ranks = area.put(
@@ -186,7 +188,8 @@ def exact_quantiles(
     ``points`` names an output column for each probability. Spark's own exact percentile
     keeps every distinct value of a group in one buffer; this does not.
     """
-    placed = value_positions(area, table, group, value, chunks)
+    counts = value_counts(table, group, value)
+    placed = value_positions(area, counts, group, value, chunks)
 
     def at(index: Column) -> Column:
         covers = (col("before") <= index) & (index < col("before") + col("n"))

@@ -12,11 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens import policy as P
-from pricelens.functions import pricing as X
 from pricelens.functions.numeric import count_if, flag, ratio, weighted_mean
 from pricelens.operators.checks import as_rows, counted, judged, stacked, status, text
 from pricelens.operators.joins import duplicate_count, orphan_count
-from pricelens.plans import fact
 from pricelens.sources import contract as C
 
 col = F.col

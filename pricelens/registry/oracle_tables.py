@@ -1009,7 +1009,10 @@ def _issues() -> str:
     single = ", ".join(
         f"('{table}', '{key}')" for table, (_, key, _) in _GRAINS.items() if "," not in key
     )
-    select = "SELECT table_name, column_name, '{severity}' AS severity, '{issue}' AS issue_type, {detail} AS detail FROM column_stats WHERE {test}"
+    select = (
+        "SELECT table_name, column_name, '{severity}' AS severity, '{issue}' AS issue_type,"
+        " {detail} AS detail FROM column_stats WHERE {test}"
+    )
     null_text = "'null rate ' || printf('%.2f%%', nulls / rows * 100)"
     ratio_text = "'cardinality ratio ' || printf('%.2f%%', distincts / rows * 100)"
     rules = [

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_private_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -16,11 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_SETTING, None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to storage that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="pricelens-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    if context.applicationId not in _private_folders:
+        _private_folders[context.applicationId] = tempfile.mkdtemp(prefix="pricelens-")
+    return _private_folders[context.applicationId]
 
 
 class StagingArea:

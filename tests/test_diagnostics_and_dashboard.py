@@ -126,7 +126,9 @@ def test_rep_outliers(spark, area):
             depth = 0.3 if rep == 0 else 0.1 + 0.001 * rep
             rows.append((f"R{rep}", depth, 10.0, 1.0))
     table = spark.createDataFrame(
-        rows, "sales_rep_id string, discount_depth double, line_revenue double, gross_margin_value double"
+        rows,
+        "sales_rep_id string, discount_depth double, line_revenue double,"
+        " gross_margin_value double",
     ).withColumns({"team": F.lit("T"), "rep_region": F.lit("N")})
     got = {r.sales_rep_id: r for r in diagnostics.rep_behaviour(table).collect()}
     assert len(got) == 11

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,19 +120,23 @@ def test_missing_csv_files_are_listed_together(spark, tmp_path, raw_tables):
         files.read_csv(spark, str(tmp_path), "products")
 
 
-def test_shared_folder_needs_a_setting_on_a_cluster(monkeypatch):
-    class Conf:
-        def get(self, *_):
-            return None
+class FakeSession:
+    """A session with one master and at most the folder setting."""
 
-    class Session:
-        conf = Conf()
+    def __init__(self, master, folder=None):
+        self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}")
+        self.conf = SimpleNamespace(get=lambda key, default=None: folder or default)
 
-        class sparkContext:
-            master = "yarn"
 
+def test_shared_folder_comes_from_the_setting():
+    assert area_module.shared_folder(FakeSession("yarn", "hdfs:///shared/")) == "hdfs:///shared"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        area_module.shared_folder(Session())
+        area_module.shared_folder(FakeSession("yarn"))
+
+
+def test_local_session_keeps_one_private_folder():
+    session = FakeSession("local[2]")
+    assert area_module.shared_folder(session) == area_module.shared_folder(session)
 
 
 def test_staged_tables_survive_the_source(spark, area, tmp_path):

@@ -105,7 +105,8 @@ def test_empty_table_fails_the_row_gate(raw_tables):
 
 
 def test_text_in_a_number_stops_the_pricing_rules(raw_tables):
-    broken = {**raw_tables, "order_items": raw_tables["order_items"].withColumn("quantity", F.lit("two"))}
+    items = raw_tables["order_items"].withColumn("quantity", F.lit("two"))
+    broken = {**raw_tables, "order_items": items}
     report = by_name(quality.raw_report(broken))
     assert report["order_items_quantity_numeric"].failed_rows == 1
     assert "order_items_discount_bounds" not in report
