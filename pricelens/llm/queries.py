@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pricelens.llm import chat, exact, mixing
+from pricelens.llm import chat, exact, mixing, packing, quality, toxicity, wacz
+from pricelens.llm.ship import on_executors
 
 QUERIES = {
+    "op1_wacz": on_executors(wacz.op1_wacz),
     "op3_chat_snapshots": chat.op3_chat_snapshots,
     "op6_mixture": mixing.op6_mixture,
+    "op7_toxicity": on_executors(toxicity.op7_toxicity),
+    "op8_quality": on_executors(quality.op8_quality),
+    "op9_packing": on_executors(packing.op9_packing),
     "op10_exact_dedup": exact.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op1_wacz": wacz.OP1_SQL,
     "op3_chat_snapshots": chat.OP3_SQL,
     "op6_mixture": mixing.OP6_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
