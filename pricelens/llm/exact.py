@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm.tables import area, column, table, whole_rows
+from pricelens.llm.tables import area, column, rows_that_stay, table
 
 FAN_IN = 8
 _KEYS = ("digest", "n_bytes", "check")
@@ -107,30 +107,12 @@ def drop_exact_copies(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns unchanged."""
     entries = _entries(spark, docs, id_column, text_column)
-    groups = merged_runs(entries, keep == "largest", fan_in).select(
-        *_KEYS, F.col("best.id").alias("keep_id")
-    )
-    rows = docs.select(
-        whole_rows(docs).alias("whole"),
-        column(id_column).alias("id"),
-        *_fingerprint(column(text_column)),
-    )
-    stay = rows.join(groups, list(_KEYS)).where(F.col("id").eqNullSafe(F.col("keep_id")))
-    repeats = area(spark).put(
-        "repeated_rows",
-        entries.groupBy(*_KEYS, "id").count().where("count > 1").select(*_KEYS, "id"),
-    )
-    if not repeats.isEmpty():
-        # Rows that repeat both identifier and text: one of them, by the rest of the row.
-        twice = repeats.withColumn("twice", F.lit(True))
-        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in _KEYS]
-        same.append(F.col("a.id").eqNullSafe(F.col("b.id")))
-        marked = stay.alias("a").join(twice.alias("b"), same, "left").select("a.*", "b.twice")
-        single = marked.where(F.col("twice").isNull()).select("whole")
-        rest = marked.where("twice").groupBy(*_KEYS, "id")
-        one = rest.agg(F.min_by("whole", F.xxhash64("whole")).alias("whole"))
-        stay = single.unionByName(one.select("whole"))
-    return stay.select("whole.*")
+    groups = merged_runs(entries, keep == "largest", fan_in)
+    winners = groups.select(*_KEYS, F.col("best.id").alias("id"))
+    names = entries.groupBy(*_KEYS, "id").count().where("count > 1").select(*_KEYS, "id")
+    repeated = area(spark).put("repeated", names)
+    keys = dict(zip(_KEYS, _fingerprint(column(text_column)), strict=True))
+    return rows_that_stay(docs, column(id_column), keys, winners, repeated)
 
 
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pricelens.llm import chat, exact, mixing, packing, quality, toxicity, wacz
+from pricelens.llm import chat, exact, mixing, near, packing, quality, toxicity, wacz
 from pricelens.llm.ship import on_executors
 
 QUERIES = {
     "op1_wacz": on_executors(wacz.op1_wacz),
     "op3_chat_snapshots": chat.op3_chat_snapshots,
+    "op5_near_dedup": on_executors(near.op5_near_dedup),
     "op6_mixture": mixing.op6_mixture,
     "op7_toxicity": on_executors(toxicity.op7_toxicity),
     "op8_quality": on_executors(quality.op8_quality),

@@ -30,3 +30,29 @@ def column(name: str) -> Column:
 def is_row_count_at_most(frame: DataFrame, most: int) -> bool:
     """Whether a frame is small enough to broadcast; reads at most ``most + 1`` rows of it."""
     return frame.limit(most + 1).count() <= most
+
+
+def rows_that_stay(
+    docs: DataFrame, id_: Column, keys: dict[str, Column], winners: DataFrame, repeated: DataFrame
+) -> DataFrame:
+    """The rows of ``docs`` named by ``winners`` (the keys, ``id``), with their columns unchanged.
+
+    ``repeated`` lists those names that several rows have; of these rows one stays, decided by
+    the rest of the row. It is a written table, mostly empty, and then costs nothing.
+    """
+    rows = docs.select(
+        whole_rows(docs).alias("whole"), id_.alias("id"), *[c.alias(k) for k, c in keys.items()]
+    )
+
+    def named(other: str) -> list[Column]:
+        same = [F.col(f"r.{k}") == F.col(f"{other}.{k}") for k in keys]
+        return [*same, F.col("r.id").eqNullSafe(F.col(f"{other}.id"))]
+
+    stay = rows.alias("r").join(winners.alias("w"), named("w"), "left_semi")
+    if not repeated.isEmpty():
+        twice = repeated.select(*keys, "id", F.lit(True).alias("twice"))
+        marked = stay.alias("r").join(twice.alias("t"), named("t"), "left").select("r.*", "t.twice")
+        groups = marked.where("twice").groupBy(*keys, "id")
+        one = groups.agg(F.min_by("whole", F.xxhash64("whole")).alias("whole")).select("whole")
+        stay = marked.where(F.col("twice").isNull()).select("whole").unionByName(one)
+    return stay.select("whole.*")
