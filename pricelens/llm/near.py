@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelens.llm.blocks import gathered, meetings_of, paired_blocks
 from pricelens.llm.components import components
 from pricelens.llm.tables import area, column, rows_that_stay, table
 from pricelens.llm.words import mix, shingles, text_blocks
@@ -276,21 +277,19 @@ def _shared_weight(texts: list[Weighted], idf: np.ndarray) -> np.ndarray:
     return shared
 
 
-def group_links(rows: list[tuple], texts: list[Weighted], idf: np.ndarray) -> list[tuple]:
-    """Links that join different components; ``rows`` are (sides, side, key, component).
-
-    With two sides only pairs across are compared: each side has a group of its own.
-    """
+def meeting_links(rows: pa.Table, idf: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links between different components in the rows of a meeting, as many as join them."""
+    texts = _weighted_texts(rows.column("text").combine_chunks(), idf)
     total = np.array([w.sum() for _, w in texts])
     shared = _shared_weight(texts, idf)
     ratio = shared / np.maximum(total[:, None] + total[None, :] - shared, 1e-9)
-    names = {c: i for i, c in enumerate({r[3] for r in rows})}
-    component = np.array([names[r[3]] for r in rows])
-    side = np.array([r[1] for r in rows])
+    component = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    side, keys = rows.column("side").to_numpy(), rows.column("key")
+    # The products are single precision: what is near the threshold is computed again.
     wanted = (ratio >= THRESHOLD - 1e-3) & (component[:, None] != component[None, :])
-    if rows[0][0] == 2:
+    if rows.column("sides")[0].as_py() == 2:
         wanted &= side[:, None] != side[None, :]
-    links, parent = [], list(range(len(names)))
+    links, parent = [], list(range(component.max() + 1))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -301,79 +300,28 @@ def group_links(rows: list[tuple], texts: list[Weighted], idf: np.ndarray) -> li
     for i, j in zip(*np.nonzero(np.triu(wanted)), strict=True):
         a, b = root(component[i]), root(component[j])
         if a != b and weighted_jaccard(texts[i], texts[j]) >= THRESHOLD:
-            links.append((rows[i][2], rows[j][2]))
+            links.append((keys[i].as_py(), keys[j].as_py()))
             parent[a] = b
     return links
 
 
 def _block_links(idf: np.ndarray):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        texts: list[Weighted] = []
-        group = None
-        for batch in batches:
-            links: list[tuple] = []
-            found = _weighted_texts(batch.column("text"), idf)
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for (name, *row), text in zip(zip(*columns, strict=True), found, strict=True):
-                if name != group:
-                    if held:
-                        links += group_links(held, texts, idf)
-                    held, texts, group = [], [], name
-                held.append(tuple(row))
-                texts.append(text)
-            yield _links(links)
-        if held:
-            yield _links(group_links(held, texts, idf))
+        links: list[tuple] = []
+        for ended, rows in meetings_of(batches):
+            if rows is not None:
+                links += meeting_links(rows, idf)
+            if ended:
+                yield _links(links)
+                links = []
 
     return compare
 
 
 def open_links(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Links between components inside ``members`` (bucket, key, component, outside).
-
-    ``outside`` marks members beyond the largest group of a bucket. Those and the others are
-    dealt into blocks of about ``BLOCK``; every outside block meets every other block in a
-    group of its own, in some task. This is the exact way, and whole buckets of any size pass.
-    """
-    n = members.groupBy("bucket", "outside").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    sizes = n.groupBy("bucket").agg(
-        F.max(F.when(F.col("outside"), F.col("n"))).cast("int").alias("n_out"),
-        F.coalesce(F.max(F.when(~F.col("outside"), F.col("n"))), F.lit(0)).cast("int").alias("n_in"),
-    )
-    blocks = F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_in"))
-    dealt = members.join(sizes.where("n_out > 0"), "bucket").withColumn(
-        "own", F.pmod(F.xxhash64("key"), blocks).cast("int")
-    )
-    out, in_ = dealt.where("outside"), dealt.where(~F.col("outside"))
-
-    def among(frame: DataFrame, count: str) -> DataFrame:
-        return frame.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
-
-    own, other = F.col("own"), F.col("other")
-    low, high = F.least(own, other), F.greatest(own, other)
-    kinds = [
-        (among(out, "n_out"), 0, low, high, F.when(own == other, 1).otherwise(2), own),
-        (among(out.where("n_in > 0"), "n_in"), 1, own, other, F.lit(2), F.lit(0)),
-        (among(in_, "n_out"), 1, other, own, F.lit(2), F.lit(1)),
-    ]
-    groups = None
-    for frame, kind, first, second, sides, side in kinds:
-        part = frame.select(
-            F.xxhash64("bucket", F.lit(kind), first, second).alias("group"),
-            sides.alias("sides"),
-            side.alias("side"),
-            "key",
-            "component",
-        )
-        groups = part if groups is None else groups.unionByName(part)
-    return (
-        groups.join(texts, "key")
-        .select("group", "sides", "side", "key", "component", "text")
-        .repartition("group")
-        .sortWithinPartitions("group")
-        .mapInArrow(_block_links(idf), "a binary, b binary")
-    )
+    """Links between components inside ``members`` (bucket, key, component, outside)."""
+    meetings = paired_blocks(members, ["key", "component"], BLOCK).join(texts, "key")
+    return gathered(meetings).mapInArrow(_block_links(idf), "a binary, b binary")
 
 
 # ---------------------------------------------------------------- classes

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pricelens.llm import chat, exact, mixing, near, packing, quality, toxicity, wacz
+from pricelens.llm import chat, exact, lattice, mixing, near, packing, quality, toxicity, wacz
 from pricelens.llm.ship import on_executors
 
 QUERIES = {
     "op1_wacz": on_executors(wacz.op1_wacz),
     "op3_chat_snapshots": chat.op3_chat_snapshots,
+    "op4_lattice": on_executors(lattice.op4_lattice),
     "op5_near_dedup": on_executors(near.op5_near_dedup),
     "op6_mixture": mixing.op6_mixture,
     "op7_toxicity": on_executors(toxicity.op7_toxicity),
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op1_wacz": wacz.OP1_SQL,
     "op3_chat_snapshots": chat.OP3_SQL,
+    "op4_lattice": lattice.OP4_SQL,
     "op6_mixture": mixing.OP6_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
 }
