@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pricelens.llm import chat, exact, lattice, mixing, near, packing, quality, toxicity, wacz
+from pricelens.llm import chat, exact, lattice, mixing, near, packing, quality, repeats, toxicity, wacz
 from pricelens.llm.ship import on_executors
 
 QUERIES = {
     "op1_wacz": on_executors(wacz.op1_wacz),
+    "op2_repeated_spans": on_executors(repeats.op2_repeated_spans),
     "op3_chat_snapshots": chat.op3_chat_snapshots,
     "op4_lattice": on_executors(lattice.op4_lattice),
     "op5_near_dedup": on_executors(near.op5_near_dedup),
