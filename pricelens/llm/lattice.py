@@ -39,7 +39,9 @@ from pricelens.llm.tables import area, column, table
 from pricelens.llm.words import mix
 
 THRESHOLD = 0.9
-TABLES, PROBES, PARTS, SCALE = 8, 8, 3, 3.5
+TABLES, PROBES, PARTS = 8, 8, 3
+#: Length in the lattice's space, on average, of a distance of 1 between vectors.
+SPREAD = 2.15
 BLOCK = 1024
 
 
@@ -78,11 +80,11 @@ def e8_neighbours() -> np.ndarray:
 
 
 def _projection(dimension: int, table_: int) -> np.ndarray:
-    """Orthonormal columns as far as the dimension has them."""
+    """Orthonormal columns, or rows where the dimension is smaller, scaled to the same spread."""
     rng = np.random.default_rng([dimension, table_])
     width = 8 * PARTS
     draws = rng.normal(size=(max(dimension, width), width))
-    return np.linalg.qr(draws)[0][:dimension] * SCALE
+    return np.linalg.qr(draws)[0][:dimension] * SPREAD * np.sqrt(max(dimension, width) / width)
 
 
 def cells(units: np.ndarray) -> np.ndarray:
@@ -130,6 +132,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(sizes == size)
             x = _matrix(vectors.take(pa.array(at)))
             valid = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            if not valid.any():
+                continue
             for i, row in zip(at[valid], cells(_units(x[valid])), strict=True):
                 found[i] = row
         yield pa.RecordBatch.from_arrays(

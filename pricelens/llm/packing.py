@@ -193,33 +193,36 @@ def _exchange(low: Pattern, high: Pattern, size: int) -> tuple[Pattern, Pattern]
 def local_search(bins: Counter[Pattern], size: int, most: int = MOST_EXCHANGES) -> Counter[Pattern]:
     """Exchanges pieces between underfull bins until none raises the squared fill.
 
-    The emptiest bin is the giver: it is tried against all others, the fullest first. A bin
-    that can give nothing to any other is settled. The search ends early when the bins are as
-    few as their tokens allow.
+    The emptiest bin is the giver: it is tried against all others, the fullest first, then the
+    next emptiest. Pairs that have nothing to exchange are remembered. The search ends when no
+    pair has, or when the bins are as few as their tokens allow.
     """
     fewest = -(-sum(sum(p) * times for p, times in bins.items()) // size)
     full: Counter[Pattern] = Counter()
     under: Counter[Pattern] = Counter()
     for pattern, times in bins.items():
         (full if sum(pattern) == size else under)[pattern] += times
-    settled: set[Pattern] = set()
+    useless: set[tuple[Pattern, Pattern]] = set()
+
+    def next_exchange() -> tuple[Pattern, Pattern, tuple[Pattern, Pattern]] | None:
+        by_fill = sorted(under, key=lambda p: (sum(p), p))
+        for i, low in enumerate(by_fill):
+            for high in reversed(by_fill[i:]):
+                if (low, high) in useless or (high == low and under[low] < 2):
+                    continue
+                found = _exchange(low, high, size)
+                if found:
+                    return low, high, found
+                useless.add((low, high))
+        return None
+
     for _ in range(most):
         if full.total() + under.total() == fewest:
             break
-        givers = [p for p in under if p not in settled]
-        if not givers:
+        step = next_exchange()
+        if not step:
             break
-        low = min(givers, key=lambda p: (sum(p), p))
-        best = None
-        for high in sorted(under, key=lambda p: (-sum(p), p)):
-            if sum(high) < sum(low) or (high == low and under[low] < 2):
-                continue
-            best = _exchange(low, high, size)
-            if best:
-                break
-        if not best:
-            settled.add(low)
-            continue
+        low, high, best = step
         times = under[low] // 2 if high == low else min(under[low], under[high])
         for pattern in (low, high):
             under[pattern] -= times
