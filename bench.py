@@ -18,7 +18,10 @@ from pricelens.registry.queries import run
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-BUILDS = ("enriched", "ledger", "profile", "scores", "scope_facts", "segments", "account_facts")
+BUILDS = (
+    "enriched", "peer_baseline", "ledger", "profile", "scores", "scope_facts", "segments",
+    "account_facts",
+)
 HEADLINE = (
     "c1_star_join",
     "d1_overall",
@@ -39,10 +42,18 @@ HEADLINE = (
     "j3_action_queue",
     "j7_rep_inconsistency",
     "j8_product_patterns",
+    "k2_column_profile",
+    "k3_table_summary",
     "k5_numeric_summary",
+    "k6_column_issues",
     "m2_raw_integrity",
     "m4_processed_checks",
     "m5_metric_contracts",
+    "m6_warehouse_checks",
+    "m7_analysis_checks",
+    "m8_review_checks",
+    "m10_readiness",
+    "m12_release_gate",
     "n1_scoped_kpi",
     "n3_scoped_accounts",
 )
@@ -89,6 +100,7 @@ def main() -> None:
         )
     )
     sys.stdout.flush()
+    warehouse.close()
     spark.stop()
 
 

@@ -43,9 +43,13 @@ def sum_if(condition: Column, value: Column) -> Column:
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
-    """Aggregate: weighted mean; NULL when the weights do not add up to more than zero."""
+    """Aggregate: weighted mean; NULL when a value is unknown or no weight is above zero.
+
+    A value without a number cannot be left out: its weight would stay in the denominator.
+    """
     total = F.sum(weight)
-    return F.when(total > 0, F.sum(value * weight) / total)
+    complete = F.count(F.when(value.isNull(), F.lit(1))) == 0
+    return F.when((total > 0) & complete, F.sum(value * weight) / total)
 
 
 def linear_step(value: Column, low: Column, high: Column, cells: int) -> Column:

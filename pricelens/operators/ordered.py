@@ -17,14 +17,16 @@ from pricelens.sources.area import StagingArea
 
 col = F.col
 
-# Doubles that differ only by the order in which they were summed count as one rank value.
-RANK_DIGITS = 12
 # A value with at least this fraction (1/1000) of its metric's rows is joined by broadcast.
 HEAVY_VALUES = 1000
 
 
 def carry_in(staged: DataFrame, group: Sequence[str], amounts: Mapping[str, Column]) -> DataFrame:
-    """Per group and chunk, the sum of each amount over the earlier chunks of the group."""
+    """Per group and chunk, the sum of each amount over the earlier chunks of the group.
+
+    ``<name>_total`` is the sum over all chunks: it travels with the chunk sums, so no row
+    ever has to be joined on its group alone.
+    """
     per_chunk = staged.groupBy(*group, "chunk").agg(
         *[F.sum(amount).alias(name) for name, amount in amounts.items()]
     )
@@ -33,17 +35,20 @@ def carry_in(staged: DataFrame, group: Sequence[str], amounts: Mapping[str, Colu
         .orderBy("chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
+    whole = earlier.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return per_chunk.select(
         *group,
         "chunk",
         *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in amounts],
+        *[F.sum(name).over(whole).alias(f"{name}_total") for name in amounts],
     )
 
 
 def running_before(
     staged: DataFrame, group: Sequence[str], order: Sequence[str | Column], **amounts: Column
 ) -> DataFrame:
-    """Add one column per amount: its total over the rows that sort before this one.
+    """Add two columns per amount: its sum over the rows that sort before this one, and
+    ``<name>_total``, its sum over the group.
 
     ``order`` must be the order the table was staged in, without the group columns.
     """
@@ -66,6 +71,7 @@ def running_before(
     return local.join(carried, keys, "left").select(
         *staged.columns,
         *[(col(f"_{name}") + col(name)).alias(name) for name in amounts],
+        *[f"{name}_total" for name in amounts],
     )
 
 
@@ -115,10 +121,7 @@ def value_positions(
     """Add to value counts the rows ``before`` each value and the group's ``total``."""
     staged = area.put_in_order("value_counts", counts, *group, value, chunks=chunks)
     placed = running_before(staged, group, [value], before=col("n")).drop("chunk")
-    if not group:
-        return placed.withColumn("total", staged.agg(F.sum("n")).scalar())
-    totals = staged.groupBy(*group).agg(F.sum("n").alias("total"))
-    return placed.join(totals, list(group))
+    return placed.withColumnRenamed("before_total", "total")
 
 
 def percentile_ranks(
@@ -127,16 +130,22 @@ def percentile_ranks(
     key: Sequence[str],
     metrics: Sequence[str],
     chunks: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """Per key and metric the average-tie rank divided by the number of non-NULL values.
 
+    ``digits`` rounds the metrics first, for values that differ only by the order in which
+    they were summed; without it values are ranked as they are.
+
     Returns the key with ``<metric>_rank`` (NULL for a NULL metric) and
     ``<metric>_distinct``, the number of different values of the metric. Keys without any
     metric value are absent.
     """
-    rounded = table.select(
-        *key, *[half_even(col(m).cast("double"), RANK_DIGITS).alias(m) for m in metrics]
-    )
+    def ranked_value(metric: str) -> Column:
+        number = col(metric).cast("double")
+        return number if digits is None else half_even(number, digits)
+
+    rounded = table.select(*key, *[ranked_value(m).alias(m) for m in metrics])
     long = rounded.unpivot(list(key), list(metrics), "metric", "value").where(
         col("value").isNotNull()
     )

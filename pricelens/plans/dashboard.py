@@ -92,9 +92,14 @@ def monthly_facts(lines: DataFrame) -> DataFrame:
     )
 
 
-def customer_facts(lines: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Additive measures per month, customer and dimension combination of chosen accounts."""
-    kept = additive_lines(lines).join(chosen.select("customer_id"), "customer_id", "left_semi")
+def customer_facts(lines: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Additive measures per month, customer and dimension combination.
+
+    All accounts by default; ``chosen`` limits them to its customers.
+    """
+    kept = additive_lines(lines)
+    if chosen is not None:
+        kept = kept.join(chosen.select("customer_id"), "customer_id", "left_semi")
     facts = kept.groupBy("order_month", "customer_id", *P.SCOPE_DIMS).agg(
         F.sum("line_revenue").alias("filtered_revenue"),
         F.sum("line_list_revenue").alias("filtered_list_revenue"),
@@ -184,8 +189,8 @@ def scoped_kpi(facts: DataFrame, scope: Scope) -> DataFrame:
     )
 
 
-def scoped_accounts(queue: DataFrame, account_facts: DataFrame, scope: Scope) -> DataFrame:
-    """Review accounts with revenue in the scope, with their scoped revenue and discount."""
+def scoped_accounts(scores: DataFrame, account_facts: DataFrame, scope: Scope) -> DataFrame:
+    """Scored accounts with revenue in the scope, with their scoped revenue and discount."""
     sums = (
         account_facts.where(scope.matches_dims() & scope.matches_period())
         .groupBy("customer_id")
@@ -203,7 +208,7 @@ def scoped_accounts(queue: DataFrame, account_facts: DataFrame, scope: Scope) ->
             ),
         )
     )
-    rows = queue.select(*RISK_COLUMNS)
+    rows = scores.select(*RISK_COLUMNS)
     for name in ("segment", "region"):
         value = getattr(scope, name)
         if value != P.ALL:
@@ -279,7 +284,7 @@ def region_ranking(facts: DataFrame, scope: Scope) -> DataFrame:
 
 
 def revenue_by(accounts: DataFrame, label: str) -> DataFrame:
-    """Scoped revenue per label of the review accounts; the leader is marked."""
+    """Scoped revenue per label of the accounts; the leader is marked."""
     sums = accounts.groupBy(label).agg(F.sum("filtered_revenue").alias("filtered_revenue"))
     leader = accounts.groupBy(label).agg(F.sum("filtered_revenue").alias("r")).agg(
         F.max_by(label, F.struct("r", label))

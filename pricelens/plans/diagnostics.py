@@ -295,7 +295,9 @@ def margin_erosion(area: StagingArea, lines: DataFrame) -> DataFrame:
         "high_discount_share": (P.EROSION_WEIGHTS["high_share"], False),
         "margin_proxy_pct": (P.EROSION_WEIGHTS["margin"], True),
     }
-    ranks = percentile_ranks(area, base, ["segment", "category"], list(parts))
+    ranks = percentile_ranks(
+        area, base, ["segment", "category"], list(parts), digits=P.SUM_DIGITS
+    )
     score = _weighted_ranks(parts).alias("margin_erosion_risk_score")
     return base.join(ranks, ["segment", "category"], "left").select(*base.columns, score)
 
@@ -396,7 +398,7 @@ def product_patterns(area: StagingArea, lines: DataFrame) -> DataFrame:
         "avg_margin_proxy_pct": (P.CONCERN_WEIGHTS["margin"], True),
     }
     keys = ["product_id", "product_name", "category"]
-    ranks = percentile_ranks(area, base, keys, list(parts))
+    ranks = percentile_ranks(area, base, keys, list(parts), digits=P.SUM_DIGITS)
     return base.join(ranks, keys, "left").select(
         *base.columns,
         pricing_pattern(

@@ -92,12 +92,20 @@ def peer_baseline(lines: DataFrame) -> DataFrame:
     )
 
 
-def pricing_metrics(lines: DataFrame, line_policy: P.LinePolicy = P.POLICY) -> DataFrame:
+def pricing_metrics(
+    lines: DataFrame, line_policy: P.LinePolicy = P.POLICY, baseline: DataFrame | None = None
+) -> DataFrame:
     """The pricing fact as a view over enriched lines.
 
-    Everything but the peer baseline is row-local. Plans that use no residual column do
-    not pay for the baseline: the optimizer drops the left join to a grouped table.
+    Everything but the peer baseline is row-local. A ``baseline`` that was written before is
+    joined by broadcast while its size allows it, so lines keep their layout. Distinct on its
+    key, it is dropped by the optimizer from plans that use no residual column.
     """
+    peers = peer_baseline(lines) if baseline is None else baseline
+    # Keeps the key distinct for the optimizer; on the written table it costs a few rows.
+    peers = peers.groupBy("product_id", "sales_channel").agg(
+        F.max("peer_price_realization").alias("peer_price_realization")
+    )
     day = col("order_date")
     priced = (
         lines.withColumns(X.line_amounts())
@@ -116,7 +124,7 @@ def pricing_metrics(lines: DataFrame, line_policy: P.LinePolicy = P.POLICY) -> D
         )
         .withColumn("margin_proxy_pct", X.margin_pct())
     )
-    compared = priced.join(peer_baseline(lines), ["product_id", "sales_channel"], "left")
+    compared = priced.join(peers, ["product_id", "sales_channel"], "left")
     gap = X.residual(col("peer_price_realization"))
     return compared.select(
         *priced.columns,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelens import policy as P
@@ -230,7 +230,7 @@ def value_pool(lines: DataFrame, dimension: str) -> DataFrame:
         A.margin_pct().alias("margin_proxy_pct"),
         A.high_revenue_share().alias("high_discount_revenue_share"),
     )
-    forgone = F.sum("revenue_forgone").over(Window.partitionBy())  # one row per dimension value
+    forgone = lines.agg(A.list_revenue() - A.revenue()).scalar()
     return pool.withColumn("share_of_revenue_forgone", col("revenue_forgone") / forgone)
 
 

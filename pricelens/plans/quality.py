@@ -199,6 +199,7 @@ def raw_report(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 # --- processed tables ----------------------------------------------------------------------
 
+# The columns that each processed table must have, and the profile's shares.
 PROCESSED_COLUMNS = {
     "order_item_pricing_metrics": (
         "order_item_id", "order_id", "customer_id", "product_id", "sales_channel", "quantity",
@@ -394,15 +395,19 @@ def margin_comparison(profile: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _margin_check(profile: DataFrame, lines: DataFrame) -> DataFrame:
-    facts = margin_comparison(profile, lines).agg(
-        F.count(F.lit(1)).alias("rows"), count_if(~col("agrees")).alias("off")
+    def size(table: DataFrame) -> Column:
+        return table.agg(F.count(F.lit(1))).scalar()
+
+    off = count_if(~F.coalesce(col("agrees"), F.lit(False))).alias("off")
+    facts = margin_comparison(profile, lines).agg(off).withColumns(
+        {"profiles": size(profile), "rows": size(lines)}
     )
     rule = counted(
         "customer_pricing_profile_weighted_margin_reconciliation",
         col("off"),
         "profile margin equals margin over revenue",
     )
-    return as_rows(facts.where(col("rows") > 0), [rule])
+    return as_rows(facts.where((col("profiles") > 0) & (col("rows") > 0)), [rule])
 
 
 def _size_check(profile: DataFrame, scores: DataFrame) -> DataFrame:

@@ -31,12 +31,6 @@ def _size(table: DataFrame) -> Column:
     return table.agg(F.count(F.lit(1))).scalar()
 
 
-def _complete_mean(value: str, weight: str) -> Column:
-    """Weighted mean that is unknown as soon as one value is."""
-    known = F.sum(col(value).isNull().cast("int")) == 0
-    return F.when(known, weighted_mean(col(value), col(weight)))
-
-
 def _line_facts(lines: DataFrame) -> DataFrame:
     """Everything the checks need from the lines, in one aggregate."""
     empty = sum((col(c).isNull().cast("long") for c in CORE_COLUMNS), F.lit(0))
@@ -50,8 +44,8 @@ def _line_facts(lines: DataFrame) -> DataFrame:
         sum_if(col("discount_depth") >= P.HIGH_DISCOUNT_THRESHOLD, col("line_revenue")).alias(
             "high_revenue"
         ),
-        _complete_mean("discount_depth", "line_list_revenue").alias("discount_direct"),
-        _complete_mean("margin_proxy_pct", "line_revenue").alias("margin_direct"),
+        weighted_mean(col("discount_depth"), col("line_list_revenue")).alias("discount_direct"),
+        weighted_mean(col("margin_proxy_pct"), col("line_revenue")).alias("margin_direct"),
         F.max(F.abs(implied - col("discount_depth"))).alias("discount_gap"),
         count_if(col("realized_price") > col("list_price_at_sale")).alias("above_list"),
         (

@@ -40,7 +40,7 @@ SCORE_COLUMNS = (
 def signals(area: StagingArea, profile: DataFrame) -> DataFrame:
     """The profile with ``rel_<signal>`` (peer rank) and ``abs_<signal>`` (policy breach)."""
     metrics = list(P.SIGNALS.values())
-    ranks = percentile_ranks(area, profile, ["customer_id"], metrics)
+    ranks = percentile_ranks(area, profile, ["customer_id"], metrics, digits=P.SUM_DIGITS)
     joined = profile.join(ranks, "customer_id", "left")
     columns: dict[str, Column] = {}
     for signal, metric in P.SIGNALS.items():

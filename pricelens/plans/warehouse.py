@@ -7,8 +7,11 @@ from functools import cached_property
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricelens import policy as P
+from pricelens.functions.numeric import half_even
+from pricelens.operators.shapes import round_doubles
 from pricelens.plans import customers, dashboard, fact, marts, risk
 from pricelens.sources import tpch
 from pricelens.sources.area import StagingArea
@@ -18,9 +21,10 @@ from pricelens.sources.staging import staged_tables
 class Warehouse:
     """A snapshot of the five input tables and what is derived from them.
 
-    The star join, the order ledger, the customer profile and the scores are written to
-    the shared folder on first use: dozens of plans read them, and a written table keeps
-    their scans narrow and their lineage short. Everything else stays a lazy view.
+    The star join, the peer baseline, the order ledger, the customer profile, the scores and
+    the marts that need ordered scans are written to the shared folder on first use: dozens
+    of plans read them, and a written table keeps their scans narrow and their lineage short.
+    Plans with quantiles or ranks also write what they put in order. Other tables are views.
     """
 
     def __init__(
@@ -36,6 +40,16 @@ class Warehouse:
         self.line_policy = line_policy
         self._kept: dict[str, Any] = {}
 
+    def __enter__(self) -> Warehouse:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove all tables that this warehouse staged."""
+        self.area.close()
+
     def once(self, name: str, build: Callable[[], Any]) -> Any:
         """Build something on first use and keep it with the warehouse."""
         if name not in self._kept:
@@ -48,7 +62,13 @@ class Warehouse:
 
     @cached_property
     def staged(self) -> dict[str, DataFrame]:
-        return staged_tables(self.raw)
+        """The staging models; products are written, so their true size decides the join.
+
+        A grouped or derived table is only estimated, and never small at scale: lines would
+        be shuffled on a few product ids to meet it.
+        """
+        models = staged_tables(self.raw)
+        return models | {"products": self.area.put("products", models["products"])}
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -58,7 +78,18 @@ class Warehouse:
     @cached_property
     def lines(self) -> DataFrame:
         """The pricing fact."""
-        return fact.pricing_metrics(self.enriched, self.line_policy)
+        return fact.pricing_metrics(self.enriched, self.line_policy, self.peer_baseline)
+
+    @cached_property
+    def peer_baseline(self) -> DataFrame:
+        """Mean realization per product and channel, computed once and of known size.
+
+        Written with twelve digits: the order in which tasks add up would else show in the
+        last bits, and every residual of a product with it.
+        """
+        mean = half_even(F.col("peer_price_realization"), P.SUM_DIGITS)
+        table = fact.peer_baseline(self.enriched).withColumn("peer_price_realization", mean)
+        return self.area.put("peer_baseline", table)
 
     @cached_property
     def ledger(self) -> DataFrame:
@@ -69,9 +100,9 @@ class Warehouse:
 
     @cached_property
     def profile(self) -> DataFrame:
-        return self.area.put(
-            "customer_pricing_profile", customers.profile(self.lines, self.ledger)
-        )
+        """Customer measures, stored like the peer baseline with twelve digits."""
+        table = round_doubles(customers.profile(self.lines, self.ledger), P.SUM_DIGITS)
+        return self.area.put("customer_pricing_profile", table)
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -93,9 +124,8 @@ class Warehouse:
 
     @cached_property
     def account_facts(self) -> DataFrame:
-        """Month by dimension facts of the accounts in the review queue."""
-        queue = risk.review_queue(self.scores)
-        return self.area.put("account_facts", dashboard.customer_facts(self.lines, queue))
+        """Month by dimension facts of every account."""
+        return self.area.put("account_facts", dashboard.customer_facts(self.lines))
 
     @cached_property
     def scope_facts(self) -> DataFrame:

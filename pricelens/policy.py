@@ -168,8 +168,11 @@ DEEP_TAIL_P90 = 30.0
 # Dashboard.
 ALL = "All"
 SCOPE_DIMS = ("segment", "region", "category", "sales_channel")
-REVIEW_QUEUE_ROWS = 140
+REVIEW_QUEUE_ROWS = 140  # the fill of the review queue alone; Critical and High are never cut
 QUEUE_TABLE_ROWS = 120
+TOP_PRODUCTS = 12
+TOP_DEPENDENCE = 15
+QUEUE_PREVIEW_ROWS = 5
 COLLAPSE_MAX_ROWS = 6
 COLLAPSE_LABEL = "Other actions"
 WATCH = {
@@ -179,6 +182,10 @@ WATCH = {
 }
 POSTURES = {"critical": "Intervene now", "warn": "Tight watch", "ok": "Controlled"}
 
+# Digits at which sums of doubles are stored or ranked: the order in which tasks add up then
+# makes no new value and breaks no tie.
+SUM_DIGITS = 12
+
 # Release policy.
 REQUIRED_FLAGS = {
     "technically_valid": True,

@@ -85,7 +85,8 @@ COMMON = {
                     ELSE 0 END AS exposed,
                CASE WHEN high = 1 THEN net ELSE 0 END AS high_net
         FROM priced p
-        LEFT JOIN (SELECT product_id, sales_channel, avg(realization) AS peer
+        LEFT JOIN (SELECT product_id, sales_channel,
+                          round_even(avg(realization) * 1e12::DOUBLE, 0) / 1e12::DOUBLE AS peer
                    FROM priced GROUP BY product_id, sales_channel) b
           ON b.product_id = p.product_id AND b.sales_channel = p.sales_channel""",
     "ledger": """
@@ -373,7 +374,7 @@ COMMON = {
         FROM scopes GROUP BY scope""",
     "accounts": """
         SELECT t.scope, q.*, t.filtered_revenue, t.filtered_avg_discount
-        FROM queue q
+        FROM scores q
         JOIN (SELECT scope, customer_id, sum(net) AS filtered_revenue,
                      sum(given) / sum(listed) AS filtered_avg_discount
               FROM scopes WHERE inside GROUP BY scope, customer_id HAVING sum(net) > 0) t
@@ -512,7 +513,15 @@ _LINE_AMOUNTS = """SELECT order_item_id, listed AS line_list_revenue, net AS lin
 
 BODIES = {
     "a1_csv_source": "SELECT * FROM raw_orders",
+    "a1_csv_customers": "SELECT * FROM raw_customers",
+    "a1_csv_products": "SELECT * FROM raw_products",
+    "a1_csv_sales_reps": "SELECT *, rep_region AS region FROM raw_sales_reps",
+    "a1_csv_order_items": "SELECT * FROM raw_order_items",
     "a2_typed_csv_bundle": "SELECT * FROM raw_customers",
+    "a2_typed_csv_products": "SELECT * FROM raw_products",
+    "a2_typed_csv_sales_reps": "SELECT *, rep_region AS region FROM raw_sales_reps",
+    "a2_typed_csv_orders": "SELECT * FROM raw_orders",
+    "a2_typed_csv_order_items": "SELECT * FROM raw_order_items",
     "a3_table_sink": """SELECT mart AS table_name, format, rows AS row_count
         FROM mart_keys, (VALUES ('csv'), ('parquet')) AS f(format)""",
     "a4_stg_customers": "SELECT * FROM raw_customers",
@@ -526,7 +535,7 @@ BODIES = {
     "a6_json_records": """SELECT to_json({customer_id: customer_id, segment: segment,
         region: region, risk_tier: risk_tier, main_risk_driver: main_risk_driver,
         recommended_action: recommended_action,
-        governance_priority_score: governance_priority_score}) AS record FROM queue""",
+        governance_priority_score: governance_priority_score}) AS record FROM scores""",
     "a7_model_run_log": """
         SELECT 'staging' AS layer, 'stg_customers' AS model_name, count(*) AS row_count
         FROM raw_customers
@@ -605,7 +614,8 @@ BODIES = {
     "c6_anti_joins": """SELECT 'anti_join_' || child || '_missing_' || parent AS check_name,
         missing AS missing_rows FROM links""",
     "c7_semi_join": """SELECT order_item_id, customer_id, net AS line_revenue FROM lines
-        WHERE customer_id IN (SELECT customer_id FROM queue)""",
+        WHERE customer_id IN (SELECT customer_id FROM scores
+                              WHERE risk_tier IN ('Critical', 'High'))""",
     "c8_margin_full_outer": """SELECT customer_id, avg_margin_proxy_pct,
         expected_margin_proxy_pct,
         abs(avg_margin_proxy_pct - expected_margin_proxy_pct) <= 1e-9 AS agrees
@@ -631,10 +641,20 @@ BODIES = {
             'avg_discount_pct', 'high_discount_share', 'weighted_discount_pct',
             'margin_proxy_pct']), rows, 0 FROM (SELECT count(*) AS rows FROM monthly)
         UNION ALL SELECT 'customers', unnest(['total_order_items', 'total_revenue',
-            'avg_discount_pct', 'weighted_discount_pct', 'avg_margin_proxy_pct',
-            'revenue_high_discount_share', 'share_orders_discounted',
-            'share_orders_high_discount', 'total_orders']), rows, 0
-        FROM (SELECT count(*) AS rows FROM profile)""",
+            'avg_discount_pct', 'weighted_discount_pct', 'share_order_items_discounted',
+            'product_diversity', 'avg_margin_proxy_pct', 'realized_price_cv',
+            'avg_abs_price_realization_residual_pct', 'revenue_high_discount_share',
+            'share_orders_discounted', 'share_orders_high_discount', 'total_orders',
+            'repeat_discount_behavior']), rows, 0
+        FROM (SELECT count(*) AS rows FROM profile)
+        UNION ALL SELECT 'segments', unnest(['total_revenue', 'avg_discount_pct',
+            'median_discount_pct', 'share_high_discount', 'avg_margin_proxy_pct',
+            'realized_price_variance', 'realized_price_std', 'margin_erosion_proxy']), rows, 0
+        FROM (SELECT count(*) AS rows FROM segments)
+        UNION ALL SELECT 'products', unnest(['revenue', 'list_revenue', 'avg_discount_pct',
+            'avg_margin_proxy_pct', 'high_discount_share', 'order_item_count',
+            'price_realization']), rows, 0
+        FROM (SELECT count(*) AS rows FROM products)""",
     "d1_overall": "SELECT * FROM overall",
     "d2_monthly": "SELECT * FROM monthly",
     "d3_yearly": "SELECT * FROM yearly",
@@ -684,7 +704,7 @@ BODIES = {
     "d21_customer_fact": """SELECT order_month, customer_id, segment, region, category,
         sales_channel, sum(net) AS filtered_revenue, sum(listed) AS filtered_list_revenue,
         sum(given) AS filtered_discount_num
-        FROM scope_lines WHERE customer_id IN (SELECT customer_id FROM queue)
+        FROM scope_lines
         GROUP BY order_month, customer_id, segment, region, category, sales_channel""",
     "d22_channel_comparison": """SELECT sales_channel, sum(net) AS revenue,
         avg(depth) AS avg_discount_pct, sum(gm) / sum(net) AS avg_margin_proxy_pct
@@ -766,7 +786,7 @@ BODIES = {
     "f4_top_products": """SELECT *, high_discount_share >= 0.30 AS deep_discount FROM products
         ORDER BY revenue DESC, product_id LIMIT 12""",
     "f5_top_dependence": "SELECT * FROM products ORDER BY dependence_score DESC, product_id LIMIT 15",
-    "f6_top_values": tables.top_values(["order_item_enriched"]),
+    "f6_top_values": tables.top_values(),
     "f7_queue_preview": """SELECT * FROM action_queue
         ORDER BY priority_value_proxy DESC, governance_priority_score DESC,
                  margin_at_risk_revenue DESC, customer_id LIMIT 5""",
@@ -997,6 +1017,14 @@ BODIES = {
         FROM accounts WHERE scope = 'open' GROUP BY recommended_action""",
 }
 
+BODIES["a6_json_row_sets"] = f"""
+    SELECT 'kpi_cube' AS record_set, count(*) AS row_count, sum(net_revenue) AS amount
+    FROM ({BODIES["d19_kpi_cube"]})
+    UNION ALL SELECT 'monthly_facts', count(*), sum(line_revenue) FROM ({BODIES["d20_monthly_fact"]})
+    UNION ALL SELECT 'accounts', count(*), sum(filtered_revenue) FROM accounts WHERE scope = 'open'
+    UNION ALL SELECT 'account_facts', count(*), sum(filtered_revenue)
+    FROM ({BODIES["d21_customer_fact"]})"""
+
 
 def _needed(text: str) -> list[str]:
     """Building blocks a text refers to, each after those it builds on."""

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pricelens.plans.contracts import CONTRACTS
-
 # Profiled tables: source relation and columns as name=<class><type>.
 # Classes: I identifier, D dimension, S structural, T temporal, B boolean, M metric.
 # Types: s string, l bigint, i int, d double, t date.
@@ -164,9 +162,12 @@ def _columns(table: str) -> list[tuple[str, str, str]]:
 
 
 def _view(table: str) -> str:
-    """The table as published: doubles rounded half to even at ten digits."""
+    """The profiled columns of a table; customer aggregates are stored with twelve digits."""
+    stored = table in ("customer_pricing_profile", "customer_risk_scores")
     items = [
-        f"round_even({n} * 1e10::DOUBLE, 0) / 1e10::DOUBLE AS {n}" if dtype == "double" else n
+        f"round_even({n} * 1e12::DOUBLE, 0) / 1e12::DOUBLE AS {n}"
+        if stored and dtype == "double"
+        else n
         for n, _, dtype in _columns(table)
     ]
     return f"SELECT {', '.join(items)} FROM {TABLES[table][0]}"
@@ -268,12 +269,115 @@ def numeric_summary() -> str:
     return " UNION ALL ".join(parts)
 
 
+# The metric contracts, written out for the oracle. Per table: key, columns that
+# must not be NULL, lower and upper bounds, allowed labels.
+_CONTRACTS = {
+    "order_item_pricing_metrics": (
+        "order_item_id",
+        "order_item_id order_id order_date order_month customer_id product_id line_revenue"
+        " line_list_revenue discount_depth line_price_realization"
+        " price_realization_residual_pct high_discount_flag margin_proxy_pct",
+        {
+            "line_revenue": (0.0, None),
+            "line_list_revenue": (0.0, None),
+            "realized_price": (0.0, None),
+            "list_price_at_sale": (0.0, None),
+            "discount_depth": (0.0, 0.7),
+            "line_price_realization": (0.0, 1.0),
+            "high_discount_flag": (0.0, 1.0),
+            "margin_proxy_pct": (-0.25, 1.0),
+        },
+        {
+        },
+    ),
+    "customer_pricing_profile": (
+        "customer_id",
+        "customer_id total_orders total_revenue avg_discount_pct weighted_discount_pct"
+        " share_orders_discounted share_orders_high_discount revenue_high_discount_share"
+        " avg_margin_proxy_pct realized_price_cv avg_abs_price_realization_residual_pct"
+        " repeat_discount_behavior",
+        {
+            "total_orders": (1.0, None),
+            "total_revenue": (0.0, None),
+            "avg_discount_pct": (0.0, 0.7),
+            "weighted_discount_pct": (0.0, 0.7),
+            "share_orders_discounted": (0.0, 1.0),
+            "share_orders_high_discount": (0.0, 1.0),
+            "revenue_high_discount_share": (0.0, 1.0),
+            "avg_margin_proxy_pct": (0.0, 1.0),
+            "realized_price_cv": (0.0, None),
+            "avg_abs_price_realization_residual_pct": (0.0, None),
+            "repeat_discount_behavior": (0.0, 1.0),
+        },
+        {
+        },
+    ),
+    "customer_risk_scores": (
+        "customer_id",
+        "customer_id pricing_risk_score discount_dependency_score margin_erosion_score"
+        " governance_priority_score main_risk_driver risk_tier recommended_action"
+        " low_data_flag",
+        {
+            "pricing_risk_score": (0.0, 100.0),
+            "discount_dependency_score": (0.0, 100.0),
+            "margin_erosion_score": (0.0, 100.0),
+            "governance_priority_score": (0.0, 100.0),
+            "low_data_flag": (0.0, 1.0),
+        },
+        {
+            "risk_tier": ("Low", "Medium", "High", "Critical",),
+            "main_risk_driver": (
+                "pricing_risk_score",
+                "discount_dependency_score",
+                "margin_erosion_score",
+            ),
+            "recommended_action": (
+                "monitor only",
+                "review segment pricing",
+                "review pricing variance",
+                "review discount terms",
+                "review margin guardrails",
+            ),
+        },
+    ),
+    "segment_pricing_summary": (
+        "segment",
+        "segment total_revenue avg_discount_pct median_discount_pct share_high_discount"
+        " avg_margin_proxy_pct price_realization_residual_std"
+        " price_realization_residual_abs_mean margin_erosion_proxy",
+        {
+            "total_revenue": (0.0, None),
+            "avg_discount_pct": (0.0, 0.7),
+            "share_high_discount": (0.0, 1.0),
+            "avg_margin_proxy_pct": (0.0, 1.0),
+            "price_realization_residual_abs_mean": (0.0, None),
+            "margin_erosion_proxy": (0.0, None),
+        },
+        {
+        },
+    ),
+    "overall_pricing_health": (
+        "",
+        "total_revenue weighted_realized_discount price_realization"
+        " high_discount_revenue_share margin_proxy_pct",
+        {
+            "total_revenue": (0.0, None),
+            "weighted_realized_discount": (0.0, 1.0),
+            "price_realization": (0.0, 1.0),
+            "high_discount_revenue_share": (0.0, 1.0),
+            "margin_proxy_pct": (0.0, 1.0),
+        },
+        {
+        },
+    ),
+}
+
 _CONTRACT_SOURCE = {"overall_pricing_health": "overall"}
 
 
 def metric_contracts() -> str:
     parts = []
-    for table, contract in CONTRACTS.items():
+    for table, (key, not_null, bounds, allowed) in _CONTRACTS.items():
         source = _CONTRACT_SOURCE.get(table, f"full_{table}")
         width = 9 if table == "overall_pricing_health" else len(_columns(table))
         names = ["table_exists", "row_count_positive", "required_columns_present"]
@@ -281,24 +385,24 @@ def metric_contracts() -> str:
         details = [
             f"'rows=' || count(*) || ' cols={width}'", "'rows=' || count(*)", "'all present'",
         ]
-        if contract.key:
-            key = ", ".join(contract.key)
+        if key:
+            key = ", ".join(key.split())
             repeats = f"count(*) - count(DISTINCT {key})"
             names.append("primary_key_uniqueness")
             failed.append(repeats)
             details.append(f"'primary_key={key}, duplicate_rows=' || ({repeats})")
-        worst = ", ".join(f"count(*) - count({c})" for c in contract.not_null)
+        worst = ", ".join(f"count(*) - count({c})" for c in not_null.split())
         names.append("key_null_rate")
         failed.append(f"greatest({worst})")
         details.append(f"'max_null_rate=' || printf('%.4f', greatest({worst}) / count(*))")
-        for name, (low, high) in contract.bounds.items():
+        for name, (low, high) in bounds.items():
             tests = [f"{name} < {low}"] if low is not None else []
             tests += [f"{name} > {high}"] if high is not None else []
             broken = f"count(*) FILTER ({' OR '.join(tests)})"
             names.append(f"bound_{name}")
             failed.append(broken)
             details.append(f"'violations=' || {broken} || ', min={low}, max={high}'")
-        for name, labels in contract.allowed.items():
+        for name, labels in allowed.items():
             listed = ", ".join(f"'{label}'" for label in labels)
             broken = f"count(*) FILTER ({name} NOT IN ({listed}))"
             names.append(f"allowed_values_{name}")
@@ -1098,7 +1202,7 @@ COMMON = {
     **{f"t_{table}": _view(table) for table in TABLES},
     **{
         f"full_{table}": f"SELECT * FROM {TABLES[table][0]}"
-        for table in CONTRACTS
+        for table in _CONTRACTS
         if table in TABLES
     },
     "column_stats": " UNION ALL ".join(_stats(table) for table in TABLES),

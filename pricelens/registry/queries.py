@@ -42,16 +42,23 @@ SCOPES = {"open": OPEN, "narrow": NARROW}
 # --- sources and sinks ---------------------------------------------------------------------
 
 
-def csv_source(w: Warehouse) -> DataFrame:
-    folder = w.area.location("csv")
-    files.write_bundle({"orders": w.raw["orders"]}, folder)
-    return files.read_csv(w.spark, folder, "orders", typed=False)
+def csv_folder(w: Warehouse) -> str:
+    """The raw tables as CSV, written once per warehouse."""
 
+    def write() -> str:
+        folder = w.area.location("csv")
+        files.write_bundle(w.raw, folder)
+        return folder
 
-def typed_csv_bundle(w: Warehouse) -> DataFrame:
-    folder = w.area.location("csv")
-    files.write_bundle(w.raw, folder)
-    return files.read_csv_bundle(w.spark, folder)["customers"]
+    return w.once("csv_folder", write)
+
+
+def csv_source(name: str) -> Query:
+    return lambda w: files.read_csv(w.spark, csv_folder(w), name, typed=False)
+
+
+def typed_csv(name: str) -> Query:
+    return lambda w: files.read_csv_bundle(w.spark, csv_folder(w))[name]
 
 
 def mart_tables(w: Warehouse) -> dict[str, DataFrame]:
@@ -91,10 +98,9 @@ def policy_relation(w: Warehouse) -> DataFrame:
 
 
 def json_records(w: Warehouse) -> DataFrame:
-    queue = risk.review_queue(w.scores)
-    return queue.select(
+    return w.scores.select(
         files.json_record(
-            queue,
+            w.scores,
             "customer_id",
             "segment",
             "region",
@@ -106,6 +112,24 @@ def json_records(w: Warehouse) -> DataFrame:
     )
 
 
+def json_row_sets(w: Warehouse) -> DataFrame:
+    """The dashboard's row sets as JSON files, read back: rows and revenue of each."""
+    sets = {
+        "kpi_cube": (dashboard.kpi_cube(w.scope_facts), "net_revenue"),
+        "monthly_facts": (w.scope_facts, "line_revenue"),
+        "accounts": (accounts(w, OPEN), "filtered_revenue"),
+        "account_facts": (w.account_facts, "filtered_revenue"),
+    }
+    folder = w.area.location("json")
+    files.write_bundle({name: table for name, (table, _) in sets.items()}, folder, ["json"])
+    read = []
+    for name, (table, amount) in sets.items():
+        back = w.spark.read.schema(table.schema).json(f"{folder}/{name}.json")
+        sums = back.agg(F.count(F.lit(1)).alias("row_count"), F.sum(amount).alias("amount"))
+        read.append(sums.select(F.lit(name).alias("record_set"), "row_count", "amount"))
+    return checks.stacked(read)
+
+
 def run_log(w: Warehouse) -> DataFrame:
     return quality.run_log(
         {
@@ -209,7 +233,8 @@ def policy_join(w: Warehouse) -> DataFrame:
 
 
 def semi_join(w: Warehouse) -> DataFrame:
-    chosen = risk.review_queue(w.scores).select("customer_id")
+    """Lines of all accounts in the upper risk tiers."""
+    chosen = w.scores.where(col("risk_tier").isin(*P.PRIORITY_TIERS)).select("customer_id")
     return w.lines.join(chosen, "customer_id", "left_semi")
 
 
@@ -228,6 +253,12 @@ def path_parity(w: Warehouse) -> DataFrame:
                 w.profile,
                 ["customer_id"],
             ),
+            sql_models.parity(
+                "segments", sql_models.segments(w.lines), w.segment_mart, ["segment"]
+            ),
+            sql_models.parity(
+                "products", sql_models.products(w.lines), marts.products(w.lines), ["product_id"]
+            ),
         ]
     )
 
@@ -246,7 +277,7 @@ def rounded_columns(w: Warehouse) -> DataFrame:
 
 
 def customer_fact(w: Warehouse) -> DataFrame:
-    return dashboard.customer_facts(w.lines, risk.review_queue(w.scores))
+    return dashboard.customer_facts(w.lines)
 
 
 def weighted_averages(w: Warehouse) -> DataFrame:
@@ -263,6 +294,7 @@ def product_ranks(w: Warehouse) -> DataFrame:
         base,
         ["product_id"],
         ["avg_discount_pct", "high_discount_share", "avg_margin_proxy_pct"],
+        digits=P.SUM_DIGITS,
     )
     return ranks.select(
         "product_id",
@@ -284,16 +316,11 @@ def top_decile(w: Warehouse) -> DataFrame:
     return ranked.where(col("position") < head).join(shares, "customer_id")
 
 
-def top_products(w: Warehouse) -> DataFrame:
-    top = marts.products(w.lines).orderBy(col("revenue").desc(), "product_id").limit(12)
+def top_products(w: Warehouse, most: int = P.TOP_PRODUCTS) -> DataFrame:
+    top = marts.products(w.lines).orderBy(col("revenue").desc(), "product_id").limit(most)
     return top.withColumn("deep_discount", col("high_discount_share") >= P.DEEP_SHARE_MARK)
 
 
-def top_values(w: Warehouse) -> DataFrame:
-    profiler = profiling.TableProfiler(w.area, {"order_item_enriched": w.enriched})
-    return profiler.top_values()
-
-
 def collapsed_tail(w: Warehouse) -> DataFrame:
     sums = marts.products(w.lines).select(
         col("product_id").alias("label"), col("revenue").alias("value")
@@ -338,7 +365,7 @@ def priority_histogram(w: Warehouse) -> DataFrame:
 
 
 def signals(w: Warehouse) -> DataFrame:
-    return risk.signals(w.area, w.profile)
+    return w.once("signals", lambda: risk.signals(w.area, w.profile))
 
 
 def reliability(w: Warehouse) -> DataFrame:
@@ -381,7 +408,9 @@ def cell_spotlight(w: Warehouse) -> DataFrame:
 
 
 def profiler(w: Warehouse) -> profiling.TableProfiler:
-    return w.once("profiler", lambda: profiling.TableProfiler(w.area, all_tables(w)))
+    """Shared profiles; the pricing fact holds the enriched lines' columns on the same rows."""
+    repeats = {"order_item_enriched": "order_item_pricing_metrics"}
+    return w.once("profiler", lambda: profiling.TableProfiler(w.area, all_tables(w), repeats))
 
 
 def all_tables(w: Warehouse) -> dict[str, DataFrame]:
@@ -389,20 +418,27 @@ def all_tables(w: Warehouse) -> dict[str, DataFrame]:
 
 
 def metric_contracts(w: Warehouse) -> DataFrame:
-    tables = w.derived_tables()
-    tables["overall_pricing_health"] = marts.overall(w.lines)
-    return contracts.contract_report(tables)
+    def build() -> DataFrame:
+        tables = w.derived_tables()
+        tables["overall_pricing_health"] = marts.overall(w.lines)
+        return w.area.put("metric_contracts", contracts.contract_report(tables))
+
+    return w.once("metric_contracts", build)
 
 
 def analysis_checks(w: Warehouse) -> DataFrame:
-    return review.analysis_report(
-        w.lines,
-        w.enriched,
-        marts.yearly(w.lines),
-        diagnostics.segment_dependency(w.lines, w.profile),
-        marts.overall(w.lines),
-        w.profile,
-    )
+    def build() -> DataFrame:
+        report = review.analysis_report(
+            w.lines,
+            w.enriched,
+            marts.yearly(w.lines),
+            diagnostics.segment_dependency(w.lines, w.profile),
+            marts.overall(w.lines),
+            w.profile,
+        )
+        return w.area.put("analysis_checks", report)
+
+    return w.once("analysis_checks", build)
 
 
 def cross_output(w: Warehouse) -> DataFrame:
@@ -448,7 +484,7 @@ def readiness(w: Warehouse) -> DataFrame:
 
 
 def accounts(w: Warehouse, scope: Scope) -> DataFrame:
-    return dashboard.scoped_accounts(risk.review_queue(w.scores), w.account_facts, scope)
+    return dashboard.scoped_accounts(w.scores, w.account_facts, scope)
 
 
 def per_scope(w: Warehouse, build: Callable[[Scope], DataFrame]) -> DataFrame:
@@ -468,8 +504,16 @@ def scoped_kpis(w: Warehouse) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "a1_csv_source": csv_source,
-    "a2_typed_csv_bundle": typed_csv_bundle,
+    "a1_csv_source": csv_source("orders"),
+    "a1_csv_customers": csv_source("customers"),
+    "a1_csv_products": csv_source("products"),
+    "a1_csv_sales_reps": csv_source("sales_reps"),
+    "a1_csv_order_items": csv_source("order_items"),
+    "a2_typed_csv_bundle": typed_csv("customers"),
+    "a2_typed_csv_products": typed_csv("products"),
+    "a2_typed_csv_sales_reps": typed_csv("sales_reps"),
+    "a2_typed_csv_orders": typed_csv("orders"),
+    "a2_typed_csv_order_items": typed_csv("order_items"),
     "a3_table_sink": table_sink,
     "a4_stg_customers": lambda w: w.staged["customers"],
     "a4_stg_products": lambda w: w.staged["products"],
@@ -478,6 +522,7 @@ QUERIES: dict[str, Query] = {
     "a4_stg_sales_reps": lambda w: w.staged["sales_reps"],
     "a5_policy_relation": policy_relation,
     "a6_json_records": json_records,
+    "a6_json_row_sets": json_row_sets,
     "a7_model_run_log": run_log,
     "b1_line_financials": lambda w: w.lines,
     "b2_margin_proxy_pct": lambda w: w.lines,
@@ -559,11 +604,11 @@ QUERIES: dict[str, Query] = {
     "f4_top_products": top_products,
     "f5_top_dependence": lambda w: diagnostics.dependence_ranking(w.lines)
     .orderBy(col("dependence_score").desc(), "product_id")
-    .limit(15),
-    "f6_top_values": top_values,
+    .limit(P.TOP_DEPENDENCE),
+    "f6_top_values": lambda w: profiler(w).top_values(),
     "f7_queue_preview": lambda w: diagnostics.action_queue(w.lines, w.scores)
     .orderBy(*diagnostics.queue_order())
-    .limit(5),
+    .limit(P.QUEUE_PREVIEW_ROWS),
     "f8_collapsed_tail": collapsed_tail,
     "f9_queue_table": lambda w: dashboard.queue_table(accounts(w, OPEN), "filtered_revenue"),
     "g1_union_dedupe": union_dedupe,

@@ -41,24 +41,34 @@ _ACCOUNT = (
     "customer_id:i segment:k region:k risk_tier:k main_risk_driver:k recommended_action:k"
     " governance_priority_score:r filtered_revenue:m filtered_avg_discount:r"
 )
+_ITEMS = (
+    "order_item_id:k order_id:i product_id:k quantity:i list_price_at_sale:m"
+    " realized_unit_price:m discount_pct:r"
+)
 _SCOPE_DIMS = "segment:k region:k category:k sales_channel:k"
 
 COLUMNS = {
     "a1_csv_source": "order_id:i customer_id:i order_date:d sales_channel:k sales_rep_id:i",
     "a2_typed_csv_bundle": "customer_id:i signup_date:d segment:k region:k company_size:k",
+    "a1_csv_customers": "customer_id:i signup_date:d segment:k region:k company_size:k",
+    "a1_csv_products": "product_id:k product_name:k category:k list_price:m unit_cost:m",
+    "a1_csv_sales_reps": "sales_rep_id:i team:k region:k",
+    "a1_csv_order_items": _ITEMS,
+    "a2_typed_csv_products": "product_id:k product_name:k category:k list_price:m unit_cost:m",
+    "a2_typed_csv_sales_reps": "sales_rep_id:i team:k region:k",
+    "a2_typed_csv_orders": "order_id:i customer_id:i order_date:d sales_channel:k sales_rep_id:i",
+    "a2_typed_csv_order_items": _ITEMS,
     "a3_table_sink": "table_name:k format:k row_count:i",
     "a4_stg_customers": "customer_id:i signup_date:d segment:k region:k company_size:k",
     "a4_stg_products": "product_id:k product_name:k category:k list_price:m unit_cost:m",
     "a4_stg_orders": "order_id:i customer_id:i order_date:d sales_channel:k sales_rep_id:i",
-    "a4_stg_order_items": (
-        "order_item_id:k order_id:i product_id:k quantity:i list_price_at_sale:m"
-        " realized_unit_price:m discount_pct:r"
-    ),
+    "a4_stg_order_items": _ITEMS,
     "a4_stg_sales_reps": "sales_rep_id:i team:k rep_region:k",
     "a5_policy_relation": (
         "high_discount_threshold:r discounted_threshold:r lines_high:i lines_discounted:i"
     ),
     "a6_json_records": "record:k",
+    "a6_json_row_sets": "record_set:k row_count:i amount:m",
     "a7_model_run_log": "layer:k model_name:k row_count:i",
     "b1_line_financials": (
         "order_item_id:k line_list_revenue:m line_revenue:m line_cost:m gross_margin_value:m"

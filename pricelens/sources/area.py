@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError(f"set {_SETTING} to storage that every executor can reach")
     if context.applicationId not in _private_folders:
         _private_folders[context.applicationId] = tempfile.mkdtemp(prefix="pricelens-")
@@ -29,7 +30,8 @@ class StagingArea:
     """Writes intermediate tables as Parquet and hands back frames that read them.
 
     A written table cuts lineage and outlives lost executors, and readers get column
-    pruning and file statistics from it. Each area owns one sub-folder.
+    pruning and file statistics from it. Each area owns one sub-folder, which ``close`` (or
+    leaving a ``with`` block) removes with everything written to it.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
@@ -38,6 +40,18 @@ class StagingArea:
         self.path = f"{root}/pricelens/{uuid.uuid4().hex}"
         self._count = 0
 
+    def __enter__(self) -> StagingArea:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Remove the area's own folder; frames that read from it are of no use afterwards."""
+        context = self.spark.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
     def location(self, name: str) -> str:
         self._count += 1
         return f"{self.path}/{self._count:04d}_{name}"

@@ -80,10 +80,10 @@ def enriched_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 FOUR_LINES = [
-    ("OI1", "O1", "2024-01-02", "C1", "S1", "P1", "K1", "Online", 2, 100.0, 100.0, 0.0, 60.0),
-    ("OI2", "O2", "2024-01-10", "C1", "S1", "P1", "K1", "Online", 1, 100.0, 80.0, 0.2, 50.0),
-    ("OI3", "O3", "2024-01-20", "C1", "S1", "P2", "K1", "Field", 1, 200.0, 140.0, 0.3, 100.0),
-    ("OI4", "O4", "2024-01-03", "C2", "S2", "P3", "K2", "Online", 1, 50.0, 0.0, 1.0, 10.0),
+    ("L1", "A1", "2023-03-05", "C1", "S1", "P1", "K1", "Online", 4, 50.0, 50.0, 0.0, 30.0),
+    ("L2", "A2", "2023-03-17", "C1", "S1", "P1", "K1", "Online", 2, 50.0, 40.0, 0.2, 28.0),
+    ("L3", "A3", "2023-04-02", "C1", "S1", "P2", "K1", "Field", 3, 120.0, 90.0, 0.25, 70.0),
+    ("L4", "A4", "2023-03-09", "C2", "S2", "P3", "K2", "Online", 1, 75.0, 0.0, 1.0, 12.0),
 ]
 
 

@@ -16,13 +16,13 @@ from tests.conftest import by_name
 
 def test_line_metrics(four_lines):
     rows = by_name(four_lines, "order_item_id")
-    second = rows["OI2"]
+    second = rows["L2"]
     assert second.discount_bucket == "10-20%"
     assert (second.high_discount_flag, second.discounted_flag) == (1, 1)
-    assert (second.line_revenue, second.line_cost, second.gross_margin_value) == (80, 50, 30)
-    assert second.margin_proxy_pct == pytest.approx(0.375)
-    assert rows["OI1"].price_realization_residual_pct == pytest.approx(10 / 90)
-    free = rows["OI4"]
+    assert (second.line_revenue, second.line_cost, second.gross_margin_value) == (80, 56, 24)
+    assert second.margin_proxy_pct == pytest.approx(0.3)
+    assert rows["L1"].price_realization_residual_pct == pytest.approx(10 / 90)
+    free = rows["L4"]
     assert free.discount_bucket == "30%+" and free.margin_proxy_pct is None
     assert free.price_realization_residual_pct == 0.0
 
@@ -149,3 +149,12 @@ def test_orders_before_signup_are_flagged(raw_tables):
     early = raw_tables["orders"].withColumn("order_date", F.lit("2020-01-01"))
     row = quality.order_dates({**raw_tables, "orders": early}).first()
     assert row.before_signup is True
+
+
+def test_closing_an_area_removes_its_tables(spark, tmp_path):
+    from pricelens.sources.area import StagingArea
+
+    with StagingArea(spark, str(tmp_path)) as area:
+        area.put("numbers", spark.range(5))
+        assert list(tmp_path.rglob("*.parquet"))
+    assert not list(tmp_path.rglob("*.parquet"))

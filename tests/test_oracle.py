@@ -10,6 +10,8 @@ from pricelens.registry.shape import COLUMNS, columns_of
 from tools.compare import difference, oracle_connection
 
 FOLDER = "/root/testdata/sf0.001"
+# Findings and exceptions: the given tables are clean, so these have nothing to report.
+MAY_BE_EMPTY = {"c2_join_contract"}
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +21,8 @@ def connection():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_its_oracle(spark, connection, name):
-    assert difference(spark, connection, name, FOLDER) in ("", "no rows")
+    allowed = ("", "no rows") if name in MAY_BE_EMPTY else ("",)
+    assert difference(spark, connection, name, FOLDER) in allowed
 
 
 def test_every_query_has_columns_and_an_oracle():

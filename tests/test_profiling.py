@@ -115,9 +115,28 @@ def test_few_values_and_many_values(spark, area):
 
 
 def test_negative_zero_is_no_new_value(spark, area):
-    table = spark.createDataFrame([(0.0,), (-1e-14,)], "delta double")
+    table = spark.createDataFrame([(0.0,), (-0.0,), (-1e-14,)], "delta double")
     row = profiling.TableProfiler(area, {"t": table}).column_profile().first()
-    assert row.distinct_count == 1
+    assert row.distinct_count == 2  # values are counted as they are, however small
+
+
+def test_values_are_not_stored_where_nobody_reads_them(spark, area):
+    rows = [(i, f"n{i % 3}", i / 7, "x" * 60 + str(i)) for i in range(200)]
+    table = spark.createDataFrame(rows, "row_id int, kind string, amount double, note string")
+    found = profiling.TableProfiler(area, {"t": table})
+    counts = {r.column_name: r.distinct_count for r in found.column_profile().collect()}
+    assert counts == {"row_id": 200, "kind": 3, "amount": 200, "note": 200}
+    assert {r.column_name for r in found.frequencies.collect()} == {"kind"}
+
+
+def test_repeated_columns_are_profiled_once(spark, area):
+    wide = spark.range(30).selectExpr("id AS a_id", "id % 3 AS n", "'t' AS label", "id / 2D AS extra")
+    tables = {"narrow": wide.select("a_id", "n", "label"), "wide": wide}
+    shared = profiling.TableProfiler(area, tables, {"narrow": "wide"})
+    alone = profiling.TableProfiler(area, tables)
+    for ask in ("column_profile", "numeric_summary", "top_values", "column_types"):
+        got, want = (sorted(map(str, getattr(p, ask)().collect())) for p in (shared, alone))
+        assert got == want
 
 
 def test_coverage_and_join_issues(spark):
