@@ -77,10 +77,10 @@ def tenure_band(days: Column) -> Column:
     return band
 
 
-def scope_columns(line_policy: P.LinePolicy = P.POLICY) -> dict[str, Column]:
+def scope_columns(policy: P.Policy = P.POLICY) -> dict[str, Column]:
     """High-discount revenue, margin-at-risk revenue and discount leakage of a line."""
-    high = col("discount_depth") >= F.lit(line_policy.high_discount)
-    exposed = high & (col("margin_proxy_pct") < F.lit(line_policy.margin_at_risk))
+    high = col("discount_depth") >= F.lit(policy.high_discount)
+    exposed = high & (col("margin_proxy_pct") < F.lit(policy.margin_at_risk))
     revenue = col("line_revenue")
     return {
         "high_discount_revenue": F.when(high, revenue).otherwise(F.lit(0.0)),
@@ -89,9 +89,9 @@ def scope_columns(line_policy: P.LinePolicy = P.POLICY) -> dict[str, Column]:
     }
 
 
-def dashboard_columns(line_policy: P.LinePolicy = P.POLICY) -> dict[str, Column]:
+def dashboard_columns(policy: P.Policy = P.POLICY) -> dict[str, Column]:
     """The additive measures the dashboard facts sum."""
-    scoped = scope_columns(line_policy)
+    scoped = scope_columns(policy)
     return {
         "discount_weighted_num": col("discount_depth") * col("line_list_revenue"),
         "high_discount_revenue": scoped["high_discount_revenue"],

@@ -30,10 +30,10 @@ def _scaled(distance: Column, span: float) -> Column:
     return clip(floored / F.lit(span) * F.lit(100.0), 0, 100)
 
 
-def breach_score(signal: str) -> Column:
+def breach_score(signal: str, policy: P.Policy = P.POLICY) -> Column:
     value = col(P.SIGNALS[signal])
     scale = shortfall if signal in P.LOW_IS_RISK else excess
-    return scale(value, P.BREACHES[signal])
+    return scale(value, policy.breaches[signal])
 
 
 def relative_score(rank: Column, distinct: Column, low_is_risk: bool) -> Column:
@@ -53,8 +53,8 @@ def blended(blend: P.Blend, relative: dict[str, Column], absolute: dict[str, Col
     ) * part(blend.absolute, absolute)
 
 
-def reliability(orders: Column) -> Column:
-    return clip(orders / F.lit(float(P.MIN_RELIABLE_ORDERS)), 0, 1)
+def reliability(orders: Column, policy: P.Policy = P.POLICY) -> Column:
+    return clip(orders / F.lit(float(policy.min_reliable_orders)), 0, 1)
 
 
 def shrink(raw: Column, weight: Column) -> Column:
@@ -62,8 +62,8 @@ def shrink(raw: Column, weight: Column) -> Column:
     return weight * raw + (F.lit(1.0) - weight) * F.lit(P.NEUTRAL_SCORE)
 
 
-def priority(scores: dict[str, Column]) -> Column:
-    terms = [F.lit(weight) * scores[name] for name, weight in P.PRIORITY_WEIGHTS.items()]
+def priority(scores: dict[str, Column], policy: P.Policy = P.POLICY) -> Column:
+    terms = [F.lit(weight) * scores[name] for name, weight in policy.priority_weights.items()]
     return reduce(Column.__add__, terms)
 
 
@@ -71,10 +71,10 @@ def score2(value: Column) -> Column:
     return half_even(value, 2)
 
 
-def risk_tier(score: Column) -> Column:
-    lower, name = P.TIERS[0]
+def risk_tier(score: Column, policy: P.Policy = P.POLICY) -> Column:
+    lower, name = policy.tiers[0]
     tier = F.when(score >= lower, name)
-    for lower, name in P.TIERS[1:]:
+    for lower, name in policy.tiers[1:]:
         tier = tier.when(score >= lower, name)
     return tier.otherwise(P.LOWEST_TIER)
 
@@ -96,7 +96,9 @@ def recommended_action(tier: Column, driver: Column) -> Column:
     return action.otherwise(P.MEDIUM_ACTION)
 
 
-def health_verdict(discount: Column, high_share: Column, margin: Column) -> tuple[Column, Column]:
+def health_verdict(
+    discount: Column, high_share: Column, margin: Column, policy: P.Policy = P.POLICY
+) -> tuple[Column, Column]:
     """Verdict and reason text for a portfolio row."""
 
     def inside(band: P.Band) -> Column:
@@ -108,8 +110,8 @@ def health_verdict(discount: Column, high_share: Column, margin: Column) -> tupl
 
     def pick(position: int) -> Column:
         return (
-            F.when(inside(P.HEALTHY), P.VERDICTS["healthy"][position])
-            .when(inside(P.MIXED), P.VERDICTS["mixed"][position])
+            F.when(inside(policy.healthy), P.VERDICTS["healthy"][position])
+            .when(inside(policy.mixed), P.VERDICTS["mixed"][position])
             .otherwise(P.VERDICTS["reliant"][position])
         )
 

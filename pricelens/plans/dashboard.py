@@ -80,24 +80,26 @@ def _with_month_label(facts: DataFrame) -> DataFrame:
     return facts.withColumn("order_month", F.date_format("order_month", "yyyy-MM"))
 
 
-def additive_lines(lines: DataFrame, line_policy: P.LinePolicy = P.POLICY) -> DataFrame:
-    return lines.withColumns(X.dashboard_columns(line_policy))
+def additive_lines(lines: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
+    return lines.withColumns(X.dashboard_columns(policy))
 
 
-def monthly_facts(lines: DataFrame) -> DataFrame:
+def monthly_facts(lines: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     """Additive measures per month and dimension combination."""
     sums = [F.sum(name).alias(name) for name in ADDITIVE]
     return _with_month_label(
-        additive_lines(lines).groupBy("order_month", *P.SCOPE_DIMS).agg(*sums)
+        additive_lines(lines, policy).groupBy("order_month", *P.SCOPE_DIMS).agg(*sums)
     )
 
 
-def customer_facts(lines: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+def customer_facts(
+    lines: DataFrame, chosen: DataFrame | None = None, policy: P.Policy = P.POLICY
+) -> DataFrame:
     """Additive measures per month, customer and dimension combination.
 
     All accounts by default; ``chosen`` limits them to its customers.
     """
-    kept = additive_lines(lines)
+    kept = additive_lines(lines, policy)
     if chosen is not None:
         kept = kept.join(chosen.select("customer_id"), "customer_id", "left_semi")
     facts = kept.groupBy("order_month", "customer_id", *P.SCOPE_DIMS).agg(
@@ -221,11 +223,13 @@ def high_risk_count(accounts: DataFrame) -> Column:
     return accounts.agg(F.count(F.when(upper, F.lit(1)))).scalar()
 
 
-def scoped_indicators(facts: DataFrame, accounts: DataFrame, scope: Scope) -> DataFrame:
+def scoped_indicators(
+    facts: DataFrame, accounts: DataFrame, scope: Scope, policy: P.Policy = P.POLICY
+) -> DataFrame:
     """The three watched indicators of a scope with their levels and the overall posture."""
     kpi = scoped_kpi(facts, scope).withColumn("high_risk_count", high_risk_count(accounts))
     levels = {
-        f"{name}_level": watch_level(col(name), watch) for name, watch in P.WATCH.items()
+        f"{name}_level": watch_level(col(name), watch) for name, watch in policy.watch.items()
     }
     leveled = kpi.withColumns(levels)
     any_of = {
@@ -239,7 +243,7 @@ def scoped_indicators(facts: DataFrame, accounts: DataFrame, scope: Scope) -> Da
         .otherwise(P.POSTURES["ok"])
     )
     return leveled.withColumn("posture", posture).select(
-        *P.WATCH, *levels, "posture", label.alias("posture_label")
+        *policy.watch, *levels, "posture", label.alias("posture_label")
     )
 
 

@@ -19,11 +19,12 @@ from pricelens.sources.area import StagingArea
 col = F.col
 
 
-def verdict(overall: DataFrame) -> DataFrame:
+def verdict(overall: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     name, reason = health_verdict(
         col("weighted_realized_discount"),
         col("high_discount_revenue_share"),
         col("margin_proxy_pct"),
+        policy,
     )
     return overall.select(
         "weighted_realized_discount",
@@ -34,17 +35,15 @@ def verdict(overall: DataFrame) -> DataFrame:
     )
 
 
-def threshold_sensitivity(
-    lines: DataFrame, line_policy: P.LinePolicy = P.POLICY
-) -> DataFrame:
+def threshold_sensitivity(lines: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     """High-discount exposure under each policy threshold, in one pass over the lines.
 
     Lines are summed per customer for all thresholds at once, customers are summed to one
     row, and that row is unfolded by threshold.
     """
     depth, revenue = col("discount_depth"), col("line_revenue")
-    exposed = col("margin_proxy_pct") < F.lit(line_policy.margin_at_risk)
-    steps = list(enumerate(line_policy.sensitivity))
+    exposed = col("margin_proxy_pct") < F.lit(policy.margin_at_risk)
+    steps = list(enumerate(policy.sensitivity))
     per_line: list[Column] = [F.sum(revenue).alias("revenue"), F.count(F.lit(1)).alias("lines")]
     per_customer: list[Column] = [
         F.sum("revenue").alias("revenue"),
@@ -63,7 +62,7 @@ def threshold_sensitivity(
         share = ratio(col(f"revenue_{i}"), col("revenue"), 0.0)
         per_customer += [
             *[F.sum(f"{n}_{i}").alias(f"{n}_{i}") for n in ("revenue", "margin", "lines", "exposed")],
-            count_if(share >= P.HIGH_REVENUE_SHARE_THRESHOLD).alias(f"customers_{i}"),
+            count_if(share >= policy.high_revenue_share).alias(f"customers_{i}"),
         ]
         rows.append(
             F.struct(
@@ -83,8 +82,8 @@ def threshold_sensitivity(
     return totals.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def customer_leakage(lines: DataFrame) -> DataFrame:
-    scoped = lines.withColumns(X.scope_columns())
+def customer_leakage(lines: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
+    scoped = lines.withColumns(X.scope_columns(policy))
     return scoped.groupBy("customer_id").agg(
         F.sum("line_revenue").alias("revenue_in_scope"),
         F.sum("line_list_revenue").alias("total_list_revenue"),
@@ -107,9 +106,11 @@ def with_leakage(customers: DataFrame, leakage: DataFrame, revenue: Column) -> D
     )
 
 
-def action_queue(lines: DataFrame, scores: DataFrame) -> DataFrame:
+def action_queue(
+    lines: DataFrame, scores: DataFrame, policy: P.Policy = P.POLICY
+) -> DataFrame:
     """Accounts valued by score times margin at risk."""
-    joined = with_leakage(scores, customer_leakage(lines), col("total_revenue"))
+    joined = with_leakage(scores, customer_leakage(lines, policy), col("total_revenue"))
     value = col("governance_priority_score") / 100 * col("margin_at_risk_revenue")
     return joined.select(
         "customer_id",
@@ -432,6 +433,7 @@ def recommendations(
     reps: DataFrame,
     patterns: DataFrame,
     queue: DataFrame,
+    policy: P.Policy = P.POLICY,
 ) -> DataFrame:
     """Which follow-up rules fire, one row per rule in fixed order."""
     outliers = reps.agg(count_if(col("discount_outlier_flag"))).scalar()
@@ -446,8 +448,8 @@ def recommendations(
         queued.alias("queued"),
     )
     rules = [
-        ("tighten_approval_thresholds", col("share") >= P.MIXED.high_share_max),
-        ("review_segment_architecture", col("top_share") >= P.HIGH_REVENUE_SHARE_THRESHOLD),
+        ("tighten_approval_thresholds", col("share") >= policy.mixed.high_share_max),
+        ("review_segment_architecture", col("top_share") >= policy.high_revenue_share),
         ("investigate_rep_outliers", col("outliers") > 0),
         ("maintain_rep_monitoring", col("outliers") == 0),
         ("redesign_product_guardrails", col("reliant") > 0),

@@ -93,7 +93,7 @@ def peer_baseline(lines: DataFrame) -> DataFrame:
 
 
 def pricing_metrics(
-    lines: DataFrame, line_policy: P.LinePolicy = P.POLICY, baseline: DataFrame | None = None
+    lines: DataFrame, policy: P.Policy = P.POLICY, baseline: DataFrame | None = None
 ) -> DataFrame:
     """The pricing fact as a view over enriched lines.
 
@@ -118,8 +118,8 @@ def pricing_metrics(
                 "discount_bucket": X.discount_bucket(col("discount_pct")),
                 "gross_margin_value": X.gross_margin(),
                 "line_price_realization": X.price_realization(),
-                "high_discount_flag": X.at_least(col("discount_pct"), line_policy.high_discount),
-                "discounted_flag": X.at_least(col("discount_pct"), line_policy.discounted),
+                "high_discount_flag": X.at_least(col("discount_pct"), policy.high_discount),
+                "discounted_flag": X.at_least(col("discount_pct"), policy.discounted),
             }
         )
         .withColumn("margin_proxy_pct", X.margin_pct())

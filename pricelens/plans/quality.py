@@ -231,7 +231,9 @@ PROFILE_SHARES = (
 )
 
 
-def processed_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+def processed_report(
+    tables: Mapping[str, DataFrame], policy: P.Policy = P.POLICY
+) -> DataFrame:
     """Structure, grain, bounds and recomputed arithmetic of the derived tables.
 
     A table that is absent, empty or short of columns is reported and not checked further.
@@ -266,7 +268,7 @@ def processed_report(tables: Mapping[str, DataFrame]) -> DataFrame:
         if not gaps:
             sound.add(name)
     if "order_item_pricing_metrics" in sound:
-        parts.append(_line_checks(tables["order_item_pricing_metrics"]))
+        parts.append(_line_checks(tables["order_item_pricing_metrics"], policy))
     if "customer_risk_scores" in sound:
         parts.append(_score_checks(tables["customer_risk_scores"]))
     if "customer_pricing_profile" in sound:
@@ -281,7 +283,7 @@ def processed_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     return stacked(parts)
 
 
-def _line_checks(lines: DataFrame) -> DataFrame:
+def _line_checks(lines: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     name = "order_item_pricing_metrics"
     realization = ratio(col("realized_price"), col("list_price_at_sale"))
     baseline = lines.groupBy("product_id", "sales_channel").agg(
@@ -305,7 +307,7 @@ def _line_checks(lines: DataFrame) -> DataFrame:
             col("margin_proxy_pct"), ratio(col("gross_margin_value"), revenue), 1e-9
         ),
         "high_discount_policy": col("high_discount_flag")
-        == flag(depth >= P.HIGH_DISCOUNT_THRESHOLD),
+        == flag(depth >= policy.high_discount),
         "line_price_realization_formula": _close(
             col("line_price_realization"), realization, 1e-9
         ),
@@ -315,7 +317,7 @@ def _line_checks(lines: DataFrame) -> DataFrame:
         "abs_price_realization_residual_formula": _close(
             col("abs_price_realization_residual_pct"), F.abs(expected_gap), 1e-9
         ),
-        "discounted_policy": col("discounted_flag") == flag(depth >= P.DISCOUNTED_THRESHOLD),
+        "discounted_policy": col("discounted_flag") == flag(depth >= policy.discounted),
     }
     compared = lines.join(baseline, ["product_id", "sales_channel"], "left")
     facts = compared.agg(
@@ -487,6 +489,7 @@ def warehouse_report(
     enriched: DataFrame,
     lines: DataFrame,
     marts: Mapping[str, DataFrame],
+    policy: P.Policy = P.POLICY,
 ) -> DataFrame:
     """Row counts, dropped rows, links, keys, reconciliation and policy checks.
 
@@ -553,7 +556,7 @@ def warehouse_report(
             | (col("realized_price") > col("list_price_at_sale"))
         ).alias("pricing"),
         _failures(
-            col("high_discount_flag") != flag(depth >= P.HIGH_DISCOUNT_THRESHOLD)
+            col("high_discount_flag") != flag(depth >= policy.high_discount)
         ).alias("policy"),
     )
     profile = marts["mart_customer_pricing_profile"]

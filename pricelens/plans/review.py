@@ -31,7 +31,7 @@ def _size(table: DataFrame) -> Column:
     return table.agg(F.count(F.lit(1))).scalar()
 
 
-def _line_facts(lines: DataFrame) -> DataFrame:
+def _line_facts(lines: DataFrame, policy: P.Policy) -> DataFrame:
     """Everything the checks need from the lines, in one aggregate."""
     empty = sum((col(c).isNull().cast("long") for c in CORE_COLUMNS), F.lit(0))
     implied = F.lit(1.0) - ratio(col("realized_price"), col("list_price_at_sale"))
@@ -41,7 +41,7 @@ def _line_facts(lines: DataFrame) -> DataFrame:
         F.sum("line_revenue").alias("revenue"),
         F.sum("line_list_revenue").alias("list_revenue"),
         F.sum("gross_margin_value").alias("margin"),
-        sum_if(col("discount_depth") >= P.HIGH_DISCOUNT_THRESHOLD, col("line_revenue")).alias(
+        sum_if(col("discount_depth") >= policy.high_discount, col("line_revenue")).alias(
             "high_revenue"
         ),
         weighted_mean(col("discount_depth"), col("line_list_revenue")).alias("discount_direct"),
@@ -67,6 +67,7 @@ def analysis_report(
     segments: DataFrame,
     overall: DataFrame,
     profile: DataFrame,
+    policy: P.Policy = P.POLICY,
 ) -> DataFrame:
     """Ten checks on the diagnostic tables against the lines they come from."""
 
@@ -77,7 +78,7 @@ def analysis_report(
     observed = yearly.agg(F.sort_array(F.collect_list(col("year")))).scalar()
     share = col("high_discount_revenue_share")
     outside = count_if(~F.coalesce(share.between(-1e-9, 1 + 1e-9), F.lit(False)))
-    facts = _line_facts(lines).withColumns(
+    facts = _line_facts(lines, policy).withColumns(
         {
             "enriched_rows": _size(enriched),
             "years_expected": years,
@@ -213,7 +214,9 @@ def technical_checks(
     return stacked([sizes, *links])
 
 
-def line_checks(lines: DataFrame, profile: DataFrame, segments: DataFrame) -> DataFrame:
+def line_checks(
+    lines: DataFrame, profile: DataFrame, segments: DataFrame, policy: P.Policy = P.POLICY
+) -> DataFrame:
     by_month = lines.groupBy("order_month").agg(
         F.sum("line_revenue").alias("revenue"), F.sum("gross_margin_value").alias("margin")
     )
@@ -222,7 +225,7 @@ def line_checks(lines: DataFrame, profile: DataFrame, segments: DataFrame) -> Da
         "share_orders_discounted", "share_orders_high_discount", "revenue_high_discount_share",
     ):
         outside = outside | ~F.coalesce(col(name).between(0, 1), F.lit(False))
-    facts = _line_facts(lines).withColumns(
+    facts = _line_facts(lines, policy).withColumns(
         {
             "segment": segments.agg(F.sum("total_revenue")).scalar(),
             "margin_monthly": by_month.agg(
@@ -355,7 +358,9 @@ def score_checks(area: StagingArea, scores: DataFrame) -> DataFrame:
     )
 
 
-def cross_output_checks(lines: DataFrame, overall: DataFrame, cube: DataFrame) -> DataFrame:
+def cross_output_checks(
+    lines: DataFrame, overall: DataFrame, cube: DataFrame, policy: P.Policy = P.POLICY
+) -> DataFrame:
     """Exported overall row and the cube's all-scope row against the lines."""
     all_scope = F.lit(True)
     for name in P.SCOPE_DIMS:
@@ -371,7 +376,7 @@ def cross_output_checks(lines: DataFrame, overall: DataFrame, cube: DataFrame) -
     facts = lines.agg(
         F.sum("line_revenue").alias("revenue"),
         F.sum("line_list_revenue").alias("list_revenue"),
-        sum_if(col("discount_depth") >= P.HIGH_DISCOUNT_THRESHOLD, col("line_revenue")).alias("high"),
+        sum_if(col("discount_depth") >= policy.high_discount, col("line_revenue")).alias("high"),
     ).withColumns({"x": exported, "c": cell})
     base = F.greatest(F.lit(1.0), col("revenue"))
     discount = F.lit(1.0) - col("revenue") / col("list_revenue")

@@ -37,7 +37,9 @@ SCORE_COLUMNS = (
 )
 
 
-def signals(area: StagingArea, profile: DataFrame) -> DataFrame:
+def signals(
+    area: StagingArea, profile: DataFrame, policy: P.Policy = P.POLICY
+) -> DataFrame:
     """The profile with ``rel_<signal>`` (peer rank) and ``abs_<signal>`` (policy breach)."""
     metrics = list(P.SIGNALS.values())
     ranks = percentile_ranks(area, profile, ["customer_id"], metrics, digits=P.SUM_DIGITS)
@@ -47,43 +49,45 @@ def signals(area: StagingArea, profile: DataFrame) -> DataFrame:
         columns[f"rel_{signal}"] = S.relative_score(
             col(f"{metric}_rank"), col(f"{metric}_distinct"), signal in P.LOW_IS_RISK
         )
-        columns[f"abs_{signal}"] = S.breach_score(signal)
+        columns[f"abs_{signal}"] = S.breach_score(signal, policy)
     return joined.select(*profile.columns, *[c.alias(n) for n, c in columns.items()])
 
 
-def raw_components(with_signals: DataFrame) -> DataFrame:
+def raw_components(with_signals: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     """Add the blended components before shrinkage as ``raw_<component>``."""
     relative = {s: col(f"rel_{s}") for s in P.SIGNALS}
     absolute = {s: col(f"abs_{s}") for s in P.SIGNALS}
     return with_signals.withColumns(
-        {f"raw_{name}": S.blended(b, relative, absolute) for name, b in P.COMPONENTS.items()}
+        {f"raw_{name}": S.blended(b, relative, absolute) for name, b in policy.components.items()}
     )
 
 
-def component_scores(with_signals: DataFrame) -> DataFrame:
+def component_scores(with_signals: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     """Add reliability and the unrounded component and priority scores."""
-    weight = S.reliability(col("total_orders"))
+    weight = S.reliability(col("total_orders"), policy)
     shrunk = {
         name: S.shrink(col(f"raw_{name}"), col("score_reliability_weight"))
         for name in P.COMPONENTS
     }
     return (
-        raw_components(with_signals)
+        raw_components(with_signals, policy)
         .withColumn("score_reliability_weight", weight)
-        .withColumn("low_data_flag", (col("total_orders") < P.MIN_RELIABLE_ORDERS).cast("int"))
+        .withColumn("low_data_flag", (col("total_orders") < policy.min_reliable_orders).cast("int"))
         .withColumns(shrunk)
-        .withColumn("governance_priority_score", S.priority({n: col(n) for n in P.COMPONENTS}))
+        .withColumn(
+            "governance_priority_score", S.priority({n: col(n) for n in P.COMPONENTS}, policy)
+        )
     )
 
 
-def classified(unrounded: DataFrame) -> DataFrame:
+def classified(unrounded: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     """Round the scores to 2 places, then derive tier, driver and action from them."""
     names = [*P.COMPONENTS, "governance_priority_score", "score_reliability_weight"]
     return (
         unrounded.withColumns({name: S.score2(col(name)) for name in names})
         .withColumns(
             {
-                "risk_tier": S.risk_tier(col("governance_priority_score")),
+                "risk_tier": S.risk_tier(col("governance_priority_score"), policy),
                 "main_risk_driver": S.main_driver(),
             }
         )
@@ -93,9 +97,10 @@ def classified(unrounded: DataFrame) -> DataFrame:
     )
 
 
-def scored(area: StagingArea, profile: DataFrame) -> DataFrame:
+def scored(area: StagingArea, profile: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     """The full score table, one row per profiled customer."""
-    return classified(component_scores(signals(area, profile))).select(*SCORE_COLUMNS)
+    components = component_scores(signals(area, profile, policy), policy)
+    return classified(components, policy).select(*SCORE_COLUMNS)
 
 
 def tier_summary(scores: DataFrame) -> DataFrame:

@@ -32,12 +32,12 @@ class Warehouse:
         spark: SparkSession,
         raw: Mapping[str, DataFrame],
         area: StagingArea | None = None,
-        line_policy: P.LinePolicy = P.POLICY,
+        policy: P.Policy = P.POLICY,
     ) -> None:
         self.spark = spark
         self.raw = dict(raw)
         self.area = area or StagingArea(spark)
-        self.line_policy = line_policy
+        self.policy = policy
         self._kept: dict[str, Any] = {}
 
     def __enter__(self) -> Warehouse:
@@ -78,7 +78,7 @@ class Warehouse:
     @cached_property
     def lines(self) -> DataFrame:
         """The pricing fact."""
-        return fact.pricing_metrics(self.enriched, self.line_policy, self.peer_baseline)
+        return fact.pricing_metrics(self.enriched, self.policy, self.peer_baseline)
 
     @cached_property
     def peer_baseline(self) -> DataFrame:
@@ -106,7 +106,7 @@ class Warehouse:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self.area.put("customer_risk_scores", risk.scored(self.area, self.profile))
+        return self.area.put("customer_risk_scores", risk.scored(self.area, self.profile, self.policy))
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -125,12 +125,12 @@ class Warehouse:
     @cached_property
     def account_facts(self) -> DataFrame:
         """Month by dimension facts of every account."""
-        return self.area.put("account_facts", dashboard.customer_facts(self.lines))
+        return self.area.put("account_facts", dashboard.customer_facts(self.lines, policy=self.policy))
 
     @cached_property
     def scope_facts(self) -> DataFrame:
         """Month by dimension facts behind every dashboard slice."""
-        return self.area.put("scope_facts", dashboard.monthly_facts(self.lines))
+        return self.area.put("scope_facts", dashboard.monthly_facts(self.lines, self.policy))
 
     def derived_tables(self) -> dict[str, DataFrame]:
         return {

@@ -5,7 +5,9 @@ All values are plain literals, so Catalyst folds them into the expressions.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from collections.abc import Mapping
+from dataclasses import asdict, dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -200,14 +202,94 @@ MAX_CONTRACT_FAILURES = 0
 EXCLUSION_MEDIUM_SHARE = 0.05
 
 
+def _fail(name: str, problem: str) -> None:
+    raise ValueError(f"policy {name}: {problem}")
+
+
 @dataclass(frozen=True)
-class LinePolicy:
-    """The three thresholds that classify a line; plans take it as a parameter."""
+class Policy:
+    """The editable part of the policy; plans take it as a parameter.
+
+    One object drives line flags, dashboard facts, leakage, scores, verdicts and checks, so a
+    changed threshold moves all of them. Values are checked on creation.
+    """
 
     discounted: float = DISCOUNTED_THRESHOLD
     high_discount: float = HIGH_DISCOUNT_THRESHOLD
     margin_at_risk: float = MARGIN_AT_RISK_MAX
-    sensitivity: tuple[float, ...] = field(default=SENSITIVITY_THRESHOLDS)
-
-
-POLICY = LinePolicy()
+    sensitivity: tuple[float, ...] = SENSITIVITY_THRESHOLDS
+    healthy: Band = HEALTHY
+    mixed: Band = MIXED
+    breaches: Mapping[str, Breach] = field(default_factory=lambda: dict(BREACHES))
+    components: Mapping[str, Blend] = field(default_factory=lambda: dict(COMPONENTS))
+    priority_weights: Mapping[str, float] = field(default_factory=lambda: dict(PRIORITY_WEIGHTS))
+    tiers: tuple[tuple[float, str], ...] = TIERS
+    min_reliable_orders: int = MIN_RELIABLE_ORDERS
+    high_revenue_share: float = HIGH_REVENUE_SHARE_THRESHOLD
+    watch: Mapping[str, Watch] = field(default_factory=lambda: dict(WATCH))
+
+    def __post_init__(self) -> None:
+        shares = ("discounted", "high_discount", "margin_at_risk", "high_revenue_share")
+        for name in shares:
+            if not 0 < getattr(self, name) < 1:
+                _fail(name, "must lie between 0 and 1")
+        if self.discounted > self.high_discount:
+            _fail("discounted", "must not be above high_discount")
+        if not self.sensitivity or any(not 0 < t < 1 for t in self.sensitivity):
+            _fail("sensitivity", "needs thresholds between 0 and 1")
+        if self.mixed.discount_max < self.healthy.discount_max:
+            _fail("mixed", "must be wider than healthy")
+        if self.min_reliable_orders < 1:
+            _fail("min_reliable_orders", "must be at least 1")
+        for name, breach in self.breaches.items():
+            if name not in SIGNALS or breach.span < 0:
+                _fail(f"breaches.{name}", "unknown signal or negative span")
+        if set(self.breaches) != set(SIGNALS):
+            _fail("breaches", "needs every signal")
+        if set(self.components) != set(self.priority_weights) or set(self.components) != set(COMPONENTS):
+            _fail("components", "needs the three components and their weights")
+        sums = {"priority_weights": sum(self.priority_weights.values())}
+        for name, blend in self.components.items():
+            sums[f"components.{name}"] = blend.relative_weight + blend.absolute_weight
+            sums[f"components.{name}.relative"] = sum(blend.relative.values())
+            sums[f"components.{name}.absolute"] = sum(blend.absolute.values())
+        for name, total in sums.items():
+            if abs(total - 1) > 1e-9:
+                _fail(name, f"weights add up to {total}, not 1")
+        lowers = [lower for lower, _ in self.tiers]
+        if lowers != sorted(lowers, reverse=True) or tuple(n for _, n in self.tiers) != tuple(
+            n for _, n in TIERS
+        ):
+            _fail("tiers", "need falling lower limits for the known labels")
+        for name, watch in self.watch.items():
+            if name not in WATCH or watch.warn > watch.critical:
+                _fail(f"watch.{name}", "unknown indicator or warn above critical")
+
+    @classmethod
+    def from_json(cls, text: str) -> Policy:
+        """A policy from JSON text; fields that are left out keep their defaults."""
+        given = json.loads(text)
+        unknown = set(given) - {f.name for f in fields(cls)}
+        if unknown:
+            _fail(", ".join(sorted(unknown)), "unknown field")
+        shapes = {"breaches": Breach, "components": Blend, "watch": Watch}
+        try:
+            for name, shape in shapes.items():
+                if name in given:
+                    given[name] = {k: shape(**v) for k, v in given[name].items()}
+            for name in ("healthy", "mixed"):
+                if name in given:
+                    given[name] = Band(**given[name])
+        except TypeError as error:
+            raise ValueError(f"policy: {error}") from error
+        if "tiers" in given:
+            given["tiers"] = tuple((float(lower), label) for lower, label in given["tiers"])
+        if "sensitivity" in given:
+            given["sensitivity"] = tuple(given["sensitivity"])
+        return cls(**given)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+
+POLICY = Policy()

@@ -88,7 +88,7 @@ def table_sink(w: Warehouse) -> DataFrame:
 
 
 def policy_relation(w: Warehouse) -> DataFrame:
-    policy = w.line_policy
+    policy = w.policy
     return w.lines.agg(
         F.lit(policy.high_discount).alias("high_discount_threshold"),
         F.lit(policy.discounted).alias("discounted_threshold"),
@@ -182,7 +182,7 @@ def clipped(w: Warehouse) -> DataFrame:
 
 
 def null_fill(w: Warehouse) -> DataFrame:
-    leakage = diagnostics.customer_leakage(w.lines)
+    leakage = diagnostics.customer_leakage(w.lines, w.policy)
     return diagnostics.with_leakage(w.staged["customers"], leakage, F.lit(0.0))
 
 
@@ -277,7 +277,7 @@ def rounded_columns(w: Warehouse) -> DataFrame:
 
 
 def customer_fact(w: Warehouse) -> DataFrame:
-    return dashboard.customer_facts(w.lines)
+    return dashboard.customer_facts(w.lines, policy=w.policy)
 
 
 def weighted_averages(w: Warehouse) -> DataFrame:
@@ -365,11 +365,11 @@ def priority_histogram(w: Warehouse) -> DataFrame:
 
 
 def signals(w: Warehouse) -> DataFrame:
-    return w.once("signals", lambda: risk.signals(w.area, w.profile))
+    return w.once("signals", lambda: risk.signals(w.area, w.profile, w.policy))
 
 
 def reliability(w: Warehouse) -> DataFrame:
-    return risk.component_scores(signals(w)).withColumn("shrunk_pricing", col("pricing_risk_score"))
+    return risk.component_scores(signals(w), w.policy).withColumn("shrunk_pricing", col("pricing_risk_score"))
 
 
 # --- diagnostics ---------------------------------------------------------------------------
@@ -381,12 +381,13 @@ def recommendations(w: Warehouse) -> DataFrame:
         diagnostics.segment_dependency(w.lines, w.profile),
         diagnostics.rep_behaviour(w.lines),
         diagnostics.product_patterns(w.area, w.lines),
-        diagnostics.action_queue(w.lines, w.scores),
+        diagnostics.action_queue(w.lines, w.scores, w.policy),
+        w.policy,
     )
 
 
 def intervention_queue(w: Warehouse) -> DataFrame:
-    dependent = col("revenue_high_discount_share") >= P.HIGH_REVENUE_SHARE_THRESHOLD
+    dependent = col("revenue_high_discount_share") >= w.policy.high_revenue_share
     return w.profile.where(dependent).orderBy(col("total_revenue").desc(), "customer_id")
 
 
@@ -435,6 +436,7 @@ def analysis_checks(w: Warehouse) -> DataFrame:
             diagnostics.segment_dependency(w.lines, w.profile),
             marts.overall(w.lines),
             w.profile,
+            w.policy,
         )
         return w.area.put("analysis_checks", report)
 
@@ -443,7 +445,7 @@ def analysis_checks(w: Warehouse) -> DataFrame:
 
 def cross_output(w: Warehouse) -> DataFrame:
     return review.cross_output_checks(
-        w.lines, marts.overall(w.lines), dashboard.kpi_cube(w.scope_facts)
+        w.lines, marts.overall(w.lines), dashboard.kpi_cube(w.scope_facts), w.policy
     )
 
 
@@ -451,7 +453,7 @@ def review_checks(w: Warehouse) -> DataFrame:
     return checks.stacked(
         [
             review.technical_checks(w.raw, w.enriched, w.lines),
-            review.line_checks(w.lines, w.profile, w.segments),
+            review.line_checks(w.lines, w.profile, w.segments, w.policy),
             review.score_checks(w.area, w.scores),
         ]
     )
@@ -495,7 +497,7 @@ def per_scope(w: Warehouse, build: Callable[[Scope], DataFrame]) -> DataFrame:
 
 def indicators(w: Warehouse) -> DataFrame:
     return per_scope(
-        w, lambda s: dashboard.scoped_indicators(w.scope_facts, accounts(w, s), s)
+        w, lambda s: dashboard.scoped_indicators(w.scope_facts, accounts(w, s), s, w.policy)
     )
 
 
@@ -531,8 +533,8 @@ QUERIES: dict[str, Query] = {
     "b5_discount_flags": lambda w: w.lines,
     "b6_date_parts": date_parts,
     "b7_days_since_signup": lambda w: w.lines,
-    "b8_discount_scope": lambda w: w.lines.withColumns(X.scope_columns(w.line_policy)),
-    "b9_dashboard_measures": lambda w: dashboard.additive_lines(w.lines, w.line_policy),
+    "b8_discount_scope": lambda w: w.lines.withColumns(X.scope_columns(w.policy)),
+    "b9_dashboard_measures": lambda w: dashboard.additive_lines(w.lines, w.policy),
     "b10_safe_ratio": safe_ratio,
     "b11_rounded_columns": rounded_columns,
     "b12_tenure_band": lambda w: marts.customer_tenure(w.lines),
@@ -543,7 +545,7 @@ QUERIES: dict[str, Query] = {
     "c2_join_contract": join_contract,
     "c3_profile_left_join": profile_left_join,
     "c4_queue_left_join": lambda w: diagnostics.with_leakage(
-        w.scores, diagnostics.customer_leakage(w.lines), col("total_revenue")
+        w.scores, diagnostics.customer_leakage(w.lines, w.policy), col("total_revenue")
     ),
     "c5_policy_cross_join": policy_join,
     "c6_anti_joins": lambda w: quality.orphan_report(w.staged),
@@ -571,7 +573,7 @@ QUERIES: dict[str, Query] = {
     "d17_tier_action": lambda w: risk.tier_summary(w.scores),
     "d18_main_driver": lambda w: risk.driver_summary(w.scores),
     "d19_kpi_cube": lambda w: dashboard.kpi_cube(w.scope_facts),
-    "d20_monthly_fact": lambda w: dashboard.monthly_facts(w.lines),
+    "d20_monthly_fact": lambda w: dashboard.monthly_facts(w.lines, w.policy),
     "d21_customer_fact": customer_fact,
     "d22_channel_comparison": lambda w: marts.channel_comparison(w.lines),
     "d23_revenue_by_bucket": lambda w: marts.revenue_by_bucket(w.lines),
@@ -606,7 +608,7 @@ QUERIES: dict[str, Query] = {
     .orderBy(col("dependence_score").desc(), "product_id")
     .limit(P.TOP_DEPENDENCE),
     "f6_top_values": lambda w: profiler(w).top_values(),
-    "f7_queue_preview": lambda w: diagnostics.action_queue(w.lines, w.scores)
+    "f7_queue_preview": lambda w: diagnostics.action_queue(w.lines, w.scores, w.policy)
     .orderBy(*diagnostics.queue_order())
     .limit(P.QUEUE_PREVIEW_ROWS),
     "f8_collapsed_tail": collapsed_tail,
@@ -632,19 +634,19 @@ QUERIES: dict[str, Query] = {
     "i1_scale_excess": signals,
     "i2_scale_shortfall": signals,
     "i3_reliability": reliability,
-    "i4_components": lambda w: risk.raw_components(signals(w)),
-    "i5_priority": lambda w: risk.classified(risk.component_scores(signals(w))),
+    "i4_components": lambda w: risk.raw_components(signals(w), w.policy),
+    "i5_priority": lambda w: risk.classified(risk.component_scores(signals(w), w.policy), w.policy),
     "i6_risk_tier": lambda w: w.scores,
     "i7_main_driver": lambda w: w.scores,
     "i8_recommended_action": lambda w: w.scores,
-    "i9_risk_scores": lambda w: risk.scored(w.area, w.profile).orderBy(
+    "i9_risk_scores": lambda w: risk.scored(w.area, w.profile, w.policy).orderBy(
         col("governance_priority_score").desc(), "customer_id"
     ),
-    "j1_health_verdict": lambda w: diagnostics.verdict(marts.overall(w.lines)),
+    "j1_health_verdict": lambda w: diagnostics.verdict(marts.overall(w.lines), w.policy),
     "j2_threshold_sensitivity": lambda w: diagnostics.threshold_sensitivity(
-        w.lines, w.line_policy
+        w.lines, w.policy
     ),
-    "j3_action_queue": lambda w: diagnostics.action_queue(w.lines, w.scores).orderBy(
+    "j3_action_queue": lambda w: diagnostics.action_queue(w.lines, w.scores, w.policy).orderBy(
         *diagnostics.queue_order()
     ),
     "j4_customer_dependency": lambda w: diagnostics.customer_dependency(w.profile).orderBy(
@@ -681,10 +683,10 @@ QUERIES: dict[str, Query] = {
     "m1_raw_structure": lambda w: quality.raw_structure(w.raw),
     "m2_raw_integrity": lambda w: quality.raw_integrity(w.raw),
     "m3_raw_pricing_rules": lambda w: quality.raw_pricing_rules(w.raw),
-    "m4_processed_checks": lambda w: quality.processed_report(w.derived_tables()),
+    "m4_processed_checks": lambda w: quality.processed_report(w.derived_tables(), w.policy),
     "m5_metric_contracts": metric_contracts,
     "m6_warehouse_checks": lambda w: quality.warehouse_report(
-        w.raw, w.staged, w.enriched, w.lines, mart_tables(w)
+        w.raw, w.staged, w.enriched, w.lines, mart_tables(w), w.policy
     ),
     "m7_analysis_checks": analysis_checks,
     "m8_review_checks": review_checks,

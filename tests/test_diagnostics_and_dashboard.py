@@ -61,7 +61,7 @@ def test_threshold_sensitivity_against_one_pass_per_threshold(frame, lines):
 
 
 def test_sensitivity_without_high_lines(frame):
-    policy = P.LinePolicy(sensitivity=(0.9,))
+    policy = P.Policy(sensitivity=(0.9,))
     row = diagnostics.threshold_sensitivity(frame, policy).first()
     assert row.high_discount_revenue_share == 0.0
     assert row.margin_proxy_pct_on_high_discount is None
