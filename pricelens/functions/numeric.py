@@ -27,6 +27,16 @@ def half_even(value: Column, digits: int) -> Column:
     return F.rint(value * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
 
 
+def on_grid(value: Column, bits: int) -> Column:
+    """Round a double to a multiple of ``2 ** -bits``.
+
+    Sums that differ only by the order of their terms become one value. Unlike decimal
+    rounding it makes no decimal ties, which later rounding would break by chance.
+    """
+    scale = float(2**bits)
+    return F.rint(value * F.lit(scale)) / F.lit(scale) + F.lit(0.0)
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, 0 where it is false or unknown."""
     return F.coalesce(condition.cast("int"), F.lit(0))

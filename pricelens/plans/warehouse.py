@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens import policy as P
-from pricelens.functions.numeric import half_even
-from pricelens.operators.shapes import round_doubles
+from pricelens.functions.numeric import on_grid
 from pricelens.plans import customers, dashboard, fact, marts, risk
 from pricelens.sources import tpch
 from pricelens.sources.area import StagingArea
@@ -84,10 +83,10 @@ class Warehouse:
     def peer_baseline(self) -> DataFrame:
         """Mean realization per product and channel, computed once and of known size.
 
-        Written with twelve digits: the order in which tasks add up would else show in the
-        last bits, and every residual of a product with it.
+        Written on a fixed binary grid: the order in which tasks add up would else show in the
+        last bits, and in every residual of a product with it.
         """
-        mean = half_even(F.col("peer_price_realization"), P.SUM_DIGITS)
+        mean = on_grid(F.col("peer_price_realization"), P.SUM_BITS)
         table = fact.peer_baseline(self.enriched).withColumn("peer_price_realization", mean)
         return self.area.put("peer_baseline", table)
 
@@ -100,9 +99,11 @@ class Warehouse:
 
     @cached_property
     def profile(self) -> DataFrame:
-        """Customer measures, stored like the peer baseline with twelve digits."""
-        table = round_doubles(customers.profile(self.lines, self.ledger), P.SUM_DIGITS)
-        return self.area.put("customer_pricing_profile", table)
+        """Customer measures, stored on the same grid as the peer baseline."""
+        table = customers.profile(self.lines, self.ledger)
+        doubles = [name for name, kind in table.dtypes if kind == "double"]
+        stored = {name: on_grid(F.col(name), P.SUM_BITS) for name in doubles}
+        return self.area.put("customer_pricing_profile", table.withColumns(stored))
 
     @cached_property
     def scores(self) -> DataFrame:

@@ -184,9 +184,10 @@ WATCH = {
 }
 POSTURES = {"critical": "Intervene now", "warn": "Tight watch", "ok": "Controlled"}
 
-# Digits at which sums of doubles are stored or ranked: the order in which tasks add up then
-# makes no new value and breaks no tie.
+# Digits at which sums of doubles are ranked, and the binary places at which they are stored:
+# the order in which tasks add up then makes no new value and breaks no tie.
 SUM_DIGITS = 12
+SUM_BITS = 40
 
 # Release policy.
 REQUIRED_FLAGS = {

@@ -11,6 +11,13 @@ import re
 from pricelens.registry import oracle_tables as tables
 from pricelens.registry.shape import published_sql
 
+_STORED = (
+    "total_revenue avg_discount_pct weighted_discount_pct share_order_items_discounted"
+    " avg_margin_proxy_pct realized_price_cv avg_abs_price_realization_residual_pct"
+    " revenue_high_discount_share share_orders_discounted share_orders_high_discount"
+    " repeat_discount_behavior"
+).split()
+
 COMMON = {
     "raw_customers": """
         SELECT c.c_custkey AS customer_id,
@@ -86,7 +93,8 @@ COMMON = {
                CASE WHEN high = 1 THEN net ELSE 0 END AS high_net
         FROM priced p
         LEFT JOIN (SELECT product_id, sales_channel,
-                          round_even(avg(realization) * 1e12::DOUBLE, 0) / 1e12::DOUBLE AS peer
+                          round_even(avg(realization) * (2.0::DOUBLE ^ 40), 0)
+                              / (2.0::DOUBLE ^ 40) AS peer
                    FROM priced GROUP BY product_id, sales_channel) b
           ON b.product_id = p.product_id AND b.sales_channel = p.sales_channel""",
     "ledger": """
@@ -106,7 +114,7 @@ COMMON = {
                sum(high_discount_order * previous_high_discount_order)
                    / greatest(count(*) - 1, 1) AS repeat_discount_behavior
         FROM sequence GROUP BY customer_id""",
-    "profile": """
+    "profile_sums": """
         SELECT l.*, o.* EXCLUDE (customer_id)
         FROM (SELECT customer_id, min(segment) AS segment, min(region) AS region,
                      min(company_size) AS company_size, count(*) AS total_order_items,
@@ -123,6 +131,13 @@ COMMON = {
                          AS revenue_high_discount_share
               FROM lines GROUP BY customer_id) l
         LEFT JOIN order_stats o USING (customer_id)""",
+    # Stored on a binary grid.
+    "profile": "SELECT * REPLACE ("
+    + ", ".join(
+        f"round_even({name} * (2.0::DOUBLE ^ 40), 0) / (2.0::DOUBLE ^ 40) AS {name}"
+        for name in _STORED
+    )
+    + ") FROM profile_sums",
     "signal_values": """
         SELECT customer_id,
                unnest(['depth', 'residual', 'order_share', 'revenue_share', 'repeat', 'margin'])

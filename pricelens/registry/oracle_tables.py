@@ -162,15 +162,8 @@ def _columns(table: str) -> list[tuple[str, str, str]]:
 
 
 def _view(table: str) -> str:
-    """The profiled columns of a table; customer aggregates are stored with twelve digits."""
-    stored = table in ("customer_pricing_profile", "customer_risk_scores")
-    items = [
-        f"round_even({n} * 1e12::DOUBLE, 0) / 1e12::DOUBLE AS {n}"
-        if stored and dtype == "double"
-        else n
-        for n, _, dtype in _columns(table)
-    ]
-    return f"SELECT {', '.join(items)} FROM {TABLES[table][0]}"
+    """The profiled columns of a table, as they are."""
+    return f"SELECT {', '.join(n for n, _, _ in _columns(table))} FROM {TABLES[table][0]}"
 
 
 def _list(items: Sequence[str]) -> str:
