@@ -35,8 +35,9 @@ from pyspark.sql.types import ArrayType, LongType
 
 from pricelens.llm.blocks import gathered, meetings_of, paired_blocks
 from pricelens.llm.components import components
-from pricelens.llm.tables import area, column, table
+from pricelens.llm.tables import area, column, compact, table
 from pricelens.llm.words import mix
+from pricelens.sources.area import StagingArea
 
 THRESHOLD = 0.9
 TABLES, PROBES, PARTS = 8, 8, 3
@@ -223,10 +224,13 @@ def _nearness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- links
 
 
-def _star_links(members: DataFrame, vectors: DataFrame) -> DataFrame:
+def _star_links(
+    place: StagingArea, members: DataFrame, vectors: DataFrame, rows: int
+) -> DataFrame:
     """Links between the members (bucket, key) of each bucket and its smallest."""
     first = members.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n"))
-    pairs = members.join(first.where("n > 1"), "bucket").where("key <> leader")
+    pairs = members.join(place.put("leaders", compact(first.where("n > 1"), rows)), "bucket")
+    pairs = pairs.where("key <> leader")
     leaders = vectors.select(F.col("key").alias("leader"), F.col("vector").alias("leader_vector"))
     return (
         pairs.select("key", "leader")
@@ -257,25 +261,26 @@ def linked_vectors(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
         "cells",
         rows.select("key", F.explode("cells").alias("bucket")).where("bucket is not null").distinct(),
     )
-    links = place.put("star_links", _star_links(members, vectors))
+    n_members, n_rows = members.count(), rows.count()
+    links = place.put("star_links", _star_links(place, members, vectors, n_members))
     found = components(spark, links)
     named = members.join(found, F.col("key") == F.col("node"), "left").select(
         "bucket", "key", F.coalesce("component", "key").alias("component")
     )
-    named = place.put("named", named)
+    named = place.put("named", compact(named, n_members))
     # The leader is the smallest member; what it was not linked to is outside of its component.
     led = named.groupBy("bucket").agg(
         F.min(F.struct("key", "component")).alias("first"),
         F.min("component").alias("least"),
         F.max("component").alias("most"),
     )
-    still = named.join(led.where("least <> most"), "bucket").select(
+    still = named.join(place.put("led", compact(led.where("least <> most"), n_members)), "bucket").select(
         "bucket", "key", "component", (F.col("component") != F.col("first.component")).alias("outside")
     )
-    meetings = paired_blocks(place.put("open", still), ["key", "component"], BLOCK)
+    meetings = paired_blocks(place.put("open", compact(still, n_members)), ["key", "component"], BLOCK)
     more = gathered(meetings.join(vectors, "key")).mapInArrow(_joining, "a long, b long")
     links = place.put("all_links", links.unionByName(more))
-    found = place.put("components", components(spark, links))
+    found = place.put("components", compact(components(spark, links), n_rows))
 
     of = found.select(F.col("node").alias("key"), "component")
     firsts = vectors.select(F.col("key").alias("component"), F.col("vector").alias("first_vector"))
@@ -285,7 +290,14 @@ def linked_vectors(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
         .mapInArrow(_nearness, "key long, component long, outside boolean")
     )
     inside = place.put("inside", inside)
-    close = inside.where("not outside").groupBy("component").agg(F.count(F.lit(1)).alias("n_close"))
+    # Written, like the other aggregates that rows are joined to: a large component can be split.
+    close = place.put(
+        "close",
+        compact(
+            inside.where("not outside").groupBy("component").agg(F.count(F.lit(1)).alias("n_close")),
+            n_rows,
+        ),
+    )
     open_ = inside.select(F.col("component").alias("bucket"), "key", "outside")
     meetings = paired_blocks(open_, ["key"], BLOCK)
     counted = gathered(meetings.join(vectors, "key")).mapInArrow(_counts, "key long, n long")
@@ -303,8 +315,10 @@ def linked_vectors(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
 
 def near_vectors(spark: SparkSession, embeddings: DataFrame) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest linked vec_id), kept."""
-    rows = area(spark).put("linked", linked_vectors(spark, embeddings))
+    place = area(spark)
+    rows = place.put("linked", linked_vectors(spark, embeddings))
     smallest = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+    smallest = place.put("smallest", compact(smallest, rows.count()))
     return rows.join(smallest, "component", "left").select(
         F.col("id").alias("vec_id"),
         "n_links",

@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from pricelens.llm.blocks import gathered, meetings_of, paired_blocks
 from pricelens.llm.components import components
-from pricelens.llm.tables import area, column, rows_that_stay, table
+from pricelens.llm.tables import area, column, compact, rows_that_stay, table
 from pricelens.llm.words import mix, shingles, text_blocks
+from pricelens.sources.area import StagingArea
 
 WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8, 1 - (1 - 0.8 ** ROWS) ** BANDS = 99.7 % of the pairs share a band.
@@ -327,12 +328,16 @@ def open_links(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFra
 # ---------------------------------------------------------------- classes
 
 
-def _led(members: DataFrame) -> DataFrame:
-    """Pairs (key, leader) of buckets with more than one member; ``members`` has ``degree``."""
+def _led(place: StagingArea, members: DataFrame, rows: int) -> DataFrame:
+    """Pairs (key, leader) of buckets with more than one member; ``members`` has ``degree``.
+
+    The leaders are written, here and below: a join to an aggregate of its own rows shares
+    their shuffle, and then a large bucket could not be split over tasks.
+    """
     best = members.groupBy("bucket").agg(
         F.max(F.struct("degree", "key")).alias("best"), F.count(F.lit(1)).alias("n")
     )
-    led = members.join(best.where("n > 1"), "bucket")
+    led = members.join(place.put("leaders", compact(best.where("n > 1"), rows)), "bucket")
     return led.select("key", F.col("best.key").alias("leader")).where("key <> leader").distinct()
 
 
@@ -352,16 +357,18 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     distinct = signed.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
     members = place.put("members", distinct.select("key", F.explode("bands").alias("bucket")))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    sizes = place.put("sizes", compact(sizes.where("n > 1"), members.count()))
     shared = members.join(sizes, "bucket")
     degrees = shared.groupBy("key").agg(F.sum("n").alias("degree"))
     shared = place.put("shared", shared.drop("n").join(degrees, "key"))
+    rows = shared.count()
 
     candidates = shared.select("key").distinct()
     texts = told.groupBy("key").agg(F.first("text").alias("text")).join(candidates, "key", "left_semi")
     texts = place.put("texts", texts)
 
-    links = place.put("star_links", star_links(_led(shared), texts, idf))
+    links = place.put("star_links", star_links(_led(place, shared, rows), texts, idf))
     for round_ in range(2):
         found = components(spark, links)
         members = shared.join(found, F.col("key") == F.col("node"), "left").select(
@@ -372,15 +379,19 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
             F.min("component").alias("least"),
             F.max("component").alias("most"),
         )
+        led = place.put("led", compact(led.where("least <> most"), rows))
         still = place.put(
             f"open_{round_}",
-            members.join(led.where("least <> most"), "bucket").select(
-                "bucket", "key", "degree", "component",
-                (F.col("component") != F.col("best.component")).alias("outside"),
+            compact(
+                members.join(led, "bucket").select(
+                    "bucket", "key", "degree", "component",
+                    (F.col("component") != F.col("best.component")).alias("outside"),
+                ),
+                rows,
             ),
         )
         more = (
-            star_links(_led(still.where("outside")), texts, idf)
+            star_links(_led(place, still.where("outside"), rows), texts, idf)
             if round_ == 0
             else open_links(still, texts, idf)
         )
@@ -409,7 +420,8 @@ def _first_of_class(classes: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (its smallest doc_id), class_size, kept."""
     classes = near_classes(spark, docs)
-    return classes.join(_first_of_class(classes), "class_key").select(
+    best = area(spark).put("best", compact(_first_of_class(classes), classes.count()))
+    return classes.join(best, "class_key").select(
         F.col("id").alias("doc_id"),
         F.col("best.id").alias("class_id"),
         F.col("size").alias("class_size"),

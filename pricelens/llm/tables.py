@@ -27,6 +27,19 @@ def column(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+#: Tables of up to this many rows are written in few files, one for so many rows.
+SMALL_ROWS, ROWS_PER_FILE = 1_000_000, 250_000
+
+
+def compact(frame: DataFrame, most: int) -> DataFrame:
+    """A frame of at most ``most`` rows, in few partitions where that is a small number.
+
+    A loop writes many small tables; one file per shuffle partition of each would cost more
+    than its rows. Larger frames keep their partitions.
+    """
+    return frame.coalesce(max(1, -(-most // ROWS_PER_FILE))) if most <= SMALL_ROWS else frame
+
+
 def is_row_count_at_most(frame: DataFrame, most: int) -> bool:
     """Whether a frame is small enough to broadcast; reads at most ``most + 1`` rows of it."""
     return frame.limit(most + 1).count() <= most
