@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm.tables import area, column, table
+from pricelens.llm.tables import area, column, compact, table
 from pricelens.llm.words import mix, text_blocks
 
 LENGTH, STEP, DEEP = 400, 32, 20_000
@@ -145,7 +145,12 @@ def _repeated_bytes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
 
 def _anchor_rows(length: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
+            # Copies in a task are passed over: anchors of one text are counted once anyway.
+            keys = batch.column("key").to_pylist()
+            fresh = [key not in seen and not seen.add(key) for key in keys]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             for first, _, data, offsets in text_blocks(batch.column("text")):
                 if len(data) < length:
                     continue
@@ -401,6 +406,7 @@ def repeated_spans(
         .where("a <> b")
         .select("window")
     )
+    twice = place.put("windows", twice)  # written: a window of very many texts can be split
     marks = (
         found.join(twice, "window", "left_semi")
         .groupBy("key")
@@ -427,7 +433,12 @@ def repeated_spans(
         ),
     )
     hot = place.put(
-        "hot", entries.groupBy("b1", "b2").count().where(F.col("count") > deep).select("b1", "b2")
+        "hot",
+        # Each hot bucket has more than ``deep`` entries, so they are few.
+        compact(
+            entries.groupBy("b1", "b2").count().where(F.col("count") > deep).select("b1", "b2"),
+            entries.count() // deep,
+        ),
     )
     plain = entries if hot.isEmpty() else entries.join(hot, ["b1", "b2"], "left_anti")
     out = "c1 long, c2 long, from int, to int, leads boolean, first_key binary, first_at long"
@@ -551,7 +562,7 @@ def without_repeats(
     if with_bytes:
         kept = F.when(is_copy, F.encode(F.lit(""), "UTF-8")).otherwise(F.coalesce("kept", "whole"))
         columns.append(kept.alias("kept"))
-    return rows.join(fates, "key", "left").select(*columns)
+    return rows.join(place.put("fates", fates), "key", "left").select(*columns)
 
 
 def op2_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
