@@ -303,7 +303,8 @@ def write_archives(
         .groupBy("digest")
         .agg(F.max("id").alias("first"))
     )
-    rows = told.join(firsts, "digest", "left").select(
+    # Written, so that the pages of a payload that many share are split over tasks.
+    rows = told.join(area(spark).put("firsts", firsts), "digest", "left").select(
         F.col("id").cast("string").alias("page"),
         "url",
         F.encode("payload", "UTF-8").alias("payload"),
