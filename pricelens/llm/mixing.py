@@ -8,7 +8,7 @@ is the one scale at which the expected tokens meet the budget. A document is in
 when a hash of it, spread over 0 to 1, is below the probability of its cell.
 
 Only cells and factors move between tasks, both added up per task before. Cells are staged
-after each sweep, so lineage stays short and lost executors cost one sweep at most.
+after each dimension, so plans stay small and lost executors cost one step at most.
 
 Defined cases: a NULL source or language is a value of its own (``(none)``); a NULL or empty
 text has no tokens and no topic word, so topic 0, and probability 1 if its cell has no token;
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelens.llm.tables import area, column, is_row_count_at_most, table, whole_rows
+from pricelens.llm.tables import area, column, compact, is_row_count_at_most, table, whole_rows
 
 DIMENSIONS = ("source", "lang", "topic")
 SWEEPS = 8
@@ -84,13 +84,14 @@ def raked_cells(
     """
     place = area(spark)
     cells = place.put("cells", counted)
+    n_cells = cells.count()
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = {}
     for name in DIMENSIONS:
         shares = (targets or {}).get(name)
         shares = default_targets(cells, name) if shares is None else shares
         shares = shares.select(name, F.col("share").cast("double"))
-        whole = place.put(f"target_{name}", shares)
+        whole = place.put(f"target_{name}", compact(shares, n_cells))
         all_ = whole.agg(F.sum("share")).first()[0] or 1.0
         wanted[name] = whole.select(name, (F.col("share") / all_ * total).alias("want"))
     weighted = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -106,8 +107,9 @@ def raked_cells(
             weighted = weighted.join(factor, name).withColumn(
                 "weight", F.col("weight") * F.col("factor")
             )
-            weighted = weighted.drop("factor")
-        weighted = place.put(f"sweep_{sweep}", weighted)
+            weighted = place.put(
+                f"sweep_{sweep}_{name}", compact(weighted.drop("factor"), n_cells)
+            )
     return weighted
 
 
