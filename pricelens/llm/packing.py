@@ -24,7 +24,7 @@ import base64
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -40,23 +40,39 @@ TOKENIZER = "byte_bpe_50k"
 #: Exchanges of the local search, at most, each between two groups of equal bins.
 MOST_EXCHANGES = 500
 
-_encoders: dict[str, object] = {}
+_encoders: dict[tuple[str, str], Callable[[str], list[int]]] = {}
 
 
-def encoder(ranks_path: str):
-    """The byte-level tokenizer of a rank file; one per worker process.
+def encoder(ranks_path: str, json_path: str) -> Callable[[str], list[int]]:
+    """Text to ids, by a rank file; one encoder per worker process.
 
-    The rank file and the JSON file of the same name hold one vocabulary and give equal ids.
+    The rank file and the JSON file hold one vocabulary and give equal ids; the former is
+    several times faster. Its regular expression gives up on runs of about a million blanks:
+    such a text goes to the tokenizer of the JSON file, which has no such limit.
     """
-    if ranks_path not in _encoders:
+    if (ranks_path, json_path) not in _encoders:
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[ranks_path] = tiktoken.Encoding(
+        fast = tiktoken.Encoding(
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-    return _encoders[ranks_path]
+        ).encode_ordinary
+
+        def encode(text: str) -> list[int]:
+            try:
+                return fast(text)
+            except BaseException as error:
+                if type(error).__name__ != "PanicException":  # no class of it can be imported
+                    raise
+            from tokenizers import Tokenizer
+
+            plain = Tokenizer.from_file(json_path)
+            plain.encode_special_tokens = True
+            return plain.encode(text, add_special_tokens=False).ids
+
+        _encoders[ranks_path, json_path] = encode
+    return _encoders[ranks_path, json_path]
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -69,14 +85,17 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def token_pieces(
     docs: DataFrame,
     size: int = SEQUENCE,
-    ranks_path: str | None = None,
+    tokenizer: str | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids) of every document."""
-    path = ranks_path or public_tokenizers.path(f"{TOKENIZER}.tiktoken")
+    """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids) of every document.
+
+    ``tokenizer`` is the path of the vocabulary without the ending of its two files.
+    """
+    stem = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = encoder(f"{stem}.tiktoken", f"{stem}.json")
         for batch in batches:
             rows: list[tuple] = []
             held: list[bytes] = []
@@ -269,11 +288,11 @@ def pack(
     spark: SparkSession,
     docs: DataFrame,
     size: int = SEQUENCE,
-    ranks_path: str | None = None,
+    tokenizer: str | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
     """Every piece with the sequence it is in and its offset there; with its ids if asked for."""
-    made = token_pieces(docs, size, ranks_path, with_ids)
+    made = token_pieces(docs, size, tokenizer, with_ids)
     chunked = made.withColumn("chunk", F.spark_partition_id())
     pieces = area(spark).put("pieces", chunked)
     counted = pieces.groupBy("length").count().collect()  # at most ``size`` rows

@@ -91,6 +91,14 @@ def test_documents_are_packed_whole(spark, documents):
     assert Counter(tuple(bytes(r[c]) if c == "ids" else r[c] for c in names) for r in got) == want
 
 
+def test_a_million_blanks(spark, documents):
+    text = "word" + "\n" * 1_200_000 + "end"
+    got = packing.pack(spark, documents([(1, text), (2, "x")])).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == len(plain.encode(text).ids) + 1
+    check_places(got, packing.SEQUENCE)
+
+
 def test_hot_length_and_empty_table(spark, documents):
     got = packing.pack(spark, documents([(i, "same text here") for i in range(3000)]), size=10)
     rows = got.collect()
