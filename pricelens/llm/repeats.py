@@ -46,6 +46,7 @@ from pricelens.llm.words import mix, text_blocks
 LENGTH, STEP, DEEP = 400, 32, 20_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PLACE_BITS = 24
+_POWERS_STEP = 1 << 18
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -60,7 +61,7 @@ class Substrings:
         self._sums, self._down = [], []
         for base in _BASES[:bases]:
             if base not in _powers or len(_powers[base][0]) <= n:
-                size = 1 << max(20, n.bit_length())
+                size = (n // _POWERS_STEP + 1) * _POWERS_STEP
                 up = np.full(size, base, dtype=np.uint64)
                 down = np.full(size, pow(base, -1, 1 << 64), dtype=np.uint64)
                 up[0] = down[0] = 1
@@ -278,7 +279,9 @@ def repeated_ranges(entries: pa.Table, length: int, step: int) -> pa.RecordBatch
     row = np.repeat(np.arange(len(low)), size)
     shift = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     around = _around(entries.column("before"), entries.column("after"), step)
-    bytes_ = around[row[:, None], (step - 1 - shift)[:, None] + np.arange(step - 1)]
+    # A view of every slice of ``step - 1`` bytes; only the chosen ones are copied.
+    slices = np.lib.stride_tricks.sliding_window_view(around, step - 1, axis=1)
+    bytes_ = slices[row, step - 1 - shift]
     b1, b2 = entries.column("b1").to_numpy(), entries.column("b2").to_numpy()
     new = np.ones(len(b1), dtype=bool)
     new[1:] = (b1[1:] != b1[:-1]) | (b2[1:] != b2[:-1])
