@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricelens import policy as P
 from pricelens.functions.numeric import half_even, linear_step
@@ -101,12 +100,6 @@ def round_columns(table: DataFrame, digits: Mapping[str, int]) -> DataFrame:
     )
 
 
-def round_doubles(table: DataFrame, digits: int) -> DataFrame:
-    """Round every double column half to even."""
-    doubles = [f.name for f in table.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return round_columns(table, dict.fromkeys(doubles, digits))
-
-
 def top_per_group(
     table: DataFrame, group: Sequence[str], order: Sequence[Column], most: int
 ) -> DataFrame:

@@ -75,13 +75,16 @@ def erosion_proxy(margin: Column, high_share: Column) -> Column:
     return (F.lit(1.0) - clip(margin, 0, 1)) * clip(high_share, 0, 1) * 100
 
 
-def _median_discount(area: StagingArea, lines: DataFrame) -> DataFrame:
+def median_discounts(area: StagingArea, lines: DataFrame) -> DataFrame:
+    """Exact median discount per segment; both segment summaries use it."""
     return exact_quantiles(
         area, lines, ["segment"], "discount_depth", {"median_discount_pct": 0.5}
     )
 
 
-def segment_mart(area: StagingArea, lines: DataFrame) -> DataFrame:
+def segment_mart(
+    area: StagingArea, lines: DataFrame, medians: DataFrame | None = None
+) -> DataFrame:
     """Segment summary with population spread."""
     summary = lines.groupBy("segment").agg(
         A.revenue().alias("total_revenue"),
@@ -91,7 +94,7 @@ def segment_mart(area: StagingArea, lines: DataFrame) -> DataFrame:
         F.var_pop("realized_price").alias("realized_price_variance"),
         F.stddev_pop("realized_price").alias("realized_price_std"),
     )
-    return _with_median(area, lines, summary).select(
+    return _with_median(area, lines, summary, medians).select(
         "segment",
         "total_revenue",
         "avg_discount_pct",
@@ -104,7 +107,9 @@ def segment_mart(area: StagingArea, lines: DataFrame) -> DataFrame:
     )
 
 
-def segment_summary(area: StagingArea, lines: DataFrame) -> DataFrame:
+def segment_summary(
+    area: StagingArea, lines: DataFrame, medians: DataFrame | None = None
+) -> DataFrame:
     """Segment summary with sample spread and price-residual spread; unknown spread is 0."""
 
     def known(value: Column) -> Column:
@@ -124,7 +129,7 @@ def segment_summary(area: StagingArea, lines: DataFrame) -> DataFrame:
             "price_realization_residual_abs_mean"
         ),
     )
-    return _with_median(area, lines, summary).select(
+    return _with_median(area, lines, summary, medians).select(
         "segment",
         "total_revenue",
         "avg_discount_pct",
@@ -139,11 +144,12 @@ def segment_summary(area: StagingArea, lines: DataFrame) -> DataFrame:
     )
 
 
-def _with_median(area: StagingArea, lines: DataFrame, summary: DataFrame) -> DataFrame:
+def _with_median(
+    area: StagingArea, lines: DataFrame, summary: DataFrame, medians: DataFrame | None
+) -> DataFrame:
     proxy = erosion_proxy(col("avg_margin_proxy_pct"), col("share_high_discount"))
-    return summary.join(_median_discount(area, lines), "segment", "left").withColumn(
-        "margin_erosion_proxy", proxy
-    )
+    known = median_discounts(area, lines) if medians is None else medians
+    return summary.join(known, "segment", "left").withColumn("margin_erosion_proxy", proxy)
 
 
 def segment_channel(lines: DataFrame) -> DataFrame:

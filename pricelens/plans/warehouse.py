@@ -109,19 +109,21 @@ class Warehouse:
     def scores(self) -> DataFrame:
         return self.area.put("customer_risk_scores", risk.scored(self.area, self.profile, self.policy))
 
+    @cached_property
+    def median_discounts(self) -> DataFrame:
+        return self.area.put("median_discounts", marts.median_discounts(self.area, self.lines))
+
     @cached_property
     def segments(self) -> DataFrame:
         """Segment summary with sample spread and residual columns."""
-        return self.area.put(
-            "segment_pricing_summary", marts.segment_summary(self.area, self.lines)
-        )
+        table = marts.segment_summary(self.area, self.lines, self.median_discounts)
+        return self.area.put("segment_pricing_summary", table)
 
     @cached_property
     def segment_mart(self) -> DataFrame:
         """Segment summary with population spread."""
-        return self.area.put(
-            "mart_segment_pricing_summary", marts.segment_mart(self.area, self.lines)
-        )
+        table = marts.segment_mart(self.area, self.lines, self.median_discounts)
+        return self.area.put("mart_segment_pricing_summary", table)
 
     @cached_property
     def account_facts(self) -> DataFrame:

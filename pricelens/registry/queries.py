@@ -450,13 +450,17 @@ def cross_output(w: Warehouse) -> DataFrame:
 
 
 def review_checks(w: Warehouse) -> DataFrame:
-    return checks.stacked(
-        [
-            review.technical_checks(w.raw, w.enriched, w.lines),
-            review.line_checks(w.lines, w.profile, w.segments, w.policy),
-            review.score_checks(w.area, w.scores),
-        ]
-    )
+    def build() -> DataFrame:
+        report = checks.stacked(
+            [
+                review.technical_checks(w.raw, w.enriched, w.lines),
+                review.line_checks(w.lines, w.profile, w.segments, w.policy),
+                review.score_checks(w.area, w.scores),
+            ]
+        )
+        return w.area.put("review_checks", report)
+
+    return w.once("review_checks", build)
 
 
 def status_reports(w: Warehouse) -> DataFrame:
