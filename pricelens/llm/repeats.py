@@ -437,10 +437,9 @@ def repeated_spans(
     )
     hot = place.put(
         "hot",
-        # Each hot bucket has more than ``deep`` entries, so they are few.
         compact(
             entries.groupBy("b1", "b2").count().where(F.col("count") > deep).select("b1", "b2"),
-            entries.count() // deep,
+            entries.count(),
         ),
     )
     plain = entries if hot.isEmpty() else entries.join(hot, ["b1", "b2"], "left_anti")
