@@ -34,8 +34,9 @@ SMALL_ROWS, ROWS_PER_FILE = 1_000_000, 250_000
 def compact(frame: DataFrame, most: int) -> DataFrame:
     """A frame made of at most ``most`` rows, in few partitions where that is a small number.
 
-    ``most`` must bound what the last stage *reads*, as that stage runs in these partitions. A loop writes many small tables; one file per shuffle partition of each would cost more
-    than its rows. Larger frames keep their partitions.
+    ``most`` must bound what the last stage reads, as that stage runs in these partitions. A
+    loop writes many small tables; one file per shuffle partition of each would cost more than
+    its rows. Larger frames keep their partitions.
     """
     return frame.coalesce(max(1, -(-most // ROWS_PER_FILE))) if most <= SMALL_ROWS else frame
 
