@@ -129,6 +129,22 @@ def test_values_are_not_stored_where_nobody_reads_them(spark, area):
     assert {r.column_name for r in found.frequencies.collect()} == {"kind"}
 
 
+def test_long_text_with_few_values_is_counted(spark, area):
+    long = "a product name that is much longer than forty-five characters "
+    rows = [(long + str(i % 4), long + str(i % 2), long + str(i), long + str(i)) for i in range(40)]
+    table = spark.createDataFrame(rows, "label string, kind_bucket string, all_bucket string, note string")
+    found = profiling.TableProfiler(area, {"t": table})
+    types = {r.column_name: r.column_type for r in found.column_types().collect()}
+    assert types == {
+        "label": "dimension", "kind_bucket": "structural", "all_bucket": "structural", "note": "text"
+    }
+    top = [(r.column_name, r["count"], r.share) for r in found.top_values().collect()]
+    want = [("label", 10, 0.25)] * 4 + [("kind_bucket", 20, 0.5)] * 2 + [("all_bucket", 1, 1 / 40)] * 5
+    assert sorted(top) == sorted(want)
+    counts = {r.column_name: r.distinct_count for r in found.column_profile().collect()}
+    assert counts == {"label": 4, "kind_bucket": 2, "all_bucket": 40, "note": 40}
+
+
 def test_repeated_columns_are_profiled_once(spark, area):
     wide = spark.range(30).selectExpr("id AS a_id", "id % 3 AS n", "'t' AS label", "id / 2D AS extra")
     tables = {"narrow": wide.select("a_id", "n", "label"), "wide": wide}
