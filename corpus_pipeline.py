@@ -35,7 +35,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents so that sources, languages and topics meet their target weights."""
+    """Samples documents to the target weights of sources, languages and topics.
+
+    A value that has fewer tokens than its weight asks of the budget is kept whole.
+    """
     return mixing.sample_mixture(spark, docs)
 
 

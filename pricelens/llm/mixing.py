@@ -1,11 +1,18 @@
-"""Mixing to target weights: iterative proportional fitting, then calibrated sampling.
-
-Documents are counted into cells of source x language x topic. Raking scales the token weights
-of the cells to the target share of each source, then each language, then each topic, for
-``sweeps`` rounds. The raked weights become inclusion probabilities: with a budget of tokens,
-cell ``c`` of ``t`` tokens and weight ``w`` is sampled with ``min(1, s * w / t)``, where ``s``
-is the one scale at which the expected tokens meet the budget. A document is in the sample
-when a hash of it, spread over 0 to 1, is below the probability of its cell.
+"""Mixing to target weights: bounded raking, then sampling by inclusion probabilities.
+
+Documents are counted into cells of source x language x topic. A budget of tokens is dealt to
+the values of each dimension in the ratio of their target shares; a value whose share is more
+than it has is kept whole, and the others share the rest. Bounded raking then scales the cells
+to these sums of each source, then each language, then each topic, where no cell gives more
+tokens than it has: the factor of a value is the one at which ``min(tokens, factor * weight)``
+adds up to its sum. Rounds go on until the sums settle; ``reached_shares`` tells target and reached
+shares, and the largest budget at which each value can have its share. The probability of a
+cell is its share of tokens given. A document is in the sample when a hash of it, spread over
+0 to 1, is below the probability of its cell.
+
+The query ``op6_mixture`` is defined by its SQL: raking without the bound for ``sweeps`` rounds,
+then ``min(1, s * w / t)`` with the one scale ``s`` at which the expected tokens meet the budget.
+It asks for that with ``bounded=False``; there, cells of probability 1 shift the shares reached.
 
 Only cells and factors move between tasks, both added up per task before. Cells are staged
 after each dimension, so plans stay small and lost executors cost one step at most.
@@ -18,7 +25,9 @@ rows share their decision; an empty table gives an empty result; further columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.tables import area, column, compact, is_row_count_at_most, table, whole_rows
@@ -33,6 +42,11 @@ KEEP = 0.8
 #: Cells are broadcast up to this many rows (about 100 bytes each), else joined by shuffle.
 BROADCAST_CELLS = 100_000
 _SCALE_STEPS = 100
+#: Bounded raking has settled when a round moves at most this share of the budget between cells.
+SETTLED = 1e-4
+MOST_ROUNDS = 100
+#: Least and largest weight a token in bounded raking, so that no factor runs out of range.
+_LEAST, _LARGEST = 1e-30, 1e12
 
 
 def n_tokens(text: Column) -> Column:
@@ -142,8 +156,115 @@ def calibrated_cells(
     )
 
 
+def _raked_within(cells: DataFrame, name: str) -> DataFrame:
+    """``cells`` with weights at which ``least(tokens, weight)`` adds up to ``want_`` of ``name``.
+
+    In the order in which cells stay open, each open cell gives the factor that holds if those
+    after it are full; the largest factor that leaves its own cell open is the one that holds.
+    """
+    tokens, weight = F.col("tokens"), F.col("weight")
+    others = [d for d in DIMENSIONS if d != name]
+    all_ = Window.partitionBy(name)
+    until = all_.orderBy(weight / tokens, *others).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    full = F.sum("tokens").over(all_) - F.sum("tokens").over(until)
+    tried = cells.withColumn("try", (F.col(f"want_{name}") - full) / F.sum("weight").over(until))
+    holds = F.col("try") * weight < tokens
+    factor = F.coalesce(F.max(F.when(holds, F.col("try"))).over(all_), F.max(tokens / weight).over(all_))
+    within = F.greatest(tokens * F.lit(_LEAST), F.least(tokens * F.lit(_LARGEST), weight * factor))
+    return tried.withColumn("weight", within).drop("try")
+
+
+def bounded_cells(
+    spark: SparkSession,
+    counted: DataFrame,
+    targets: dict[str, DataFrame] | None = None,
+    keep: float = KEEP,
+) -> DataFrame:
+    """Cells with ``probability`` by bounded raking, and the target ``share_`` of their values.
+
+    The expected tokens are ``keep`` of all, or all that values with a target have.
+    """
+    place = area(spark)
+    cells = place.put("cells", counted)
+    n_cells = cells.count()
+    raked = cells.where("tokens > 0")
+    for name in DIMENSIONS:
+        shares = (targets or {}).get(name)
+        shares = default_targets(cells, name) if shares is None else shares
+        given = shares.where("share > 0").select(name, F.col("share").cast("double").alias(f"share_{name}"))
+        raked = raked.join(given, name)
+    raked = place.put("targeted", compact(raked, n_cells))
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    most = raked.agg(F.sum("tokens")).first()[0] or 0
+    part = min(1.0, keep * total / most) if most else 0.0
+    bounded = raked.withColumn("weight", F.col("tokens").cast("double"))
+    for name in DIMENSIONS:
+        sums = raked.groupBy(name, F.col(f"share_{name}").alias("weight")).agg(F.sum("tokens").alias("tokens"))
+        dealt = calibrated_cells(spark, place.put(f"sums_{name}", compact(sums, n_cells)), part)
+        wanted = dealt.select(name, (F.col("probability") * F.col("tokens")).alias(f"want_{name}"))
+        bounded = bounded.join(wanted, name)
+    bounded = place.put("wanted", compact(bounded, n_cells))
+    given = F.least("weight", "tokens")
+    for turn in range(MOST_ROUNDS if part else 0):
+        bounded = bounded.withColumn("last", given)
+        for name in DIMENSIONS:
+            bounded = place.put(f"round_{turn}_{name}", compact(_raked_within(bounded, name), n_cells))
+        moved = bounded.agg(F.sum(F.abs(given - F.col("last")))).first()[0] or 0.0
+        if moved <= SETTLED * part * most:
+            break
+    told = bounded.select(*DIMENSIONS, "weight", *[f"share_{name}" for name in DIMENSIONS])
+    weight = F.coalesce("weight", F.lit(0.0))  # no weight: a value without a target
+    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), weight / F.col("tokens"))).otherwise(1.0)
+    return place.put(
+        "bounded", cells.join(told, list(DIMENSIONS), "left").withColumn("probability", chance)
+    )
+
+
+def reached_shares(cells: DataFrame) -> DataFrame:
+    """Per dimension and value of ``bounded_cells``: target and reached share of the sample.
+
+    ``largest_keep`` is the share of all tokens up to which the value alone can have its target.
+    """
+    all_ = Window.partitionBy("dimension")
+    parts = [
+        cells.where(f"share_{name} IS NOT NULL")
+        .groupBy(
+            F.lit(name).alias("dimension"),
+            F.col(name).cast("string").alias("value"),
+            F.col(f"share_{name}").alias("share"),
+        )
+        .agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("given"))
+        for name in DIMENSIONS
+    ]
+    total = cells.agg(F.sum("tokens").cast("double")).scalar()
+    target = F.col("share") / F.sum("share").over(all_)
+    return reduce(DataFrame.unionByName, parts).select(
+        "dimension",
+        "value",
+        "tokens",
+        target.alias("target"),
+        F.try_divide("given", F.sum("given").over(all_)).alias("reached"),
+        (F.col("tokens") / target / total).alias("largest_keep"),
+    )
+
+
+def _cells(
+    spark: SparkSession,
+    counted: DataFrame,
+    targets: dict[str, DataFrame] | None,
+    sweeps: int,
+    keep: float,
+    bounded: bool,
+) -> DataFrame:
+    if bounded:
+        return bounded_cells(spark, counted, targets, keep)
+    return calibrated_cells(spark, raked_cells(spark, counted, targets, sweeps), keep)
+
+
 def _with_probability(docs: DataFrame, cells: DataFrame) -> DataFrame:
-    looked_up = cells.select(*DIMENSIONS, "weight", "probability")
+    looked_up = cells.select(*DIMENSIONS, "probability")
     if is_row_count_at_most(looked_up, BROADCAST_CELLS):
         looked_up = F.broadcast(looked_up)
     return docs.join(looked_up, list(DIMENSIONS))
@@ -155,11 +276,12 @@ def mixture(
     targets: dict[str, DataFrame] | None = None,
     sweeps: int = SWEEPS,
     keep: float = KEEP,
+    bounded: bool = True,
 ) -> DataFrame:
     """Every document with its cell, tokens, probability and whether the sample has it."""
     told = area(spark).put("features", docs.select(column("doc_id"), *features(docs)))
     counted = told.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    cells = calibrated_cells(spark, raked_cells(spark, counted, targets, sweeps), keep)
+    cells = _cells(spark, counted, targets, sweeps, keep, bounded)
     return _with_probability(told, cells).select(
         "doc_id",
         *DIMENSIONS,
@@ -175,18 +297,19 @@ def sample_mixture(
     targets: dict[str, DataFrame] | None = None,
     sweeps: int = SWEEPS,
     keep: float = KEEP,
+    bounded: bool = True,
 ) -> DataFrame:
     """The rows of ``docs`` in the sample, with their columns unchanged."""
     rows = docs.select(whole_rows(docs).alias("whole"), *features(docs))
     counted = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    cells = calibrated_cells(spark, raked_cells(spark, counted, targets, sweeps), keep)
+    cells = _cells(spark, counted, targets, sweeps, keep, bounded)
     return (
         _with_probability(rows, cells).where("draw < probability").select("whole.*")
     )
 
 
 def op6_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture(spark, table(spark, folder, "documents"))
+    return mixture(spark, table(spark, folder, "documents"), bounded=False)
 
 
 def _sweeps_sql() -> str:

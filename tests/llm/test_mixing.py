@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pricelens.llm.mixing import calibrated_cells, mixture, raked_cells, sample_mixture
+from pricelens.llm.mixing import bounded_cells, calibrated_cells, mixture, raked_cells, reached_shares, sample_mixture
 from tests.conftest import local_frame
 
 CELLS = [("a", "en", 0, 800), ("a", "de", 0, 100), ("b", "en", 1, 50), ("b", "de", 1, 50), ("b", "en", 0, 40)]
@@ -61,3 +61,43 @@ def test_sample_follows_the_probabilities(spark):
     hot = whole[whole.source == "hot"]
     assert hot.probability.iloc[0] < 1 and whole[whole.source != "hot"].probability.min() == 1
     assert hot.sampled.mean() == pytest.approx(hot.probability.iloc[0], abs=0.03)
+
+
+def shares_of(cells, name):
+    got = cells.toPandas()
+    given = (got.tokens * got.probability).groupby(got[name]).sum()
+    return given / given.sum()
+
+
+def test_bounded_raking_meets_targets_that_fill_cells(spark):
+    cells = local_frame(
+        spark, [("a", "en", 0, 800), ("a", "de", 0, 100), ("b", "en", 0, 80), ("b", "de", 0, 20), ("c", "en", 0, 50)], DDL
+    )
+    targets = {
+        "source": local_frame(spark, [("a", 0.82), ("b", 0.18)], "source string, share double"),
+        "lang": local_frame(spark, [("en", 0.78), ("de", 0.22)], "lang string, share double"),
+    }
+    keep = 500 / 1050
+    plain = calibrated_cells(spark, raked_cells(spark, cells, targets, sweeps=40), keep)
+    assert shares_of(plain, "source")["b"] < 0.17  # the cell b, de is full before b has its share
+    got = bounded_cells(spark, cells, targets, keep)
+    for name, value, share in [("source", "b", 0.18), ("source", "c", 0), ("lang", "de", 0.22)]:
+        assert shares_of(got, name)[value] == pytest.approx(share, abs=1e-3)
+    frame = got.toPandas()
+    assert frame.probability.max() <= 1
+    assert (frame.probability * frame.tokens).sum() == pytest.approx(500, rel=1e-3)
+    told = {(r["dimension"], r["value"]): r for r in reached_shares(got).collect()}
+    assert told["source", "b"]["target"] == pytest.approx(0.18)
+    assert told["source", "b"]["reached"] == pytest.approx(0.18, abs=1e-3)
+    assert told["lang", "de"]["largest_keep"] == pytest.approx(120 / 0.22 / 1050)
+
+
+def test_targets_beyond_the_tokens_are_told(spark):
+    rows = [("hot", "en", 0, 2000), *[(f"s{i}", "en", 0, 100) for i in range(10)]]
+    got = bounded_cells(spark, local_frame(spark, rows, DDL), keep=0.8)
+    told = {r["value"]: r for r in reached_shares(got).collect() if r["dimension"] == "source"}
+    assert told["hot"]["target"] == pytest.approx(0.309, abs=1e-3)
+    assert told["hot"]["reached"] == pytest.approx(1400 / 2400)  # all others are kept whole
+    assert told["s1"]["largest_keep"] == pytest.approx(0.482, abs=1e-3)
+    at_most = bounded_cells(spark, local_frame(spark, rows, DDL), keep=told["s1"]["largest_keep"])
+    assert shares_of(at_most, "source")["hot"] == pytest.approx(told["hot"]["target"])
