@@ -45,7 +45,7 @@ def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @on_executors
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every piece of every document in a sequence."""
-    return packing.pack(spark, docs)
+    return packing.pack(spark, docs, added=True)
 
 
 STAGES = [

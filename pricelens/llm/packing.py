@@ -21,6 +21,7 @@ and NULL ids too; an empty table gives an empty result; further columns do not m
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
@@ -40,39 +41,46 @@ TOKENIZER = "byte_bpe_50k"
 #: Exchanges of the local search, at most, each between two groups of equal bins.
 MOST_EXCHANGES = 500
 
-_encoders: dict[tuple[str, str], Callable[[str], list[int]]] = {}
+_encoders: dict[tuple[str, str, bool], Callable[[str], list[int]]] = {}
 
 
-def encoder(ranks_path: str, json_path: str) -> Callable[[str], list[int]]:
+def encoder(ranks_path: str, json_path: str, added: bool = False) -> Callable[[str], list[int]]:
     """Text to ids, by a rank file; one encoder per worker process.
 
     The rank file and the JSON file hold one vocabulary and give equal ids; the former is
     several times faster. Its regular expression gives up on runs of about a million blanks:
-    such a text goes to the tokenizer of the JSON file, which has no such limit.
+    such a text goes to the tokenizer of the JSON file, which has no such limit. With ``added``,
+    the tokens that the JSON file adds get their ids, as its tokenizer does by default; without,
+    their names are text like any other.
     """
-    if (ranks_path, json_path) not in _encoders:
+    if (ranks_path, json_path, added) not in _encoders:
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        special = {}
+        if added:
+            with open(json_path, encoding="utf-8") as told:
+                special = {t["content"]: t["id"] for t in json.load(told)["added_tokens"]}
         fast = tiktoken.Encoding(
-            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
+        )
 
         def encode(text: str) -> list[int]:
             try:
-                return fast(text)
+                return fast.encode(text, allowed_special="all") if added else fast.encode_ordinary(text)
             except BaseException as error:
-                if type(error).__name__ != "PanicException":  # no class of it can be imported
+                # The regular expression gave up; no class of a panic can be imported.
+                if type(error).__name__ != "PanicException" and "regex" not in str(error):
                     raise
             from tokenizers import Tokenizer
 
             plain = Tokenizer.from_file(json_path)
-            plain.encode_special_tokens = True
+            plain.encode_special_tokens = not added
             return plain.encode(text, add_special_tokens=False).ids
 
-        _encoders[ranks_path, json_path] = encode
-    return _encoders[ranks_path, json_path]
+        _encoders[ranks_path, json_path, added] = encode
+    return _encoders[ranks_path, json_path, added]
 
 
 def cut(n: int, size: int) -> list[tuple[int, int]]:
@@ -87,15 +95,17 @@ def token_pieces(
     size: int = SEQUENCE,
     tokenizer: str | None = None,
     with_ids: bool = False,
+    added: bool = False,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32 and, if asked for, ids) of every document.
 
-    ``tokenizer`` is the path of the vocabulary without the ending of its two files.
+    ``tokenizer`` is the path of the vocabulary without the ending of its two files; ``added``
+    says whether its added tokens, such as ``<|endoftext|>``, are ids of their own in a text.
     """
     stem = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(f"{stem}.tiktoken", f"{stem}.json")
+        encode = encoder(f"{stem}.tiktoken", f"{stem}.json", added)
         for batch in batches:
             rows: list[tuple] = []
             held: list[bytes] = []
@@ -290,9 +300,10 @@ def pack(
     size: int = SEQUENCE,
     tokenizer: str | None = None,
     with_ids: bool = False,
+    added: bool = False,
 ) -> DataFrame:
     """Every piece with the sequence it is in and its offset there; with its ids if asked for."""
-    made = token_pieces(docs, size, tokenizer, with_ids)
+    made = token_pieces(docs, size, tokenizer, with_ids, added)
     chunked = made.withColumn("chunk", F.spark_partition_id())
     pieces = area(spark).put("pieces", chunked)
     counted = pieces.groupBy("length").count().collect()  # at most ``size`` rows
@@ -322,4 +333,4 @@ def pack(
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(spark, table(spark, folder, "documents"))
+    return pack(spark, table(spark, folder, "documents"), added=True)

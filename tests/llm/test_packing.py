@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from pricelens.llm import packing
 
 
@@ -105,3 +106,26 @@ def test_hot_length_and_empty_table(spark, documents):
     length = rows[0]["length"]
     assert check_places(rows, 10) == -(-3000 // (10 // length))
     assert packing.pack(spark, documents([])).collect() == []
+
+
+@pytest.mark.parametrize("run", ["query", "pipeline"])
+def test_added_tokens_have_their_ids(spark, documents, tmp_path, run):
+    name = "<|endoftext|>"
+    texts = [f"a {name} b", name, f"{name}{name} x", f"  {name}\n\n y'll {name} ", f"{name[:-1]} >", "plain  text"]
+    texts.append(f"word {name}" + "\n" * 1_200_000 + f"{name} end")
+    docs = documents(list(enumerate(texts)))
+    if run == "query":
+        docs.write.parquet(f"{tmp_path}/documents.parquet")
+        rows = packing.op9_packing(spark, str(tmp_path)).collect()
+    else:
+        rows = corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = Counter()
+    for doc_id, text in enumerate(texts):
+        ids = plain.encode(text, add_special_tokens=False).ids + [0]
+        for k, (start, length) in enumerate(packing.cut(len(ids), packing.SEQUENCE)):
+            part = np.array(ids[start : start + length], dtype="<u4").tobytes()
+            want[doc_id, k, start, length, zlib.crc32(part)] += 1
+    names = ("doc_id", "piece", "start", "length", "ids_crc32")
+    assert Counter(tuple(r[c] for c in names) for r in rows) == want
