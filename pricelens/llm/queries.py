@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from pricelens.llm import chat, exact, lattice, mixing, near, packing, quality, repeats, toxicity, wacz
+from pricelens.llm import (
+    chat,
+    exact,
+    lattice,
+    mixing,
+    near,
+    packing,
+    phrases,
+    quality,
+    repeats,
+    sharding,
+    toxicity,
+    variants,
+    wacz,
+)
 from pricelens.llm.ship import on_executors
 
 QUERIES = {
@@ -16,6 +30,9 @@ QUERIES = {
     "op8_quality": on_executors(quality.op8_quality),
     "op9_packing": on_executors(packing.op9_packing),
     "op10_exact_dedup": exact.op10_exact_dedup,
+    "op11_phrases": on_executors(phrases.op11_phrases),
+    "op12_variants": on_executors(variants.op12_variants),
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLES = {
@@ -24,4 +41,7 @@ ORACLES = {
     "op4_lattice": lattice.OP4_SQL,
     "op6_mixture": mixing.OP6_SQL,
     "op10_exact_dedup": exact.OP10_SQL,
+    "op11_phrases": phrases.OP11_SQL,
+    "op12_variants": variants.OP12_SQL,
+    "op13_sharding": sharding.OP13_SQL,
 }
