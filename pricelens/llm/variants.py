@@ -45,6 +45,8 @@ GRAM, PIVOTS = 2, 2
 #: Bigrams of the first 256 code points have a slot of their own; others may share one, and then
 #: count as equally rare, which loses no pair.
 SLOTS = 1 << 16
+#: Words whose pivots one task chooses.
+TASK_WORDS = 100_000
 #: Words from this length on are looked up by halves.
 LONG = 64
 _SHORTEST = GRAM * (PIVOTS - 1) + GRAM
@@ -218,7 +220,9 @@ def near_words(spark: SparkSession, words: DataFrame) -> DataFrame:
     place = area(spark)
     words = place.put("words", words.select("word", "n").where(F.length("word") >= _SHORTEST))
     schema = "word string, n long, prefix array<int>, first int, second int, ends int"
-    signed = place.put("signatures", words.mapInArrow(_signatures(gram_frequencies(words)), schema))
+    # Words are few bytes and much work, so they are dealt by number and not by size.
+    dealt = words.repartition(max(1, -(-words.count() // TASK_WORDS)), "word")
+    signed = place.put("signatures", dealt.mapInArrow(_signatures(gram_frequencies(words)), schema))
     a, b = _lookups(signed).alias("a"), _entries(signed).alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.ends") <= F.col("b.ends")))
     near = met.where((F.col("a.word") != F.col("b.word")) & (F.levenshtein("a.word", "b.word", 1) == 1))
