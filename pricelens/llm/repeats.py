@@ -41,9 +41,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelens.llm.tables import area, column, compact, table
-from pricelens.llm.words import mix, text_blocks
+from pricelens.llm.words import mix, text_blocks, word_hashes
 
 LENGTH, STEP, DEEP = 400, 32, 20_000
+#: Words of a passage that documents share; 51 words of prose have about 316 bytes.
+PASSAGE = 51
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _PLACE_BITS = 24
 _POWERS_STEP = 1 << 18
@@ -567,13 +569,61 @@ def without_repeats(
     return rows.join(place.put("fates", fates), "key", "left").select(*columns)
 
 
+# ---------------------------------------------------------------- passages in words
+
+
+def _passage_rows(words: int):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, _, data, offsets in text_blocks(batch.column("text")):
+                hashes, firsts = word_hashes(data, offsets)
+                if len(hashes) < words:
+                    continue
+                windows = Substrings(hashes, 1).windows(_anchor_width(words))
+                text, anchor, _, _ = anchors(hashes, firsts, windows, words)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(windows[anchor].view(np.int64)),
+                        batch.column("doc_id").take(pa.array(first + text)),
+                    ],
+                    names=["window", "doc_id"],
+                )
+
+    return find
+
+
+def shared_passages(docs: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """Identifiers of the documents that share a passage of ``words`` words with another one.
+
+    Step 1 above with words in place of bytes: the passage is named by its anchor, the half of it
+    with the least hash. Every shared passage is found; what is found are at least half as many
+    words in a row that two documents have. Words are runs of letters and digits, so that passages
+    may differ in blanks and punctuation. Rows that repeat an identifier are one document here, and
+    rows without one are not told.
+    """
+    told = docs.select(column("doc_id").alias("doc_id"), F.coalesce(column("text"), F.lit("")).alias("text"))
+    known = told.where(F.col("doc_id").isNotNull())
+    kind = known.schema["doc_id"].dataType.simpleString()
+    found = known.mapInArrow(_passage_rows(words), f"window long, doc_id {kind}")
+    several = (
+        found.groupBy("window")
+        .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        .where("a <> b")
+        .select("window")
+    )
+    return found.join(several, "window", "left_semi").select("doc_id").distinct()
+
+
 def op2_repeated_spans(spark: SparkSession, folder: str) -> DataFrame:
-    cut = without_repeats(spark, table(spark, folder, "documents"), keep="none", with_bytes=False)
+    docs = table(spark, folder, "documents")
+    cut = without_repeats(spark, docs, keep="none", with_bytes=False)
+    passages = area(spark).put("passages", shared_passages(docs)).withColumn("shares_passage", F.lit(True))
     sizes = F.transform("spans", lambda s: s["stop"] - s["start"])
-    return cut.select(
+    return cut.join(passages, "doc_id", "left").select(
         "doc_id",
         "n_bytes",
         F.aggregate(sizes, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         "kept_sha256",
+        F.coalesce("shares_passage", F.lit(False)).alias("shares_passage"),
     )

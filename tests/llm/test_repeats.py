@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from pricelens.llm import repeats
+from pricelens.llm.repeats import shared_passages
 
 
 def brute(texts: list[bytes], length: int, keep: str) -> list[list[bool]]:
@@ -122,3 +123,22 @@ def test_places_beyond_one_piece(monkeypatch):
     of = {s: a - s for a, f, z in zip(anchor, first, last, strict=True) for s in range(f, z + 1)}
     assert len(of) == 5000 - 40 + 1
     assert all(of[s] == of[s + 2900] for s in range(100, 461))
+
+
+def test_documents_that_share_a_passage(spark, documents):
+    rng = random.Random(5)
+
+    def prose(n: int) -> list[str]:
+        return ["".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(n)]
+
+    passage, short = prose(51), prose(25)
+    rows = [(i, " ".join(prose(30) + passage + prose(40))) for i in range(20)]
+    rows += [(20, ", ".join(prose(5) + passage)), (21, " ".join(passage[:-1]))]
+    rows += [(i, " ".join(prose(60) + short + prose(60))) for i in range(30, 50)]
+    rows += [(50, " ".join(passage[:40] + prose(9))), (51, None), (52, ""), (None, " ".join(passage))]
+    twice = " ".join(prose(200))
+    rows += [(60, twice), (60, twice), (61, " ".join(prose(3) + passage * 2)), (62, " ".join(prose(20_000)))]
+    got = {r["doc_id"] for r in shared_passages(documents(rows)).collect()}
+    assert got >= set(range(21)) | {61}
+    assert not got & {*range(30, 50), 51, 52, 60, 62, None}
+    assert shared_passages(documents([])).collect() == []
