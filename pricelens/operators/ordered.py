@@ -17,6 +17,10 @@ from pricelens.sources.area import StagingArea
 
 col = F.col
 
+# Entries of a sketch that brackets quantiles, and the share of rows on either side of a quantile
+# that its bracket takes in: about three times the sketch's error.
+SKETCH_ENTRIES, BRACKET = 4096, 0.003
+
 # A value with at least this fraction (1/1000) of its metric's rows is joined by broadcast.
 HEAVY_VALUES = 1000
 
@@ -199,10 +203,17 @@ def exact_quantiles(
     """
     counts = value_counts(table, group, value)
     placed = value_positions(area, counts, group, value, chunks)
+    return _interpolated(placed, group, col(value), points)
+
+
+def _interpolated(
+    placed: DataFrame, group: Sequence[str], value: Column, points: Mapping[str, float]
+) -> DataFrame:
+    """Quantiles from values with their number ``n``, the rows ``before`` them and ``total``."""
 
     def at(index: Column) -> Column:
         covers = (col("before") <= index) & (index < col("before") + col("n"))
-        return F.max(F.when(covers, col(value)))
+        return F.max(F.when(covers, value))
 
     picks = []
     for name, probability in points.items():
@@ -223,3 +234,63 @@ def exact_quantiles(
             for name in points
         ],
     )
+
+
+def selected_quantiles(
+    area: StagingArea,
+    table: DataFrame,
+    group: Sequence[str],
+    value: str,
+    points: Mapping[str, float],
+) -> DataFrame:
+    """As ``exact_quantiles``, for few groups, by selection: only rows near a quantile are ordered.
+
+    A sketch per group brackets each quantile. One counting pass keeps the values inside the
+    brackets, each with its number of rows, and one count for each stretch between them, so the
+    places of the kept values are exact. Should a quantile lie outside its bracket, which the
+    counts tell, its group is ordered as a whole. There is one row per group in a broadcast.
+    """
+    known = table.where(col(value).isNotNull()).withColumn(value, col(value).cast("double"))
+    sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_ENTRIES))
+
+    def edge(share: float) -> Column:
+        rank = F.lit(float(min(max(share, 0.0), 1.0)))
+        return F.when(col("n") > 0, F.kll_sketch_get_quantile_double("sketch", rank))
+
+    ends = {name: (edge(p - BRACKET), edge(p + BRACKET)) for name, p in points.items()}
+    brackets = area.put(
+        "brackets",
+        known.groupBy(*group).agg(sketch.alias("sketch"), F.count(value).alias("n")).select(
+            *group,
+            F.struct(
+                *[F.struct(low.alias("low"), high.alias("high")).alias(n) for n, (low, high) in ends.items()]
+            ).alias("brackets"),
+        ),
+    )
+    if group:
+        placed = known.join(F.broadcast(brackets), list(group))
+    else:
+        placed = known.withColumn("brackets", brackets.scalar())
+    inside, passed = F.lit(False), F.lit(0)
+    for name in points:
+        low, high = col(f"brackets.{name}.low"), col(f"brackets.{name}.high")
+        inside = inside | col(value).between(low, high)
+        passed = passed + (col(value) > high).cast("int")
+    # Values outside all brackets that have passed equally many of them are neighbours.
+    counts = (
+        placed.select(*group, value, inside.alias("kept"), F.when(~inside, passed).alias("stretch"))
+        .groupBy(*group, "kept", "stretch", F.when(col("kept"), col(value)).alias("key"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(value).alias(value))
+        .drop("key", "stretch")
+    )
+    ranked = area.put("bracketed", value_positions(area, counts, group, value))
+    found = _interpolated(ranked, group, F.when(col("kept"), col(value)), points)
+    found = area.put("quantiles", found)
+    missed = F.lit(False)
+    for name in points:
+        missed = missed | col(name).isNull()
+    lost = found.where(missed).select(*group)
+    if lost.isEmpty():
+        return found
+    again = known.join(F.broadcast(lost), list(group), "left_semi") if group else known
+    return found.where(~missed).unionByName(exact_quantiles(area, again, group, value, points))

@@ -12,7 +12,7 @@ from pricelens.functions import measures as A
 from pricelens.functions import pricing as X
 from pricelens.functions.numeric import count_if, ratio, sum_if
 from pricelens.functions.scoring import health_verdict
-from pricelens.operators.ordered import exact_quantiles, percentile_ranks, running_before
+from pricelens.operators.ordered import percentile_ranks, running_before, selected_quantiles
 from pricelens.operators.shapes import density, histogram
 from pricelens.sources.area import StagingArea
 
@@ -564,7 +564,7 @@ def discount_margin_fit(profile: DataFrame) -> DataFrame:
 
 def discount_quantiles(area: StagingArea, lines: DataFrame) -> DataFrame:
     points = lines.select((col("discount_depth") * 100).alias("points"))
-    return exact_quantiles(
+    return selected_quantiles(
         area, points, [], "points", {"median_discount": 0.5, "p90_discount": 0.9}
     )
 
@@ -573,7 +573,7 @@ def score_quantile(area: StagingArea, scores: DataFrame) -> DataFrame:
     """90th percentile of the priority score and the customers at or above it."""
     found = area.put(
         "score_p90",
-        exact_quantiles(area, scores, [], "governance_priority_score", {"p90_priority": 0.9}),
+        selected_quantiles(area, scores, [], "governance_priority_score", {"p90_priority": 0.9}),
     )
     reached = scores.agg(
         count_if(col("governance_priority_score") >= found.scalar())

@@ -138,3 +138,54 @@ def test_round_columns_ignores_absent(spark):
     table = spark.createDataFrame([(1.005, 2.345)], "a double, b double")
     row = shapes.round_columns(table, {"a": 1, "z": 2}).first()
     assert (row.a, row.b) == (1.0, 2.345)
+
+
+@pytest.mark.parametrize("entries,bracket", [(4096, 0.003), (8, 0.0), (8, 0.05)])
+def test_selected_quantiles(spark, area, monkeypatch, entries, bracket):
+    """Also with a coarse sketch whose brackets miss, so that whole groups are ordered."""
+    monkeypatch.setattr(ordered, "SKETCH_ENTRIES", entries)
+    monkeypatch.setattr(ordered, "BRACKET", bracket)
+    rng = np.random.default_rng(3)
+    values = {
+        "smooth": rng.normal(size=5000),
+        "hot": np.where(rng.random(4000) < 0.7, 0.0, rng.random(4000)),
+        "ties": rng.integers(0, 6, 3000).astype(float),
+        "pair": np.array([1.0, 2.0]),
+        "one": np.array([5.0]),
+    }
+    frame = pd.DataFrame({"g": np.repeat(list(values), [len(v) for v in values.values()]),
+                          "v": np.concatenate(list(values.values()))})
+    frame = spark.createDataFrame(frame).union(spark.sql("SELECT 'none', CAST(NULL AS DOUBLE)"))
+    points = {"low": 0.05, "mid": 0.5, "high": 0.95, "top": 1.0}
+    got = {r["g"]: r for r in ordered.selected_quantiles(area, frame, ["g"], "v", points).collect()}
+    assert set(got) == set(values)
+    for g, v in values.items():
+        want = np.quantile(v, list(points.values()))
+        assert [got[g][n] for n in points] == pytest.approx(want, abs=1e-12)
+    whole = ordered.selected_quantiles(area, frame.where("g = 'smooth'"), [], "v", points).first()
+    assert [whole[n] for n in points] == pytest.approx(np.quantile(values["smooth"], list(points.values())))
+
+
+def test_selection_orders_only_what_is_near(spark, area):
+    frame = spark.range(200_000).select(F.col("id").cast("double").alias("v"))
+    staged = []
+
+    class Watched:
+        def put(self, name, table, near=None):
+            found = area.put(name, table, near)
+            staged.append((name, found.count()))
+            return found
+
+        def put_in_order(self, name, table, *order, chunks=None):
+            found = area.put_in_order(name, table, *order, chunks=chunks)
+            staged.append((name, found.count()))
+            return found
+
+    row = ordered.selected_quantiles(Watched(), frame, [], "v", {"mid": 0.5}).first()
+    assert row["mid"] == 99_999.5
+    assert max(n for _, n in staged) < 4_000
+
+
+def test_selected_quantiles_of_nothing(spark, area):
+    empty = spark.range(0).select(F.col("id").cast("double").alias("v"))
+    assert ordered.selected_quantiles(area, empty, [], "v", {"mid": 0.5}).collect() == [(None,)]
