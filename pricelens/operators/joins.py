@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pricelens.operators.links import Link, link_counts
+
 col = F.col
 
 
@@ -40,25 +42,21 @@ def link_violations(
     One row with ``dimension, join_key, duplicate_keys, unmatched_rows, examples``; the
     examples are the first few unmatched keys in text order.
     """
-    absent = (
-        left.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .join(right.select(key), key, "left_anti")
-    )
-    shown = (
-        absent.where(col(key).isNotNull())
-        .select(col(key).cast("string").alias("k"))
-        .orderBy("k")
-        .limit(examples)
-        .agg(F.array_join(F.sort_array(F.collect_list("k")), ", ").alias("examples"))
-    )
-    repeated = right.groupBy(key).count().where(col("count") > 1)
-    return absent.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("unmatched_rows")).select(
-        F.lit(dimension).alias("dimension"),
-        F.lit(key).alias("join_key"),
-        repeated.agg(F.count(F.lit(1))).scalar().alias("duplicate_keys"),
-        "unmatched_rows",
-        shown.scalar().alias("examples"),
+    link = Link(dimension, "right", (key,), "left", key)
+    return violations({"left": left, "right": right}, [link], examples)
+
+
+def violations(
+    tables: Mapping[str, DataFrame], links: Sequence[Link], examples: int = 5
+) -> DataFrame:
+    """``link_violations`` of several links at once; a link is named by its dimension."""
+    keys = F.create_map(*[F.lit(part) for link in links for part in (link.name, link.child_key)])
+    return link_counts(tables, links, examples).select(
+        col("name").alias("dimension"),
+        keys[col("name")].alias("join_key"),
+        "duplicate_keys",
+        col("missing_rows").alias("unmatched_rows"),
+        "examples",
     )
 
 

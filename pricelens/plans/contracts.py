@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pricelens import policy as P
 from pricelens.functions.numeric import count_if
 from pricelens.operators.checks import as_rows, stacked, status, text
-from pricelens.operators.joins import duplicate_count
+from pricelens.operators.links import Link, figure, link_facts
 
 col = F.col
 Bound = tuple[float | None, float | None]
@@ -178,11 +178,13 @@ def _outside(name: str, bound: Bound) -> Column:
     return count_if(F.coalesce(broken, F.lit(False)))
 
 
-def check_contract(name: str, table: DataFrame | None, contract: Contract) -> DataFrame | None:
+def check_contract(
+    name: str, table: DataFrame | None, contract: Contract, keys: Column | None = None
+) -> DataFrame | None:
     """The report rows of one table.
 
-    Counts, null rates, bounds and labels share one aggregate that combines map-side; key
-    uniqueness is a separate aggregate over the key alone.
+    Counts, null rates, bounds and labels share one aggregate that combines map-side; ``keys``
+    are the figures of ``link_facts`` on the keys of all tables.
     """
     if table is None:
         return None
@@ -211,8 +213,9 @@ def check_contract(name: str, table: DataFrame | None, contract: Contract) -> Da
     if missing:
         return report
     details = []
-    if contract.key:
-        facts = facts.withColumn("dup", duplicate_count(table, contract.key).scalar())
+    if contract.key and keys is not None:
+        facts = facts.withColumn("links", keys)
+        facts = facts.withColumn("dup", figure(name, "duplicate_rows"))
         label = ", ".join(contract.key)
         details.append(
             _row(
@@ -253,8 +256,15 @@ def contract_report(
     """All contract rows; a table that is not given fails its ``table_exists`` check."""
     parts = []
     session = next(iter(tables.values())).sparkSession
+    links = [
+        Link(name, name, tuple(contract.key))
+        for name, contract in contracts.items()
+        if contract.key and name in tables and set(contract.columns) <= set(tables[name].columns)
+    ]
+    # One and the same subquery for all tables, which Spark runs once.
+    keys = link_facts(tables, links).scalar() if links else None
     for name, contract in contracts.items():
-        part = check_contract(name, tables.get(name), contract)
+        part = check_contract(name, tables.get(name), contract, keys)
         if part is None:
             absent = _row(name, "table_exists", F.lit(False), F.lit("table not given"))
             part = as_rows(session.range(1), [absent])

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pricelens import policy as P
 from pricelens.functions.numeric import count_if, flag, ratio, weighted_mean
 from pricelens.operators.checks import as_rows, counted, judged, stacked, status, text
-from pricelens.operators.joins import duplicate_count, orphan_count
+from pricelens.operators.joins import duplicate_count
+from pricelens.operators.links import Link, figure, link_counts, link_facts
 from pricelens.sources import contract as C
 
 col = F.col
@@ -86,18 +87,23 @@ def _not_numeric(name: str) -> Column:
 
 
 def raw_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Unique keys, numeric text, complete links and no empty cells."""
-    parts = []
+    """Unique keys, numeric text, complete links and no empty cells.
+
+    All keys and links share one shuffle.
+    """
+    linked = {parent: label for label, _, _, parent in LINKS}
+    links = [Link(label, parent, (key,), child, key) for label, child, key, parent in LINKS]
+    links += [Link(name, name, spec.key) for name, spec in C.RAW.items() if name not in linked]
+    parts, rows = [], []
     for name, spec in C.RAW.items():
-        table = tables[name]
-        label = f"{name}_unique_{spec.key[0]}"
-        parts.append(
-            as_rows(
-                duplicate_count(table, spec.key),
-                [counted(label, col("duplicates"), "key values are unique")],
-            )
-        )
-        numeric = NUMERIC.get(name, ())
+        repeated = figure(linked.get(name, name), "duplicate_rows")
+        rows.append(counted(f"{name}_unique_{spec.key[0]}", repeated, "key values are unique"))
+    for label, _, _, parent in LINKS:
+        missing = figure(label, "missing_rows")
+        rows.append(counted(label, missing, f"every row has its {parent}"))
+    parts.append(as_rows(link_facts(tables, links), rows))
+    for name in C.RAW:
+        table, numeric = tables[name], NUMERIC.get(name, ())
         empty = sum((col(c).isNull().cast("long") for c in table.columns), F.lit(0))
         measured = table.agg(
             F.coalesce(F.sum(empty), F.lit(0)).alias("empty"),
@@ -108,11 +114,6 @@ def raw_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
         ]
         rows.append(counted(f"{name}_nulls", col("empty"), "no empty cells"))
         parts.append(as_rows(measured, rows))
-    for label, child, key, parent in LINKS:
-        missing = orphan_count(tables[child], tables[parent], key, key)
-        parts.append(
-            as_rows(missing, [counted(label, col("missing_rows"), f"every row has its {parent}")])
-        )
     return stacked(parts)
 
 
@@ -446,13 +447,8 @@ def _size(table: DataFrame) -> Column:
 
 
 def orphan_report(staged: Mapping[str, DataFrame]) -> DataFrame:
-    parts = [
-        orphan_count(staged[child], staged[parent], key, key).select(
-            F.lit(label).alias("check_name"), "missing_rows"
-        )
-        for label, child, key, parent in ORPHAN_CHECKS
-    ]
-    return stacked(parts)
+    links = [Link(label, parent, (key,), child, key) for label, child, key, parent in ORPHAN_CHECKS]
+    return link_counts(staged, links).select(col("name").alias("check_name"), "missing_rows")
 
 
 def key_counts(marts: Mapping[str, DataFrame]) -> DataFrame:

@@ -11,7 +11,7 @@ from pricelens import policy as P
 from pricelens.functions.numeric import count_if, ratio, sum_if, weighted_mean
 from pricelens.functions.scoring import main_driver
 from pricelens.operators.checks import as_rows, stacked, status, text
-from pricelens.operators.joins import orphan_count
+from pricelens.operators.links import Link, figure, link_facts
 from pricelens.operators.ordered import exact_quantiles
 from pricelens.sources.area import StagingArea
 
@@ -197,21 +197,17 @@ def technical_checks(
             ),
         ],
     )
-    links = [
-        as_rows(
-            orphan_count(raw[child], raw[parent], key, key),
-            [
-                _review(
-                    label,
-                    col("missing_rows") == 0,
-                    text("missing=%d", col("missing_rows")),
-                    "technical", "High", True,
-                )
-            ],
+    links = [Link(label, parent, (key,), child, key) for label, child, key, parent in REVIEW_LINKS]
+    missing = [
+        _review(
+            label,
+            figure(label, "missing_rows") == 0,
+            text("missing=%d", figure(label, "missing_rows")),
+            "technical", "High", True,
         )
-        for label, child, key, parent in REVIEW_LINKS
+        for label, *_ in REVIEW_LINKS
     ]
-    return stacked([sizes, *links])
+    return stacked([sizes, as_rows(link_facts(raw, links), missing)])
 
 
 def line_checks(

@@ -11,6 +11,7 @@ from pricelens import policy as P
 from pricelens.functions import pricing as X
 from pricelens.functions.numeric import clip, count_if, ratio, sum_if, weighted_mean
 from pricelens.operators import checks, joins, ordered, shapes
+from pricelens.operators.links import Link
 from pricelens.plans import (
     contracts,
     customers,
@@ -190,15 +191,16 @@ def null_fill(w: Warehouse) -> DataFrame:
 
 
 def join_contract(w: Warehouse) -> DataFrame:
-    s = w.staged
-    return checks.stacked(
-        [
-            joins.link_violations(s["order_items"], s["orders"], "order_id", "orders"),
-            joins.link_violations(s["orders"], s["customers"], "customer_id", "customers"),
-            joins.link_violations(s["order_items"], s["products"], "product_id", "products"),
-            joins.link_violations(s["orders"], s["sales_reps"], "sales_rep_id", "sales_reps"),
-        ]
-    )
+    links = [
+        Link(parent, parent, (key,), child, key)
+        for child, key, parent in (
+            ("order_items", "order_id", "orders"),
+            ("orders", "customer_id", "customers"),
+            ("order_items", "product_id", "products"),
+            ("orders", "sales_rep_id", "sales_reps"),
+        )
+    ]
+    return joins.violations(w.staged, links)
 
 
 def profile_left_join(w: Warehouse) -> DataFrame:
