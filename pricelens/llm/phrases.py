@@ -7,17 +7,18 @@ cut vertically:
 1. Each task collapses the suffixes of a block of text into leaves (suffix, total) in tree order
    and writes them by prefix: one row holds all leaves of the block that begin with one word.
 2. The leaves of every prefix are counted over the corpus. A prefix with more than ``BUDGET`` of
-   them is extended by its next word, and those prefixes again, until each fits the budget of
-   a task's memory or is a whole suffix.
-3. Prefixes are grouped, so that a group holds about ``GROUP`` leaves. A task builds the subtrees
-   of its group, some prefixes at a time: leaves are merged in tree order, and the total of a node
-   is the sum of the leaf totals below it. Only nodes with ``least`` occurrences leave the task;
-   parts of a phrase are at least as frequent as the phrase, so none is missed.
+   them is extended by its next word, and the extended prefixes are dealt into as many parts as
+   budgets are needed; a part that is still too large, by one hot pair of words, is extended again.
+   The total of a prefix that was extended is summed apart.
+3. Parts are grouped, so that a group holds about ``GROUP`` leaves. A task builds the subtrees of
+   its group, some parts at a time: leaves are merged in tree order, and the total of a node is
+   the sum of the leaf totals below it. Only nodes with ``least`` occurrences leave the task; parts
+   of a phrase are at least as frequent as the phrase, so none is missed.
 
 Phrases are then scored by DataFrame operations on those nodes, in exact decimals.
 
 A word that fills a third of the corpus is a prefix that is extended, so no task and no group holds
-its subtree; counts of a language are sums. Step 1 cuts long texts at piece ends.
+its subtree, and its rows are only dealt anew, not multiplied; counts of a language are sums. Step 1 cuts long texts at piece ends.
 
 Defined cases: a NULL or empty text has no words; a NULL language is ``und``; equal rows count
 each; ties in score and frequency go to the phrase that sorts first by its UTF-8 bytes; an empty
@@ -26,6 +27,7 @@ table gives an empty result; other columns do not matter.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,6 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelens.llm.tables import area, column, table
+from pricelens.llm.words import mix
 from pricelens.sources.area import StagingArea
 
 #: Leaves of a prefix that may be in a task's memory at once, and of a group of prefixes.
@@ -50,7 +53,10 @@ _KIND[[0x20, 0x09]] = _BLANK
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = _BREAK
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LEAVES = "lang string, prefix string, depth int, rests string, totals array<int>, n long"
+# ``level`` words beyond the prefix are fixed in a part, which is one of the prefix's ``part``s.
+_LEAVES = "lang string, prefix string, level int, part long, rests string, totals array<int>, n long"
+_NODES = "lang string, phrase string, words int, n long"
+_KEY = ["lang", "prefix", "level", "part"]
 
 
 # ---------------------------------------------------------------- leaves
@@ -144,12 +150,13 @@ def _block_leaves(
         [
             names.take(pa.array(lang[new])),
             words.take(pa.array(first[new] - 1)),
-            pa.array(np.ones(len(new), dtype=np.int32)),
+            pa.array(np.zeros(len(new), dtype=np.int32)),
+            pa.array(np.zeros(len(new), dtype=np.int64)),
             pc.binary_join(_listed(rests, new), "\n"),
             _listed(pa.array(totals.astype(np.int32)), new),
             pa.array(np.add.reduceat(totals, new)),
         ],
-        names=["lang", "prefix", "depth", "rests", "totals", "n"],
+        names=[*_KEY, "rests", "totals", "n"],
     )
 
 
@@ -191,71 +198,101 @@ def _opened(rests: pa.Array) -> tuple[np.ndarray, pa.Array, list[np.ndarray]]:
     return row, coded.dictionary, steps
 
 
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by the next word of their leaves; leaves without one end at their prefix."""
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows dealt into ``parts`` by a hash of one more word; leaves without one end before it."""
     for batch in batches:
         if not batch.num_rows:
             continue
         row, words, steps = _opened(batch.column("rests"))
         totals = batch.column("totals").flatten().to_numpy().astype(np.int64)
-        if not steps:
+        level = batch.column("level").to_numpy()[row]
+        parts = batch.column("parts").to_numpy()[row]
+        salts = np.array([0, *(zlib.crc32(w.encode()) for w in words.to_pylist())], dtype=np.uint64)
+        name = np.zeros(len(row), dtype=np.uint64)
+        on = np.ones(len(row), dtype=bool)
+        for ahead, step in enumerate(steps):
+            fixed = ahead <= level
+            name = np.where(fixed, mix(name + salts[step] + np.uint64(1)), name)
+            on &= ~fixed | (step > 0)
+        on &= level < len(steps)
+        part = (name % parts.astype(np.uint64)).astype(np.int64)
+        chosen = np.flatnonzero(on)
+        if not len(chosen):
             continue
-        on = np.flatnonzero(steps[0])
-        if not len(on):
-            continue
-        row, totals, steps = row[on], totals[on], [step[on] for step in steps]
-        # Leaves are in tree order, so those of one next word are neighbours.
+        # By row and part; within both, leaves stay in tree order.
+        chosen = chosen[np.lexsort((part[chosen], row[chosen]))]
+        row, part, totals = row[chosen], part[chosen], totals[chosen]
+        rests = _joined(words, [step[chosen] for step in steps])
         new = np.flatnonzero(
-            np.concatenate([[True], (row[1:] != row[:-1]) | (steps[0][1:] != steps[0][:-1])])
-        )
-        rests = (
-            _joined(words, steps[1:]) if steps[1:] else pa.array([""] * len(row), pa.string())
+            np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])
         )
-        prefix = batch.column("prefix").take(pa.array(row[new]))
-        step = words.take(pa.array(steps[0][new] - 1))
+        at = pa.array(row[new])
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("lang").take(pa.array(row[new])),
-                pc.binary_join_element_wise(prefix, step, " "),
-                pa.array(batch.column("depth").to_numpy()[row[new]] + np.int32(1)),
+                batch.column("lang").take(at),
+                batch.column("prefix").take(at),
+                pa.array(level[chosen][new] + np.int32(1)),
+                # The old part goes into the new one, so that parts of two parts stay apart.
+                pa.array(batch.column("part").to_numpy()[row[new]] * (1 << 24) + part[new]),
                 pc.binary_join(_listed(rests, new), "\n"),
                 _listed(pa.array(totals.astype(np.int32)), new),
                 pa.array(np.add.reduceat(totals, new)),
             ],
-            names=["lang", "prefix", "depth", "rests", "totals", "n"],
+            names=[*_KEY, "rests", "totals", "n"],
         )
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the rows of extended parts add to the nodes at which their words are fixed."""
+    for batch in batches:
+        row, words, steps = _opened(batch.column("rests"))
+        totals = batch.column("totals").flatten().to_numpy().astype(np.int64)
+        level = batch.column("level").to_numpy()
+        for fixed in np.unique(level[row]).tolist():
+            on = np.flatnonzero(level[row] == fixed)
+            for step in steps[:fixed]:
+                on = on[step[on] > 0]
+            if not len(on) or fixed > len(steps):
+                continue
+            at, sums = collapsed(row[on], [step[on] for step in steps[:fixed]], totals[on])
+            at = on[at]
+            names = [batch.column("prefix").take(pa.array(row[at]))]
+            if fixed:
+                names.append(_joined(words, [step[at] for step in steps[:fixed]]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("lang").take(pa.array(row[at])),
+                    pc.binary_join_element_wise(*names, " ") if fixed else names[0],
+                    pa.array(np.full(len(at), fixed + 1, dtype=np.int32)),
+                    pa.array(sums),
+                ],
+                names=["lang", "phrase", "words", "n"],
+            )
+
+
 def _partitioned(
     place: StagingArea, leaves: DataFrame, depth: int, budget: int
-) -> tuple[DataFrame, DataFrame]:
-    """(rows whose prefix fits the budget, nodes that were extended)."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """(parts that fit the budget, nodes at which parts were extended)."""
     fitting: DataFrame | None = None
     nodes: DataFrame | None = None
     rows = leaves
     for _ in range(1, depth):
-        loads = rows.groupBy("lang", "prefix", "depth").agg(
-            F.sum(F.size("totals")).alias("load"), F.sum("n").alias("n")
-        )
+        loads = rows.groupBy(*_KEY).agg(F.sum(F.size("totals")).alias("load"))
+        parts = F.ceil(F.col("load") / budget).cast("long").alias("parts")
         # Each has more than a budget of leaves; written, so its size is known to the join.
-        large = place.put("large", loads.where(F.col("load") > budget).drop("load").coalesce(1))
+        large = place.put("large", loads.where(F.col("load") > budget).select(*_KEY, parts).coalesce(1))
         if large.isEmpty():
             break
-        names = large.select("lang", "prefix")
-        light = rows.join(names, ["lang", "prefix"], "left_anti").select(*rows.columns)
+        light = rows.join(large, _KEY, "left_anti").select(*leaves.columns)
         fitting = light if fitting is None else fitting.unionByName(light)
-        done = large.select("lang", F.col("prefix").alias("phrase"), F.col("depth").alias("words"), "n")
+        heavy = rows.join(large, _KEY)
+        ends = heavy.select(*leaves.columns).mapInArrow(_ends, _NODES)
+        done = ends.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
         nodes = done if nodes is None else nodes.unionByName(done)
-        heavy = rows.join(names, ["lang", "prefix"], "left_semi").select(*rows.columns)
-        rows = place.put("extended", heavy.mapInArrow(_extended, _LEAVES))
-    whole = rows.where(F.col("depth") == depth)
-    ended = whole.groupBy("lang", "prefix", "depth").agg(F.sum("n").alias("n"))
-    ended = ended.select("lang", F.col("prefix").alias("phrase"), F.col("depth").alias("words"), "n")
-    rest = rows.where(F.col("depth") < depth)
-    return (
-        rest if fitting is None else fitting.unionByName(rest),
-        ended if nodes is None else nodes.unionByName(ended),
-    )
+        split = heavy.select(*leaves.columns, "parts").mapInArrow(_split, _LEAVES)
+        rows = place.put("extended", split)
+    return rows if fitting is None else fitting.unionByName(rows), nodes
 
 
 # ---------------------------------------------------------------- subtrees
@@ -264,12 +301,13 @@ def _partitioned(
 def _subtrees(rows: pa.Table, least: int) -> pa.RecordBatch:
     """Nodes with at least ``least`` occurrences of the subtrees of some whole prefixes."""
     rows = rows.combine_chunks()
-    lang, prefix = (rows.column(c).combine_chunks() for c in ("lang", "prefix"))
+    lang, prefix, level_, part = (rows.column(c).combine_chunks() for c in _KEY)
+    fixed = level_.to_numpy()
     rests, totals = rows.column("rests").combine_chunks(), rows.column("totals").combine_chunks()
     row, words, steps = _opened(rests)
     weights = totals.flatten().to_numpy().astype(np.int64)
     differs = np.zeros(len(rows), dtype=bool)
-    for names in (lang, prefix):
+    for names in (lang, prefix, level_, part):
         codes = names.dictionary_encode().indices.to_numpy()
         differs[1:] |= codes[1:] != codes[:-1]
     tree = np.cumsum(differs)[row]
@@ -283,14 +321,15 @@ def _subtrees(rows: pa.Table, least: int) -> pa.RecordBatch:
             new = new | np.concatenate([[True], step[1:] != step[:-1]])
         begins = np.flatnonzero(new)
         n = np.add.reduceat(sums, begins)
-        kept = n >= least
+        # Shallower nodes than a part has fixed words are spread over parts.
+        kept = (n >= least) & (fixed[row[begins]] <= level)
         if level:
             kept &= steps[level - 1][begins] > 0
         begins, n = begins[kept], n[kept]
         parts = [prefix.take(pa.array(row[begins]))]
         if level:
             parts.append(_joined(words, [step[begins] for step in steps[:level]]))
-        depth = rows.column("depth").to_numpy()[row[begins]] + np.int32(level)
+        depth = np.full(len(begins), level + 1, dtype=np.int32)
         phrase = pc.binary_join_element_wise(*parts, " ") if level else parts[0]
         found.append((lang.take(pa.array(row[begins])), phrase, pa.array(depth), pa.array(n)))
     columns = [pa.concat_arrays(list(c)) for c in zip(*found, strict=True)]
@@ -298,7 +337,7 @@ def _subtrees(rows: pa.Table, least: int) -> pa.RecordBatch:
 
 
 def _nodes(least: int, budget: int):
-    """Rows come sorted by prefix; whole prefixes are taken together up to the budget."""
+    """Rows come sorted by part; whole parts are taken together up to the budget."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -308,7 +347,7 @@ def _nodes(least: int, budget: int):
             if not batch.num_rows:
                 continue
             loads = pc.list_value_length(batch.column("totals")).to_numpy()
-            names = list(zip(batch.column("lang").to_pylist(), batch.column("prefix").to_pylist(), strict=True))
+            names = list(zip(*(batch.column(c).to_pylist() for c in _KEY), strict=True))
             cut = 0
             for i, name in enumerate(names):
                 if leaves >= budget and name != last:
@@ -346,11 +385,10 @@ def phrase_counts(
     languages = place.put("languages", leaves.groupBy("lang").agg(F.sum("n").alias("n")))
     fitting, extended = _partitioned(place, leaves, max_words, budget)
     load = leaves.agg(F.sum(F.size("totals"))).first()[0] or 0
-    grouped = fitting.repartition(max(1, -(-load // group)), "lang", "prefix")
-    trees = grouped.sortWithinPartitions("lang", "prefix").mapInArrow(
-        _nodes(least, budget), "lang string, phrase string, words int, n long"
-    )
-    nodes = trees.unionByName(extended.where(F.col("n") >= least))
+    grouped = fitting.repartition(max(1, -(-load // group)), *_KEY)
+    nodes = grouped.sortWithinPartitions(*_KEY).mapInArrow(_nodes(least, budget), _NODES)
+    if extended is not None:
+        nodes = nodes.unionByName(extended.where(F.col("n") >= least))
     return place.put("nodes", nodes), languages
 
 
