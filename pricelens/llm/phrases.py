@@ -43,7 +43,7 @@ from pricelens.sources.area import StagingArea
 #: Leaves of a prefix that may be in a task's memory at once, and of a group of prefixes.
 BUDGET, GROUP = 1 << 18, 1 << 21
 #: Bytes of text that a task collapses at once.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 6 << 20
 #: Rows ranked apart before the last ranking of a language.
 _SALTS = 64
 
@@ -97,24 +97,31 @@ def _listed(values: pa.Array, begins: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(begins, len(values)).astype(np.int32)), values)
 
 
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes of a batch in lower case in blocks that end with a piece, and each byte's row.
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes of texts in lower case in blocks that end with a piece, and where each text ends.
 
-    A break follows every text.
+    A break follows every text. Only a block of the texts is copied at a time.
     """
-    texts = [text.encode() for text in batch.column("text").to_pylist()]
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    data = _LOWER[np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)]
-    start = 0
-    while start < len(data):
-        stop = min(start + BLOCK_BYTES, len(data))
-        breaks = np.flatnonzero(_KIND[data[start:stop]] == _BREAK)
-        while not len(breaks):  # a piece longer than a block
-            stop = min(stop + BLOCK_BYTES, len(data))
+    sizes = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+    first = 0
+    while first < len(texts):
+        last = int(np.searchsorted(sizes, sizes[first] + BLOCK_BYTES, side="right")) - 1
+        last = max(last, first + 1)
+        some = texts.slice(first, last - first).cast(pa.binary())
+        data = _LOWER[np.frombuffer(b"\n".join([*some.to_pylist(), b""]), dtype=np.uint8)]
+        # Texts before the block end before its first byte, later ones behind its last.
+        ends = sizes[1:] - sizes[first] + np.arange(1, len(sizes)) - first
+        start = 0
+        while start < len(data):
+            stop = min(start + 2 * BLOCK_BYTES, len(data))
             breaks = np.flatnonzero(_KIND[data[start:stop]] == _BREAK)
-        stop = start + int(breaks[-1]) + 1
-        yield data[start:stop], ends - start
-        start = stop
+            while not len(breaks):  # a piece longer than a block
+                stop = min(stop + BLOCK_BYTES, len(data))
+                breaks = np.flatnonzero(_KIND[data[start:stop]] == _BREAK)
+            stop = start + int(breaks[-1]) + 1
+            yield data[start:stop], ends - start
+            start = stop
+        first = last
 
 
 def _block_leaves(
@@ -165,7 +172,7 @@ def _leaves(depth: int):
         for batch in batches:
             lang = batch.column("lang").dictionary_encode()
             langs = lang.indices.to_numpy()
-            for data, ends in _pieces(batch):
+            for data, ends in _pieces(batch.column("text")):
                 found = _block_leaves(data, ends, langs, lang.dictionary, depth)
                 if found is not None:
                     yield found
