@@ -286,7 +286,8 @@ def _partitioned(
     rows = leaves
     for _ in range(1, depth):
         loads = rows.groupBy(*_KEY).agg(F.sum(F.size("totals")).alias("load"))
-        parts = F.ceil(F.col("load") / budget).cast("long").alias("parts")
+        # Parts of a quarter of the budget on average, so that only a hot pair of words exceeds it.
+        parts = F.ceil(F.col("load") * 4 / budget).cast("long").alias("parts")
         # Each has more than a budget of leaves; written, so its size is known to the join.
         large = place.put("large", loads.where(F.col("load") > budget).select(*_KEY, parts).coalesce(1))
         if large.isEmpty():
