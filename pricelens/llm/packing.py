@@ -6,8 +6,7 @@ Only lengths matter to the packing, and there are at most ``size`` of them, so t
 on the *histogram* of lengths: a bin is a pattern of lengths with a multiplicity. Best-fit
 decreasing places all pieces of one length at a time; the local search then takes underfull
 patterns and exchanges one piece for one, two for one, or moves a piece, whenever that raises
-the sum of squared fills, for a bounded number of exchanges; bins that run empty are gone. The plan's
-size is bounded by the number of lengths, not of documents: the histogram is all that reaches
+the sum of squared fills, until nothing does; bins that run empty are gone. The plan's size is bounded by the number of lengths, not of documents: the histogram is all that reaches
 the driver, and the plan all that tasks are sent.
 
 Pieces find their place by rank: the n-th piece of a length takes the n-th slot of that length.
@@ -26,6 +25,9 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -37,9 +39,11 @@ from pricelens.llm.tables import area, column, table
 
 SEQUENCE = 2048
 END = 0
+#: The local search begins with groups of equal bins of which there are at most this many in
+#: all, and goes on with groups smaller by a factor; its result is final at groups of one.
+FEW_BINS = 2048
+FINER = 4
 TOKENIZER = "byte_bpe_50k"
-#: Exchanges of the local search, at most, each between two groups of equal bins.
-MOST_EXCHANGES = 500
 
 _encoders: dict[tuple[str, str, bool], Callable[[str], list[int]]] = {}
 
@@ -219,48 +223,149 @@ def _exchange(low: Pattern, high: Pattern, size: int) -> tuple[Pattern, Pattern]
     return swapped(low, out, back), swapped(high, back, out)
 
 
-def local_search(bins: Counter[Pattern], size: int, most: int = MOST_EXCHANGES) -> Counter[Pattern]:
+class _Underfull:
+    """The underfull patterns, and for each the largest piece and pair of pieces below any length.
+
+    ``ones[x, i]`` is the largest piece of pattern ``i`` that is shorter than ``x``, ``twos`` the
+    same for two of its pieces together; by these all partners of a pattern are found at once.
+    """
+
+    _NONE = -(1 << 14)
+
+    def __init__(self, size: int) -> None:
+        self.size = size
+        self.times: Counter[Pattern] = Counter()
+        self.at: dict[Pattern, int] = {}
+        self.patterns: list[Pattern | None] = []
+        self.free: list[int] = []
+        self.fill = np.full(64, -1, np.int32)
+        self.ones, self.twos = (np.full((size + 2, 64), self._NONE, np.int16) for _ in range(2))
+
+    def add(self, pattern: Pattern, times: int) -> None:
+        self.times[pattern] += times
+        if pattern in self.at:
+            return
+        if not self.free:
+            n = len(self.patterns)
+            if n == len(self.fill):
+                self.fill = np.concatenate([self.fill, np.full(n, -1, np.int32)])
+                blank = np.full((self.size + 2, n), self._NONE, np.int16)
+                self.ones = np.concatenate([self.ones, blank], axis=1)
+                self.twos = np.concatenate([self.twos, blank], axis=1)
+            self.patterns.append(None)
+            self.free.append(n)
+        i = self.free.pop()
+        self.at[pattern], self.patterns[i], self.fill[i] = i, pattern, sum(pattern)
+        for table, lengths in zip((self.ones, self.twos), _gives(pattern), strict=True):
+            below = np.full(self.size + 2, self._NONE, np.int16)
+            below[lengths + 1] = lengths
+            table[:, i] = np.maximum.accumulate(below)
+
+    def drop(self, pattern: Pattern, times: int) -> None:
+        self.times[pattern] -= times
+        if not self.times[pattern]:
+            del self.times[pattern]
+            i = self.at.pop(pattern)
+            self.patterns[i] = None
+            self.fill[i] = -1
+            self.free.append(i)
+
+    def partner(self, pattern: Pattern) -> Pattern | None:
+        """The fullest pattern with which ``pattern`` has something to exchange."""
+        n = len(self.patterns)
+        fill = self.fill[:n]
+        own, (one, two) = sum(pattern), _gives(pattern)
+        room = self.size - fill
+        # Pieces out of ``pattern`` into a fuller bin, for less that comes back.
+        ones, twos = self.ones[:, :n], self.twos[:, :n]
+        least = np.minimum(one[:, None] - ones[one], one[:, None] - twos[one]).min(axis=0)
+        if len(two):
+            least = np.minimum(least, (two[:, None] - ones[two]).min(axis=0))
+        gives = (fill >= own) & ((least <= room) | (one[0] <= room))
+        # Pieces out of an emptier bin into ``pattern``.
+        left = self.size - own
+        one, two = np.append(one, 0), two
+        to = one + left + 1
+        takes = ((ones[to] > one[:, None]) | (twos[to] > one[:, None])).any(axis=0)
+        if len(two):
+            takes |= (ones[two + left + 1] > two[:, None]).any(axis=0)
+        found = gives | ((fill >= 0) & (fill < own) & takes)
+        if self.times[pattern] < 2:
+            found[self.at[pattern]] = False
+        best = int(np.argmax(np.where(found, fill, -1)))
+        return self.patterns[best] if found[best] else None
+
+
+@lru_cache(1 << 14)
+def _gives(pattern: Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of single pieces and of two pieces together, ascending."""
+    found = Counter(pattern)
+    twos = {a + b for a, b in combinations(found, 2)} | {2 * a for a, n in found.items() if n > 1}
+    return tuple(np.array(sorted(lengths), dtype=np.int64) for lengths in (found, twos))
+
+
+def local_search(bins: Counter[Pattern], size: int) -> Counter[Pattern]:
     """Exchanges pieces between underfull bins until none raises the squared fill.
 
-    The emptiest bin is the giver: it is tried against all others, the fullest first, then the
-    next emptiest. Pairs that have nothing to exchange are remembered. The search ends when no
-    pair has, or when the bins are as few as their tokens allow.
+    Equal bins are exchanged in large groups first and in ever smaller ones after, at last one by
+    one, so that the number of exchanges grows with the logarithm of the number of bins.
+    """
+    group = 1
+    while bins.total() > FEW_BINS * group:
+        group *= FINER
+    while True:
+        groups = Counter({p: times // group for p, times in bins.items() if times >= group})
+        rest = Counter({p: times % group for p, times in bins.items()})
+        bins = +rest
+        for pattern, times in _searched(groups, size).items():
+            bins[pattern] += times * group
+        if group == 1:
+            return bins
+        group //= FINER
+
+
+def _searched(bins: Counter[Pattern], size: int) -> Counter[Pattern]:
+    """The bins after all exchanges that raise the squared fill.
+
+    The emptiest bin goes first and meets the fullest with which it has something to exchange. A
+    bin that has none is settled: it meets only bins that arise later, when these are tried.
+    Every exchange raises the squared fill, so the search ends: when all bins are settled, or
+    when they are as few as their tokens allow.
     """
+    n_bins = bins.total()
     fewest = -(-sum(sum(p) * times for p, times in bins.items()) // size)
     full: Counter[Pattern] = Counter()
-    under: Counter[Pattern] = Counter()
-    for pattern, times in bins.items():
-        (full if sum(pattern) == size else under)[pattern] += times
-    useless: set[tuple[Pattern, Pattern]] = set()
-
-    def next_exchange() -> tuple[Pattern, Pattern, tuple[Pattern, Pattern]] | None:
-        by_fill = sorted(under, key=lambda p: (sum(p), p))
-        for i, low in enumerate(by_fill):
-            for high in reversed(by_fill[i:]):
-                if (low, high) in useless or (high == low and under[low] < 2):
-                    continue
-                found = _exchange(low, high, size)
-                if found:
-                    return low, high, found
-                useless.add((low, high))
-        return None
+    under = _Underfull(size)
+    unsettled: list[tuple[int, Pattern]] = []
 
-    for _ in range(most):
-        if full.total() + under.total() == fewest:
-            break
-        step = next_exchange()
-        if not step:
-            break
-        low, high, best = step
-        times = under[low] // 2 if high == low else min(under[low], under[high])
-        for pattern in (low, high):
-            under[pattern] -= times
-            if not under[pattern]:
-                del under[pattern]
-        for pattern in best:
-            if pattern:
-                (full if sum(pattern) == size else under)[pattern] += times
-    return full + under
+    def put(pattern: Pattern, times: int) -> None:
+        if sum(pattern) == size:
+            full[pattern] += times
+            return
+        if under.times[pattern] < 2:  # new, or now able to exchange with its like
+            heappush(unsettled, (sum(pattern), pattern))
+        under.add(pattern, times)
+
+    for pattern in sorted(bins):
+        put(pattern, bins[pattern])
+    while unsettled and n_bins > fewest:
+        fill, pattern = heappop(unsettled)
+        other = under.partner(pattern) if under.times[pattern] else None
+        if not other:
+            continue
+        low, high = (other, pattern) if sum(other) < fill else (pattern, other)
+        made = _exchange(low, high, size)
+        times = under.times[low] // 2 if high == low else min(under.times[low], under.times[high])
+        for old in (low, high):
+            under.drop(old, times)
+        if under.times[pattern]:
+            heappush(unsettled, (fill, pattern))
+        for new in made:
+            if new:
+                put(new, times)
+            else:
+                n_bins -= times
+    return full + under.times
 
 
 def plan_slots(bins: Counter[Pattern]) -> np.ndarray:

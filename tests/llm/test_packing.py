@@ -39,6 +39,57 @@ def test_search_empties_a_bin():
     assert packing.local_search(bins, 10).total() == 2
 
 
+def test_search_runs_to_its_end():
+    rng = random.Random(0)  # lengths of which best fit leaves one sequence in sixteen too many
+    histogram = Counter(rng.randint(450, 1100) for _ in range(4000))
+    bins = packing.best_fit_decreasing(histogram, 2048)
+    searched = packing.local_search(bins, 2048)
+    assert pieces_in(searched) == histogram
+    assert bins.total() >= 1600 and searched.total() <= 1575
+    under = [p for p in searched if sum(p) < 2048]
+    for i, low in enumerate(under):
+        for high in under[i + (searched[low] < 2) :]:
+            assert not packing._exchange(*sorted((low, high), key=sum), 2048)
+
+
+@pytest.mark.parametrize("times", [10**3, 10**9])
+def test_search_ends_on_many_equal_bins(times):
+    rng = random.Random(1)
+    histogram = {length: rng.randint(1, times) for length in range(20, 110, 3)}
+    bins = packing.best_fit_decreasing(histogram, 200)
+    searched = packing.local_search(bins, 200)
+    held = Counter()
+    for pattern, n in searched.items():
+        assert sum(pattern) <= 200
+        for length in pattern:
+            held[length] += n
+    assert held == histogram
+    assert -(-sum(k * v for k, v in histogram.items()) // 200) <= searched.total() <= bins.total()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_partners_by_table_are_those_of_single_tests(seed):
+    rng = random.Random(seed)
+    under, all_ = packing._Underfull(40), set()
+    while len(all_) < 70:
+        pattern = tuple(sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 5))), reverse=True))
+        if sum(pattern) < 40:
+            all_.add(pattern)
+            under.add(pattern, rng.randint(1, 2))
+    for gone in rng.sample(sorted(all_), 20):
+        under.drop(gone, under.times[gone])
+        all_.remove(gone)
+    for pattern in all_:
+        can = [
+            sum(other)
+            for other in all_
+            if (other != pattern or under.times[pattern] > 1)
+            and packing._exchange(*sorted((pattern, other), key=lambda p: (sum(p), p != pattern)), 40)
+        ]
+        found = under.partner(pattern)
+        assert (sum(found) if found else None) == (max(can) if can else None)
+
+
 def test_every_exchange_raises_the_squared_fill():
     rng = random.Random(1)
     for _ in range(300):
@@ -76,12 +127,11 @@ def test_documents_are_packed_whole(spark, documents):
     texts = ["word " * rng.randint(0, 60) + chr(200 + i % 40) for i in range(400)]
     rows = [*enumerate(texts), (None, None), (7, ""), (7, texts[7]), (900, "<|endoftext|> long " * 300)]
     docs = documents(rows)
-    got = packing.pack(spark, docs, size=32, with_ids=True).collect()
+    got = packing.pack(spark, docs, size=32, with_ids=True, added=True).collect()
     n = check_places(got, 32)
     total = sum(r["length"] for r in got)
     assert -(-total // 32) <= n <= 1.01 * total / 32 + 1
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     want = Counter()
     for doc_id, text in rows:
         ids = plain.encode(text or "", add_special_tokens=False).ids + [0]

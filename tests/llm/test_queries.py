@@ -59,7 +59,6 @@ def test_repeated_spans_by_brute_force(spark, texts):
 
 def test_packing_by_the_other_tokenizer(spark, texts):
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     pieces = defaultdict(list)
     for r in QUERIES["op9_packing"](spark, FOLDER).collect():
         pieces[r["doc_id"]].append(r)
