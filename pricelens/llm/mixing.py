@@ -10,12 +10,8 @@ shares, and the largest budget at which each value can have its share. The proba
 cell is its share of tokens given. A document is in the sample when a hash of it, spread over
 0 to 1, is below the probability of its cell.
 
-The query ``op6_mixture`` is defined by its SQL: raking without the bound for ``sweeps`` rounds,
-then ``min(1, s * w / t)`` with the one scale ``s`` at which the expected tokens meet the budget.
-It asks for that with ``bounded=False``; there, cells of probability 1 shift the shares reached.
-
 Only cells and factors move between tasks, both added up per task before. Cells are staged
-after each dimension, so plans stay small and lost executors cost one step at most.
+after each round, so plans stay small and lost executors cost one round at most.
 
 Defined cases: a NULL source or language is a value of its own (``(none)``); a NULL or empty
 text has no tokens and no topic word, so topic 0, and probability 1 if its cell has no token;
@@ -26,6 +22,7 @@ rows share their decision; an empty table gives an empty result; further columns
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,7 +30,6 @@ from pyspark.sql import functions as F
 from pricelens.llm.tables import area, column, compact, is_row_count_at_most, table, whole_rows
 
 DIMENSIONS = ("source", "lang", "topic")
-SWEEPS = 8
 TOPICS = 8
 #: Observed shares to this power are the default targets: large groups are thinned.
 SMOOTHING = 0.5
@@ -41,10 +37,10 @@ SMOOTHING = 0.5
 KEEP = 0.8
 #: Cells are broadcast up to this many rows (about 100 bytes each), else joined by shuffle.
 BROADCAST_CELLS = 100_000
-_SCALE_STEPS = 100
-#: Bounded raking has settled when a round moves at most this share of the budget between cells.
+#: Raking has settled when a round moves at most this share of the budget between cells.
 SETTLED = 1e-4
-MOST_ROUNDS = 100
+#: Raking that has not settled after so many rounds is an error.
+MOST_ROUNDS = 1000
 #: Least and largest weight a token in bounded raking, so that no factor runs out of range.
 _LEAST, _LARGEST = 1e-30, 1e12
 
@@ -86,58 +82,18 @@ def default_targets(cells: DataFrame, dimension: str, smoothing: float = SMOOTHI
     return sums.where("t > 0").select(dimension, F.pow("t", F.lit(smoothing)).alias("share"))
 
 
-def raked_cells(
-    spark: SparkSession,
-    counted: DataFrame,
-    targets: dict[str, DataFrame] | None = None,
-    sweeps: int = SWEEPS,
-) -> DataFrame:
-    """Cells with ``weight``, the raked token weights; they sum to the tokens of all cells.
-
-    ``targets`` maps a dimension to a frame of its values and their ``share``.
-    """
-    place = area(spark)
-    cells = place.put("cells", counted)
-    n_cells = cells.count()
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    wanted = {}
-    for name in DIMENSIONS:
-        shares = (targets or {}).get(name)
-        shares = default_targets(cells, name) if shares is None else shares
-        shares = shares.select(name, F.col("share").cast("double"))
-        whole = place.put(f"target_{name}", compact(shares, n_cells))
-        all_ = whole.agg(F.sum("share")).first()[0] or 1.0
-        wanted[name] = whole.select(name, (F.col("share") / all_ * total).alias("want"))
-    weighted = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for sweep in range(sweeps):
-        for name in DIMENSIONS:
-            sums = weighted.groupBy(name).agg(F.sum("weight").alias("have"))
-            factor = sums.join(wanted[name], name, "left").select(
-                name,
-                F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have"))
-                .otherwise(0.0)
-                .alias("factor"),
-            )
-            weighted = weighted.join(factor, name).withColumn(
-                "weight", F.col("weight") * F.col("factor")
-            )
-            weighted = place.put(
-                f"sweep_{sweep}_{name}", compact(weighted.drop("factor"), n_cells)
-            )
-    return weighted
-
-
 def calibrated_cells(
     spark: SparkSession, weighted: DataFrame, keep: float = KEEP
 ) -> DataFrame:
     """Cells with ``probability``; the expected tokens of the sample are ``keep`` of all.
 
     The scale is a fixed point: cells that reach probability 1 leave, the rest share what is
-    left of the budget. Each step moves one row of sums, and the set of full cells only grows.
+    left of the budget. Each step moves one row of sums, and the set of full cells only grows,
+    so the steps end; a cell on the border, full or not by rounding alone, ends them too.
     """
     tokens, weight = F.col("tokens"), F.col("weight")
-    scale, before = 0.0, None
-    for _ in range(_SCALE_STEPS):
+    scale, before = 0.0, -1
+    while True:
         full = weight * F.lit(scale) >= tokens
         row = weighted.where("tokens > 0").agg(
             F.sum("tokens").alias("all"),
@@ -145,7 +101,7 @@ def calibrated_cells(
             F.count(F.when(full, 1)).alias("n_full"),
             F.sum(F.when(~full, weight)).alias("open"),
         ).first()
-        if not row["open"] or row["n_full"] == before:
+        if not row["open"] or row["n_full"] <= before:
             break
         before = row["n_full"]
         scale = (keep * row["all"] - (row["full"] or 0)) / row["open"]
@@ -207,10 +163,11 @@ def bounded_cells(
         bounded = bounded.join(wanted, name)
     bounded = place.put("wanted", compact(bounded, n_cells))
     given = F.least("weight", "tokens")
-    for turn in range(MOST_ROUNDS if part else 0):
-        bounded = bounded.withColumn("last", given)
-        for name in DIMENSIONS:
-            bounded = place.put(f"round_{turn}_{name}", compact(_raked_within(bounded, name), n_cells))
+    for turn in count() if part else ():
+        if turn == MOST_ROUNDS:
+            raise RuntimeError(f"raking has not settled after {MOST_ROUNDS} rounds")
+        raked_once = reduce(_raked_within, DIMENSIONS, bounded.withColumn("last", given))
+        bounded = place.put(f"round_{turn}", compact(raked_once, n_cells))
         moved = bounded.agg(F.sum(F.abs(given - F.col("last")))).first()[0] or 0.0
         if moved <= SETTLED * part * most:
             break
@@ -250,19 +207,6 @@ def reached_shares(cells: DataFrame) -> DataFrame:
     )
 
 
-def _cells(
-    spark: SparkSession,
-    counted: DataFrame,
-    targets: dict[str, DataFrame] | None,
-    sweeps: int,
-    keep: float,
-    bounded: bool,
-) -> DataFrame:
-    if bounded:
-        return bounded_cells(spark, counted, targets, keep)
-    return calibrated_cells(spark, raked_cells(spark, counted, targets, sweeps), keep)
-
-
 def _with_probability(docs: DataFrame, cells: DataFrame) -> DataFrame:
     looked_up = cells.select(*DIMENSIONS, "probability")
     if is_row_count_at_most(looked_up, BROADCAST_CELLS):
@@ -274,14 +218,12 @@ def mixture(
     spark: SparkSession,
     docs: DataFrame,
     targets: dict[str, DataFrame] | None = None,
-    sweeps: int = SWEEPS,
     keep: float = KEEP,
-    bounded: bool = True,
 ) -> DataFrame:
     """Every document with its cell, tokens, probability and whether the sample has it."""
     told = area(spark).put("features", docs.select(column("doc_id"), *features(docs)))
     counted = told.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    cells = _cells(spark, counted, targets, sweeps, keep, bounded)
+    cells = bounded_cells(spark, counted, targets, keep)
     return _with_probability(told, cells).select(
         "doc_id",
         *DIMENSIONS,
@@ -295,51 +237,54 @@ def sample_mixture(
     spark: SparkSession,
     docs: DataFrame,
     targets: dict[str, DataFrame] | None = None,
-    sweeps: int = SWEEPS,
     keep: float = KEEP,
-    bounded: bool = True,
 ) -> DataFrame:
     """The rows of ``docs`` in the sample, with their columns unchanged."""
     rows = docs.select(whole_rows(docs).alias("whole"), *features(docs))
     counted = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    cells = _cells(spark, counted, targets, sweeps, keep, bounded)
+    cells = bounded_cells(spark, counted, targets, keep)
     return (
         _with_probability(rows, cells).where("draw < probability").select("whole.*")
     )
 
 
 def op6_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    return mixture(spark, table(spark, folder, "documents"), bounded=False)
-
-
-def _sweeps_sql() -> str:
-    """The raking of the oracle, one common table expression per dimension and sweep."""
-    steps, last = [], "cells"
-    for sweep in range(SWEEPS):
-        for name in DIMENSIONS:
-            step = f"w{sweep}_{name}"
-            steps.append(f"""{step} AS MATERIALIZED (
-  SELECT c.source, c.lang, c.topic, c.tokens,
-         CASE WHEN sum(c.weight) OVER (PARTITION BY c.{name}) > 0
-              THEN c.weight * coalesce(t.want, 0) / sum(c.weight) OVER (PARTITION BY c.{name})
-              ELSE 0 END AS weight
-  FROM {last} c LEFT JOIN target_{name} t ON c.{name} = t.{name})""")
-            last = step
-    return ",\n".join(steps) + f",\nraked AS (SELECT * FROM {last})"
-
-
-def _targets_sql() -> str:
-    return ",\n".join(
-        f"""target_{name} AS (
-  SELECT {name}, sqrt(t) / sum(sqrt(t)) OVER () * sum(t) OVER () AS want
-  FROM (SELECT {name}, sum(tokens)::DOUBLE AS t FROM cells GROUP BY {name} HAVING sum(tokens) > 0))"""
-        for name in DIMENSIONS
-    )
+    return mixture(spark, table(spark, folder, "documents"))
+
+
+def _wanted_sql(name: str) -> str:
+    """Tokens that each value is to give: the scale comes from a running sum in filling order."""
+    return f"""values_{name} AS (
+  SELECT {name}, sum(tokens) AS t, sqrt(sum(tokens)) AS w FROM cells WHERE tokens > 0 GROUP BY {name}),
+filling_{name} AS (
+  SELECT w / t AS rate, coalesce(sum(t) OVER before, 0) AS full_tokens,
+         sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS open_weight, sum(t) OVER () AS all_tokens
+  FROM values_{name}
+  WINDOW before AS (ORDER BY w / t DESC, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+scale_{name} AS (
+  SELECT max(({KEEP} * all_tokens - full_tokens) / open_weight) FILTER (
+           WHERE ({KEEP} * all_tokens - full_tokens) / open_weight * rate < 1) AS s
+  FROM filling_{name}),
+wanted_{name} AS (
+  SELECT {name}, least(1.0, (SELECT s FROM scale_{name}) * w / t) * t AS want_{name} FROM values_{name})"""
+
+
+def _raked_sql(inner: str, name: str) -> str:
+    others = ", ".join(d for d in DIMENSIONS if d != name)
+    return f"""SELECT * EXCLUDE (weight, try, most),
+         greatest(tokens * {_LEAST}, least(tokens * {_LARGEST}, weight * coalesce(
+           max(try) FILTER (WHERE try * weight < tokens) OVER (PARTITION BY {name}), most))) AS weight
+  FROM (
+    SELECT *, max(tokens / weight) OVER (PARTITION BY {name}) AS most,
+           (want_{name} - sum(tokens) OVER (PARTITION BY {name}) + sum(tokens) OVER until)
+             / sum(weight) OVER until AS try
+    FROM ({inner})
+    WINDOW until AS (PARTITION BY {name} ORDER BY weight / tokens, {others}
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
-# The scale of the oracle comes from a running sum over cells in the order in which they fill.
 OP6_SQL = f"""
-WITH words AS (
+WITH RECURSIVE words AS (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
          len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens,
          list_max([lpad(length(w)::VARCHAR, 7, '0') || w
@@ -347,34 +292,31 @@ WITH words AS (
          ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 12))::BIGINT
            / 281474976710656.0::DOUBLE AS draw
   FROM documents),
-told AS (
+told AS MATERIALIZED (
   SELECT doc_id, source, lang, tokens, draw,
          CASE WHEN longest > '0000001'
               THEN ('0x' || substr(md5(substr(longest, 8)), 1, 4))::INTEGER % {TOPICS}
               ELSE 0 END AS topic
   FROM words),
 cells AS MATERIALIZED (
-  SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE AS weight
-  FROM told GROUP BY ALL),
-{_targets_sql()},
-{_sweeps_sql()},
-filling AS (
-  SELECT *, weight / tokens AS rate,
-         coalesce(sum(tokens) OVER before, 0) AS full_tokens,
-         sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open_weight,
-         sum(tokens) OVER () AS all_tokens
-  FROM raked WHERE tokens > 0
-  WINDOW before AS (ORDER BY weight / tokens DESC, source, lang, topic
-                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-scale AS (
-  SELECT max(({KEEP} * all_tokens - full_tokens) / open_weight) FILTER (
-           WHERE ({KEEP} * all_tokens - full_tokens) / open_weight * rate < 1) AS s
-  FROM filling WHERE open_weight > 0),
+  SELECT source, lang, topic, sum(tokens)::DOUBLE AS tokens FROM told GROUP BY ALL),
+{", ".join(_wanted_sql(name) for name in DIMENSIONS)},
+rounds AS (
+  SELECT 0 AS turn, source, lang, topic, tokens, want_source, want_lang, want_topic,
+         tokens AS weight, 1e300::DOUBLE AS moved
+  FROM cells JOIN wanted_source USING (source) JOIN wanted_lang USING (lang)
+       JOIN wanted_topic USING (topic)
+  WHERE tokens > 0
+  UNION ALL
+  SELECT turn + 1, source, lang, topic, tokens, want_source, want_lang, want_topic, weight,
+         sum(abs(least(weight, tokens) - last)) OVER ()
+  FROM ({reduce(_raked_sql, DIMENSIONS, f"""SELECT *, least(weight, tokens) AS last FROM rounds
+    WHERE moved > {SETTLED * KEEP} * (SELECT sum(tokens) FROM cells)""")})),
+settled AS (SELECT * FROM rounds WHERE turn = (SELECT max(turn) FROM rounds)),
 chances AS (
-  SELECT source, lang, topic,
-         CASE WHEN tokens > 0 THEN least(1.0, (SELECT s FROM scale) * weight / tokens)
-              ELSE 1.0 END AS probability
-  FROM raked)
+  SELECT source, lang, topic, CASE WHEN c.tokens > 0 THEN least(1.0, r.weight / c.tokens)
+                                   ELSE 1.0 END AS probability
+  FROM cells c LEFT JOIN settled r USING (source, lang, topic))
 SELECT doc_id, source, lang, topic::INTEGER AS topic, tokens, round(probability, 6) AS probability,
        draw < probability AS sampled
 FROM told JOIN chances USING (source, lang, topic)

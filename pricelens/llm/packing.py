@@ -6,8 +6,9 @@ Only lengths matter to the packing, and there are at most ``size`` of them, so t
 on the *histogram* of lengths: a bin is a pattern of lengths with a multiplicity. Best-fit
 decreasing places all pieces of one length at a time; the local search then takes underfull
 patterns and exchanges one piece for one, two for one, or moves a piece, whenever that raises
-the sum of squared fills, until nothing does; bins that run empty are gone. The plan's size is bounded by the number of lengths, not of documents: the histogram is all that reaches
-the driver, and the plan all that tasks are sent.
+the sum of squared fills, until nothing does; bins that run empty are gone. The plan's size is
+bounded by the number of lengths, not of documents: the histogram is all that reaches the
+driver, and the plan all that tasks are sent.
 
 Pieces find their place by rank: the n-th piece of a length takes the n-th slot of that length.
 Ranks are counted in the chunks in which the pieces were written and shifted by the counts of

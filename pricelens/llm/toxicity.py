@@ -100,8 +100,9 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(coordinates, weights, bias) learnt from the sample; at most ``2 ** BITS`` weights."""
     sample = training_texts(docs, labels, "toxic", PARTS, PART)
+    id_type = sample.schema["doc_id"].dataType.simpleString()
     sets = sample.select("doc_id", "label", F.lower("text").alias("text")).mapInArrow(
-        _feature_sets, "doc_id long, label int, features array<int>"
+        _feature_sets, f"doc_id {id_type}, label int, features array<int>"
     )
     order = sets.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(7), "doc_id"), "doc_id")
     rows = order.select("label", "features").mapInArrow(_fit, "at int, weight double").toArrow()

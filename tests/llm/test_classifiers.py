@@ -133,3 +133,20 @@ def test_features_of_empty_text_are_zero():
     found = quality.block_features(data, offsets)
     assert (found[[0, 2]] == 0).all() and found[1].any()
     assert np.isfinite(found).all()
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_text_ids(spark, module):
+    rows = [(f"id-{i}", i % 2, "bad awful stupid words" if i % 2 else "a calm and kind sentence.") for i in range(80)]
+    labelled = local_frame(spark, rows, "doc_id string, label int, text string")
+    docs = labelled.select("doc_id", "text")
+    labels = labelled.selectExpr("doc_id", "label AS toxic", "1 - label AS quality")
+    fit, score = (
+        (toxicity.fit_toxicity, toxicity.score_toxicity)
+        if module is toxicity
+        else (quality.fit_quality, quality.score_quality)
+    )
+    got = score(docs, fit(docs, labels)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
+    scores = {r["doc_id"]: r["score"] for r in got}
+    assert len({round(v, 9) for v in scores.values()}) == 2

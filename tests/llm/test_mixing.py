@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from pricelens.llm.mixing import bounded_cells, calibrated_cells, mixture, raked_cells, reached_shares, sample_mixture
+from pricelens.llm.mixing import bounded_cells, calibrated_cells, mixture, reached_shares, sample_mixture
 from tests.conftest import local_frame
 
 CELLS = [("a", "en", 0, 800), ("a", "de", 0, 100), ("b", "en", 1, 50), ("b", "de", 1, 50), ("b", "en", 0, 40)]
@@ -17,11 +17,13 @@ def test_raking_meets_the_targets(spark):
         "lang": local_frame(spark, [("en", 0.6), ("de", 0.4)], "lang string, share double"),
         "topic": local_frame(spark, [(0, 0.8), (1, 0.2)], "topic int, share double"),
     }
-    got = raked_cells(spark, cells, targets, sweeps=40).toPandas()
-    total = sum(c[3] for c in CELLS)
-    assert got.groupby("source").weight.sum()["a"] == pytest.approx(0.75 * total, rel=1e-4)
-    assert got.groupby("lang").weight.sum()["de"] == pytest.approx(0.4 * total, rel=1e-4)
-    assert got.groupby("topic").weight.sum()[1] == pytest.approx(0.2 * total, rel=1e-4)
+    keep = 0.2
+    got = bounded_cells(spark, cells, targets, keep).toPandas()
+    got["weight"] = got.tokens * got.probability
+    total = keep * sum(c[3] for c in CELLS)
+    assert got.groupby("source").weight.sum()["a"] == pytest.approx(0.75 * total, rel=1e-3)
+    assert got.groupby("lang").weight.sum()["de"] == pytest.approx(0.4 * total, rel=1e-3)
+    assert got.groupby("topic").weight.sum()[1] == pytest.approx(0.2 * total, rel=1e-3)
 
 
 @pytest.mark.parametrize("keep", [0.1, 0.5, 0.9, 1.0])
@@ -78,8 +80,6 @@ def test_bounded_raking_meets_targets_that_fill_cells(spark):
         "lang": local_frame(spark, [("en", 0.78), ("de", 0.22)], "lang string, share double"),
     }
     keep = 500 / 1050
-    plain = calibrated_cells(spark, raked_cells(spark, cells, targets, sweeps=40), keep)
-    assert shares_of(plain, "source")["b"] < 0.17  # the cell b, de is full before b has its share
     got = bounded_cells(spark, cells, targets, keep)
     for name, value, share in [("source", "b", 0.18), ("source", "c", 0), ("lang", "de", 0.22)]:
         assert shares_of(got, name)[value] == pytest.approx(share, abs=1e-3)
@@ -101,3 +101,10 @@ def test_targets_beyond_the_tokens_are_told(spark):
     assert told["s1"]["largest_keep"] == pytest.approx(0.482, abs=1e-3)
     at_most = bounded_cells(spark, local_frame(spark, rows, DDL), keep=told["s1"]["largest_keep"])
     assert shares_of(at_most, "source")["hot"] == pytest.approx(told["hot"]["target"])
+
+
+def test_raking_that_does_not_settle_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr("pricelens.llm.mixing.MOST_ROUNDS", 1)
+    monkeypatch.setattr("pricelens.llm.mixing.SETTLED", 0.0)
+    with pytest.raises(RuntimeError, match="not settled"):
+        bounded_cells(spark, local_frame(spark, CELLS, DDL))
