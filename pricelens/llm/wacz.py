@@ -393,12 +393,14 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Every record of the archives (column ``archive``): its fields and its payload."""
+    """Every record of the archives (a manifest: archive, bytes): its fields and its payload."""
     # One archive per task at most; the number of tasks follows the number of archives.
     listed = archives.select("archive").hint("rebalance", "archive")
     places = listed.mapInArrow(_record_places, "archive string, offset long, length long")
+    # As many tasks as ranges: places are small rows, whose size tells nothing of the records.
+    n_ranges = archives.agg(F.sum(F.floor(F.col("bytes") / F.lit(RANGE_BYTES)) + 1)).first()[0]
     ranges = places.repartition(
-        F.col("archive"), F.floor(F.col("offset") / F.lit(RANGE_BYTES))
+        n_ranges or 1, F.col("archive"), F.floor(F.col("offset") / F.lit(RANGE_BYTES))
     ).sortWithinPartitions("archive", "offset")
     return ranges.mapInArrow(
         _records,
