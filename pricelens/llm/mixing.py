@@ -53,10 +53,10 @@ def topic(text: Column, topics: int = TOPICS) -> Column:
     """A lexical topic: the hash bin of the longest word, the last in order among equals."""
     words = F.split(F.coalesce(text, F.lit("")), r"[^\p{L}]+")
     longest = F.array_max(
-        F.transform(words, lambda w: F.concat(F.lpad(F.length(w), 7, "0"), w))
-    )
-    bin_ = F.conv(F.substring(F.md5(F.substr(longest, F.lit(8))), 1, 4), 16, 10)
-    return F.when(longest > "0000001", bin_.cast("long") % topics).otherwise(0).cast("int")
+        F.transform(words, lambda w: F.struct(F.length(w).alias("size"), w.alias("word")))
+    )["word"]
+    bin_ = F.conv(F.substring(F.md5(longest), 1, 4), 16, 10)
+    return F.when(longest != "", bin_.cast("long") % topics).otherwise(0).cast("int")
 
 
 def draw(id_: Column, text: Column) -> Column:
@@ -239,8 +239,13 @@ def sample_mixture(
     targets: dict[str, DataFrame] | None = None,
     keep: float = KEEP,
 ) -> DataFrame:
-    """The rows of ``docs`` in the sample, with their columns unchanged."""
-    rows = docs.select(whole_rows(docs).alias("whole"), *features(docs))
+    """The rows of ``docs`` in the sample, with their columns unchanged.
+
+    Rows are written with their features, so that each text is cut into words once: the cells
+    are counted from the narrow columns, and the texts are read once more for the sample.
+    """
+    told = docs.select(whole_rows(docs).alias("whole"), *features(docs))
+    rows = area(spark).put("features", told)
     counted = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     cells = bounded_cells(spark, counted, targets, keep)
     return (
