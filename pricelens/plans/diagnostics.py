@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelens import policy as P
@@ -38,48 +38,73 @@ def verdict(overall: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
 def threshold_sensitivity(lines: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:
     """High-discount exposure under each policy threshold, in one pass over the lines.
 
-    Lines are summed per customer for all thresholds at once, customers are summed to one
-    row, and that row is unfolded by threshold.
+    The step of a line is the number of thresholds that it reaches. Lines are summed per customer
+    and step, and the sums of a threshold are those of its own step and all above: over all
+    customers for the totals, over one customer's steps for its share. The plan is the same for
+    any number of thresholds.
     """
+    spark, levels = lines.sparkSession, sorted(set(policy.sensitivity))
     depth, revenue = col("discount_depth"), col("line_revenue")
-    exposed = col("margin_proxy_pct") < F.lit(policy.margin_at_risk)
-    steps = list(enumerate(policy.sensitivity))
-    per_line: list[Column] = [F.sum(revenue).alias("revenue"), F.count(F.lit(1)).alias("lines")]
-    per_customer: list[Column] = [
-        F.sum("revenue").alias("revenue"),
-        F.sum("lines").alias("lines"),
-        F.count(F.lit(1)).alias("customers"),
-    ]
-    rows: list[Column] = []
-    for i, threshold in steps:
-        high = depth >= F.lit(threshold)
-        per_line += [
-            sum_if(high, revenue).alias(f"revenue_{i}"),
-            sum_if(high, col("gross_margin_value")).alias(f"margin_{i}"),
-            count_if(high).alias(f"lines_{i}"),
-            sum_if(high & exposed, revenue).alias(f"exposed_{i}"),
-        ]
-        share = ratio(col(f"revenue_{i}"), col("revenue"), 0.0)
-        per_customer += [
-            *[F.sum(f"{n}_{i}").alias(f"{n}_{i}") for n in ("revenue", "margin", "lines", "exposed")],
-            count_if(share >= policy.high_revenue_share).alias(f"customers_{i}"),
-        ]
-        rows.append(
-            F.struct(
-                F.lit(threshold).alias("high_discount_threshold"),
-                ratio(col(f"revenue_{i}"), col("revenue")).alias("high_discount_revenue_share"),
-                ratio(col(f"lines_{i}"), col("lines")).alias("high_discount_order_item_share"),
-                ratio(col(f"margin_{i}"), col(f"revenue_{i}")).alias(
-                    "margin_proxy_pct_on_high_discount"
-                ),
-                ratio(col(f"customers_{i}"), col("customers")).alias(
-                    "customer_share_above_policy_high_discount_revenue_threshold"
-                ),
-                col(f"exposed_{i}").alias("revenue_with_margin_at_risk"),
+    reached = F.size(F.filter(F.lit(levels), lambda t: t <= depth))
+    cells = lines.groupBy("customer_id", reached.alias("step")).agg(
+        F.sum(revenue).alias("revenue"),
+        F.sum("gross_margin_value").alias("margin"),
+        F.count(F.lit(1)).alias("lines"),
+        sum_if(col("margin_proxy_pct") < F.lit(policy.margin_at_risk), revenue).alias("exposed"),
+    )
+    customer = Window.partitionBy("customer_id")
+    downward = customer.orderBy(F.desc("step"))
+    share = ratio(
+        F.sum("revenue").over(downward.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        F.sum("revenue").over(customer),
+        0.0,
+    )
+    counted = cells.select(
+        "*",
+        (share >= policy.high_revenue_share).cast("long").alias("above"),
+        F.lag("step").over(downward).isNull().cast("long").alias("customers"),
+        F.coalesce(F.lead("step").over(downward), F.lit(0)).alias("below"),
+    )
+    # The share holds for the thresholds down to the customer's next step, and is taken back there.
+    own = ("revenue", "margin", "lines", "exposed", "customers", "above")
+    back = [F.lit(0).cast(counted.schema[n].dataType).alias(n) for n in own[:-1]]
+    moved = counted.select(
+        F.inline(
+            F.array(
+                F.struct(col("step"), *own),
+                F.struct(col("below").alias("step"), *back, (-col("above")).alias("above")),
             )
         )
-    totals = lines.groupBy("customer_id").agg(*per_line).agg(*per_customer)
-    return totals.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    )
+    none = spark.range(len(levels) + 1).select(
+        col("id").cast("int").alias("step"),
+        *[F.lit(0).cast(moved.schema[n].dataType).alias(n) for n in own],
+    )
+    sums = moved.unionByName(none).groupBy("step").agg(*[F.sum(n).alias(n) for n in own])
+    # One row per step, so one task is enough.
+    every = Window.partitionBy(F.lit(0))
+    upper = every.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = sums.select(
+        "step",
+        *[F.sum(n).over(upper).alias(n) for n in own],
+        *[F.sum(n).over(every).alias(f"all_{n}") for n in ("revenue", "lines", "customers")],
+    )
+    asked = spark.range(1).select(
+        F.explode(F.lit(list(policy.sensitivity))).alias("high_discount_threshold")
+    )
+    asked = asked.withColumn(
+        "step", F.array_position(F.lit(levels), col("high_discount_threshold")).cast("int")
+    )
+    return held.join(F.broadcast(asked), "step").select(
+        "high_discount_threshold",
+        ratio(col("revenue"), col("all_revenue")).alias("high_discount_revenue_share"),
+        ratio(col("lines"), col("all_lines")).alias("high_discount_order_item_share"),
+        ratio(col("margin"), col("revenue")).alias("margin_proxy_pct_on_high_discount"),
+        ratio(col("above"), col("all_customers")).alias(
+            "customer_share_above_policy_high_discount_revenue_threshold"
+        ),
+        col("exposed").alias("revenue_with_margin_at_risk"),
+    )
 
 
 def customer_leakage(lines: DataFrame, policy: P.Policy = P.POLICY) -> DataFrame:

@@ -67,6 +67,28 @@ def test_sensitivity_without_high_lines(frame):
     assert row.margin_proxy_pct_on_high_discount is None
 
 
+def test_many_thresholds_have_the_plan_of_few(frame, lines):
+    many = P.Policy(sensitivity=tuple(round(0.004 * i, 3) for i in range(200, 0, -1)))
+    few = diagnostics.threshold_sensitivity(frame, P.Policy(sensitivity=(0.2, 0.1, 0.2)))
+    got = diagnostics.threshold_sensitivity(frame, many)
+
+    def nodes(plan):
+        return plan._jdf.queryExecution().analyzed().toString().count("\n")
+
+    assert nodes(got) == nodes(few)
+    assert sorted(r.high_discount_threshold for r in few.collect()) == [0.1, 0.2, 0.2]
+    total = lines.groupby("customer_id").line_revenue.sum()
+    rows = got.collect()
+    assert len(rows) == 200
+    for row in rows:
+        high = lines[lines.discount_depth >= row.high_discount_threshold]
+        share = high.groupby("customer_id").line_revenue.sum().reindex(total.index).fillna(0) / total
+        assert row.high_discount_revenue_share == pytest.approx(high.line_revenue.sum() / total.sum())
+        assert row[4] == pytest.approx((share >= 0.40).mean())
+        at_risk = high[high.margin_proxy_pct < 0.35].line_revenue.sum()
+        assert row.revenue_with_margin_at_risk == pytest.approx(at_risk)
+
+
 def test_concentration(area, profile):
     row = diagnostics.dependency_concentration(area, profile).first()
     data = profile.toPandas().sort_values(
