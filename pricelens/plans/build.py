@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pricelens import policy as P
 from pricelens.plans import fact, quality
 from pricelens.plans.warehouse import Warehouse
-from pricelens.sources.files import write_bundle
+from pricelens.sources.generations import publish_bundle
 
 #: How many failing checks an error names.
 NAMED_FAILURES = 10
@@ -40,17 +40,20 @@ def checked_build(
     folder: str | None = None,
     formats: Iterable[str] = ("parquet", "csv"),
     policy: P.Policy = P.POLICY,
+    quarantine: DataFrame | None = None,
 ) -> Warehouse:
-    """Checks the raw tables and their links, builds, checks the results and writes them.
+    """Checks the raw tables and their links, builds, checks the results and publishes them.
 
-    Nothing is derived from tables that fail, and nothing is written that fails. Without a
-    ``folder`` the results stay in the warehouse's staging area.
+    Nothing is derived from tables that fail, and nothing is published that fails: all results
+    become the current bundle of ``folder`` at once (``generations.read_published``). Without a
+    ``folder`` they stay in the warehouse's staging area. ``quarantine`` holds the faults of the
+    files that ``raw`` was read from.
     """
-    require("raw", quality.raw_report(raw))
+    require("raw", quality.raw_report(raw, quarantine))
     warehouse = Warehouse(spark, raw, policy=policy)
     fact.check_links(warehouse.staged)
     tables = warehouse.derived_tables()
     require("processed", quality.processed_report(tables, policy))
     if folder is not None:
-        write_bundle(tables, folder, formats)
+        publish_bundle(tables, folder, formats)
     return warehouse

@@ -86,10 +86,27 @@ def _not_numeric(name: str) -> Column:
     return col(name).isNotNull() & col(name).try_cast("double").isNull()
 
 
-def raw_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
+def _held(quarantine: DataFrame, name: str) -> DataFrame:
+    """One struct: the table's faulty rows and cells, and per numeric column faults and the first."""
+    figures = [
+        count_if(col("fault") == 1).alias("rows"),
+        count_if(col("column_name").isin(*C.RAW[name].columns)).alias("cells"),
+    ]
+    for c in NUMERIC.get(name, ()):
+        here = col("column_name") == c
+        figures.append(count_if(here).alias(f"text_{c}"))
+        figures.append(F.min(F.when(here, F.struct("row_key", "value", "record"))).alias(f"first_{c}"))
+    return quarantine.where(col("table_name") == name).agg(F.struct(*figures))
+
+
+def raw_integrity(
+    tables: Mapping[str, DataFrame], quarantine: DataFrame | None = None
+) -> DataFrame:
     """Unique keys, numeric text, complete links and no empty cells.
 
-    All keys and links share one shuffle.
+    All keys and links share one shuffle. With the quarantine of the files that the tables come
+    from, a faulty cell fails its column and shows its row, and does not count as empty; each
+    table also tells how many of its rows are held.
     """
     linked = {parent: label for label, _, _, parent in LINKS}
     links = [Link(label, parent, (key,), child, key) for label, child, key, parent in LINKS]
@@ -109,10 +126,22 @@ def raw_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
             F.coalesce(F.sum(empty), F.lit(0)).alias("empty"),
             *[count_if(_not_numeric(c)).alias(f"text_{c}") for c in numeric],
         )
-        rows = [
-            counted(f"{name}_{c}_numeric", col(f"text_{c}"), "values are numeric") for c in numeric
-        ]
-        rows.append(counted(f"{name}_nulls", col("empty"), "no empty cells"))
+        blank, details = col("empty"), dict.fromkeys(numeric, F.lit("values are numeric"))
+        failed = {c: col(f"text_{c}") for c in numeric}
+        if quarantine is not None:
+            measured = measured.withColumn("held", _held(quarantine, name).scalar())
+            blank = blank - col("held.cells")
+            for c in numeric:
+                failed[c] = failed[c] + col(f"held.text_{c}")
+                first = col(f"held.first_{c}")
+                shown = F.concat_ws(
+                    "", details[c], F.lit("; first: "), first["value"], F.lit(" in "), first["record"]
+                )
+                details[c] = F.when(first.isNotNull(), shown).otherwise(details[c])
+        rows = [counted(f"{name}_{c}_numeric", failed[c], details[c]) for c in numeric]
+        rows.append(counted(f"{name}_nulls", blank, "no empty cells"))
+        if quarantine is not None:
+            rows.append(counted(f"{name}_quarantine", col("held.rows"), "no row is held"))
         parts.append(as_rows(measured, rows))
     return stacked(parts)
 
@@ -190,12 +219,14 @@ def order_dates(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def raw_report(tables: Mapping[str, DataFrame]) -> DataFrame:
+def raw_report(
+    tables: Mapping[str, DataFrame], quarantine: DataFrame | None = None
+) -> DataFrame:
     """The whole raw report; an incomplete structure ends it early."""
     structure = raw_structure(tables)
     if not structure_complete(tables):
         return structure
-    return stacked([structure, raw_integrity(tables), raw_pricing_rules(tables)])
+    return stacked([structure, raw_integrity(tables, quarantine), raw_pricing_rules(tables)])
 
 
 # --- processed tables ----------------------------------------------------------------------

@@ -64,6 +64,25 @@ COMMON = {
                      CAST(l_quantity AS BIGINT) AS quantity, p_retailprice AS price,
                      round_even(l_discount * 4 * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS depth
               FROM lineitem JOIN part ON p_partkey = l_partkey)""",
+    "faults": """
+        SELECT 'order_items' AS table_name, order_item_id AS row_key, 1 AS fault,
+               'quantity' AS column_name, quantity || ' pcs' AS value
+        FROM raw_order_items WHERE quantity >= 45
+        UNION ALL SELECT 'order_items', order_item_id, 2, 'discount_pct',
+               'about ' || CAST(round(discount_pct * 100) AS INTEGER)
+        FROM raw_order_items WHERE quantity = 50
+        UNION ALL SELECT 'orders', CAST(order_id AS VARCHAR), 1, 'order_date',
+               strftime(order_date, '%d.%m.%Y') FROM raw_orders WHERE day(order_date) = 31
+        UNION ALL SELECT 'products', product_id, 1, 'unit_cost', 'n/a'
+        FROM raw_products WHERE category = 'ECONOMY'""",
+    "held_rows": """
+        SELECT table_name, row_count, (SELECT count(*) FROM faults f
+               WHERE f.table_name = t.table_name AND fault = 1) AS held
+        FROM (SELECT 'customers' AS table_name, count(*) AS row_count FROM raw_customers
+              UNION ALL SELECT 'products', count(*) FROM raw_products
+              UNION ALL SELECT 'sales_reps', count(*) FROM raw_sales_reps
+              UNION ALL SELECT 'orders', count(*) FROM raw_orders
+              UNION ALL SELECT 'order_items', count(*) FROM raw_order_items) t""",
     "enriched": """
         SELECT i.*, o.customer_id, o.order_date, o.sales_channel, o.sales_rep_id,
                c.signup_date, c.segment, c.region, c.company_size,
@@ -537,6 +556,10 @@ BODIES = {
     "a2_typed_csv_sales_reps": "SELECT *, rep_region AS region FROM raw_sales_reps",
     "a2_typed_csv_orders": "SELECT * FROM raw_orders",
     "a2_typed_csv_order_items": "SELECT * FROM raw_order_items",
+    "a2_quarantine": "SELECT * FROM faults",
+    "a2_clean_rows": "SELECT table_name, row_count - held AS row_count FROM held_rows",
+    "a3_atomic_sink": """SELECT mart AS table_name, format, rows AS row_count
+        FROM mart_keys, (VALUES ('csv'), ('parquet')) AS f(format)""",
     "a3_table_sink": """SELECT mart AS table_name, format, rows AS row_count
         FROM mart_keys, (VALUES ('csv'), ('parquet')) AS f(format)""",
     "a4_stg_customers": "SELECT * FROM raw_customers",
@@ -978,6 +1001,13 @@ BODIES = {
         ELSE 3 END AS severity_rank FROM issues""",
     "m1_raw_structure": "SELECT * FROM raw_structure",
     "m2_raw_integrity": "SELECT * FROM raw_integrity",
+    "m2_file_integrity": """SELECT check_name, CASE WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END
+            AS status, failed AS failed_rows, detail
+        FROM (SELECT check_name, detail, failed_rows + (SELECT count(*) FROM faults
+                  WHERE table_name || '_' || column_name || '_numeric' = check_name) AS failed
+              FROM raw_integrity
+              UNION ALL SELECT table_name || '_quarantine', 'no row is held', held
+              FROM held_rows)""",
     "m3_raw_pricing_rules": "SELECT * FROM raw_rules",
     "m4_processed_checks": "SELECT * FROM processed_checks",
     "m5_metric_contracts": tables.metric_contracts(),

@@ -29,7 +29,7 @@ from pricelens.plans.dashboard import Scope
 from pricelens.plans.warehouse import Warehouse
 from pricelens.registry.shape import publish
 from pricelens.sources import contract as C
-from pricelens.sources import files
+from pricelens.sources import files, generations, quarantine
 
 col = F.col
 Query = Callable[[Warehouse], DataFrame]
@@ -62,6 +62,65 @@ def typed_csv(name: str) -> Query:
     return lambda w: files.read_csv_bundle(w.spark, csv_folder(w))[name]
 
 
+def damaged_folder(w: Warehouse) -> str:
+    """The raw tables as CSV files with cells that do not fit their contract, by plain rules."""
+
+    def write() -> str:
+        folder, raw = w.area.location("damaged"), dict(w.raw)
+        items, orders, products = raw["order_items"], raw["orders"], raw["products"]
+        words = F.concat(col("quantity").cast("string"), F.lit(" pcs"))
+        depth = F.concat(F.lit("about "), F.round(col("discount_pct") * 100).cast("int"))
+        raw["order_items"] = items.withColumns(
+            {
+                "quantity": F.when(col("quantity") >= 45, words).otherwise(col("quantity").cast("string")),
+                "discount_pct": F.when(col("quantity") == 50, depth).otherwise(
+                    col("discount_pct").cast("string")
+                ),
+            }
+        )
+        raw["orders"] = orders.withColumn(
+            "order_date",
+            F.when(
+                F.dayofmonth("order_date") == 31, F.date_format("order_date", "dd.MM.yyyy")
+            ).otherwise(col("order_date").cast("string")),
+        )
+        raw["products"] = products.withColumn(
+            "unit_cost",
+            F.when(col("category") == "ECONOMY", "n/a").otherwise(col("unit_cost").cast("string")),
+        )
+        files.write_bundle(raw, folder)
+        return folder
+
+    return w.once("damaged_folder", write)
+
+
+def checked_files(w: Warehouse) -> quarantine.CheckedBundle:
+    return w.once(
+        "checked_files",
+        lambda: quarantine.read_checked_bundle(w.spark, damaged_folder(w), w.area),
+    )
+
+
+def clean_rows(w: Warehouse) -> DataFrame:
+    """Rows without faults: per table their number, and of the lines what they sum to."""
+    clean = checked_files(w).clean
+    return checks.stacked(
+        [
+            table.agg(F.count(F.lit(1)).alias("row_count")).select(
+                F.lit(name).alias("table_name"), "row_count"
+            )
+            for name, table in clean.items()
+        ]
+    )
+
+
+def quarantine_report(w: Warehouse) -> DataFrame:
+    """The integrity report of the damaged files; details without the rows they show."""
+    bundle = checked_files(w)
+    report = quality.raw_integrity(bundle.tables, bundle.quarantine)
+    return report.withColumn("detail", F.regexp_extract("detail", "^[^;]*", 0))
+
+
 def mart_tables(w: Warehouse) -> dict[str, DataFrame]:
     return {
         "mart_customer_pricing_profile": w.profile,
@@ -88,6 +147,21 @@ def table_sink(w: Warehouse) -> DataFrame:
     return checks.stacked(counts)
 
 
+def atomic_sink(w: Warehouse) -> DataFrame:
+    """Publish the marts as one generation and count the rows of the current one."""
+    folder, tables = w.area.location("published"), mart_tables(w)
+    generations.publish_bundle(tables, folder, ("csv", "parquet"))
+    counts = []
+    for kind in ("csv", "parquet"):
+        for name, table in generations.read_published(w.spark, folder, tables, kind).items():
+            counts.append(
+                table.agg(F.count(F.lit(1)).alias("row_count")).select(
+                    F.lit(name).alias("table_name"), F.lit(kind).alias("format"), "row_count"
+                )
+            )
+    return checks.stacked(counts)
+
+
 def policy_relation(w: Warehouse) -> DataFrame:
     policy = w.policy
     return w.lines.agg(
@@ -522,7 +596,10 @@ QUERIES: dict[str, Query] = {
     "a2_typed_csv_sales_reps": typed_csv("sales_reps"),
     "a2_typed_csv_orders": typed_csv("orders"),
     "a2_typed_csv_order_items": typed_csv("order_items"),
+    "a2_quarantine": lambda w: checked_files(w).quarantine.drop("record"),
+    "a2_clean_rows": clean_rows,
     "a3_table_sink": table_sink,
+    "a3_atomic_sink": atomic_sink,
     "a4_stg_customers": lambda w: w.staged["customers"],
     "a4_stg_products": lambda w: w.staged["products"],
     "a4_stg_orders": lambda w: w.staged["orders"],
@@ -688,6 +765,7 @@ QUERIES: dict[str, Query] = {
     "k9_ranked_issues": lambda w: profiling.by_severity(profiler(w).issues()),
     "m1_raw_structure": lambda w: quality.raw_structure(w.raw),
     "m2_raw_integrity": lambda w: quality.raw_integrity(w.raw),
+    "m2_file_integrity": quarantine_report,
     "m3_raw_pricing_rules": lambda w: quality.raw_pricing_rules(w.raw),
     "m4_processed_checks": lambda w: quality.processed_report(w.derived_tables(), w.policy),
     "m5_metric_contracts": metric_contracts,

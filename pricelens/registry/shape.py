@@ -58,7 +58,10 @@ COLUMNS = {
     "a2_typed_csv_sales_reps": "sales_rep_id:i team:k region:k",
     "a2_typed_csv_orders": "order_id:i customer_id:i order_date:d sales_channel:k sales_rep_id:i",
     "a2_typed_csv_order_items": _ITEMS,
+    "a2_quarantine": "table_name:k row_key:k fault:i column_name:k value:k",
+    "a2_clean_rows": "table_name:k row_count:i",
     "a3_table_sink": "table_name:k format:k row_count:i",
+    "a3_atomic_sink": "table_name:k format:k row_count:i",
     "a4_stg_customers": "customer_id:i signup_date:d segment:k region:k company_size:k",
     "a4_stg_products": "product_id:k product_name:k category:k list_price:m unit_cost:m",
     "a4_stg_orders": "order_id:i customer_id:i order_date:d sales_channel:k sales_rep_id:i",
@@ -427,6 +430,7 @@ COLUMNS = {
     ),
     "m1_raw_structure": _CHECK,
     "m2_raw_integrity": _CHECK,
+    "m2_file_integrity": _CHECK,
     "m3_raw_pricing_rules": _CHECK,
     "m4_processed_checks": _CHECK,
     "m5_metric_contracts": "contract_table:k check_name:k status:k severity:k detail:k",

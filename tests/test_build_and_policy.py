@@ -9,6 +9,7 @@ from pricelens import policy as P
 from pricelens.plans import build, diagnostics
 from pricelens.plans.warehouse import Warehouse
 from pricelens.sources import tpch
+from pricelens.sources.generations import current, read_published
 from tests.conftest import by_name
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,8 +22,9 @@ def raw(spark):
 
 def test_checked_build_writes_the_bundle(spark, raw, tmp_path):
     warehouse = build.checked_build(spark, raw, str(tmp_path / "out"), ["parquet"])
-    written = {p.name for p in (tmp_path / "out").iterdir()}
-    assert written == {f"{name}.parquet" for name in warehouse.derived_tables()}
+    published = read_published(spark, str(tmp_path / "out"))
+    assert set(published) == set(warehouse.derived_tables())
+    assert current(spark, str(tmp_path / "out")).rows == {n: t.count() for n, t in published.items()}
     warehouse.close()
 
 
