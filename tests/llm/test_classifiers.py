@@ -150,3 +150,35 @@ def test_text_ids(spark, module):
     assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in rows)
     scores = {r["doc_id"]: r["score"] for r in got}
     assert len({round(v, 9) for v in scores.values()}) == 2
+
+
+def test_quality_learns_from_every_labelled_document(spark, documents, monkeypatch):
+    monkeypatch.setattr("pricelens.llm.labelled.MAX_TRAINING_DOCS", 10)
+    texts = [(i, "Calm words follow here." * (1 + i % 5) if i % 3 else "$$ | BUY!! " * 9) for i in range(120)]
+    labels = local_frame(spark, [(i, int(i % 3 > 0), 0, "x") for i in range(120)], LABELS)
+    seen = []
+    learnt = quality.learnt
+    monkeypatch.setattr(quality, "learnt", lambda summed, n: seen.append(
+        summed(lambda x, y: np.array([[len(x), y.sum()]], dtype=float))
+    ) or learnt(summed, n))
+    model = quality.fit_quality(documents(texts), labels)
+    told = [i for i in range(120) if zlib.crc32(str(i).encode()) % 5 != 0]
+    assert seen[0].tolist() == [[len(told), sum(i % 3 > 0 for i in told)]]
+    x = np.concatenate([quality.block_features(d, o) for _, _, d, o in blocks([texts[i][1] for i in told])])
+    want = quality.bradley_terry(x, np.array([int(i % 3 > 0) for i in told]))
+    assert all(np.allclose(model[k], want[k], atol=1e-6) for k in want)
+
+
+def test_weights_are_those_of_all_pairs():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3))
+    labels = (x @ [1.0, -0.5, 0.0] + rng.normal(size=300) > 0.3).astype(int)
+    model = quality.bradley_terry(x, labels)
+    scaled = np.clip((x - x.mean(axis=0)) / x.std(axis=0), -8, 8)
+    gap = (scaled[labels == 1][:, None, :] - scaled[labels == 0][None, :, :]).reshape(-1, 3)
+    w = np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-gap @ w))
+        step = gap.T @ (p - 1) / len(gap) + quality.RIDGE * w
+        w -= np.linalg.solve((gap * (p * (1 - p))[:, None]).T @ gap / len(gap) + quality.RIDGE * np.eye(3), step)
+    assert np.abs(model["weights"] - w).max() < 0.005
