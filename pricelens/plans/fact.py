@@ -44,16 +44,16 @@ def enriched(staged: Mapping[str, DataFrame]) -> DataFrame:
 
     Lines without order, customer or product drop out; a missing rep leaves NULLs.
     Customers and reps are joined to the orders first, so only order headers are shuffled
-    by customer and rep, and the lines move once, by order. Join strategy is left to the
-    optimizer: it broadcasts a dimension only below its size limit, and adaptive execution
-    splits hot join keys.
+    by customer and rep, and the lines move once, by order, before the names and prices of
+    their products widen them. Join strategy is left to the optimizer: it broadcasts a
+    dimension only below its size limit, and adaptive execution splits hot join keys.
     """
     headers = (
         staged["orders"]
         .join(staged["customers"], "customer_id")
         .join(staged["sales_reps"], "sales_rep_id", "left")
     )
-    joined = staged["order_items"].join(staged["products"], "product_id").join(headers, "order_id")
+    joined = staged["order_items"].join(headers, "order_id").join(staged["products"], "product_id")
     days = F.datediff("order_date", "signup_date").alias("days_since_signup")
     return joined.select(*ENRICHED_COLUMNS[:-1], days)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,21 @@ def test_margin_check_needs_both_tables(spark, area, four_lines):
     for p, lines, want in ((profile, paid, "PASS"), (profile.limit(0), paid, None), (profile, paid.limit(0), None)):
         report = by_name(quality._margin_check(p, lines))
         assert (report[name].status if name in report else None) == want
+
+
+def test_lines_move_once_before_products_widen_them(spark, monkeypatch):
+    w = Warehouse.from_folder(spark, "/root/testdata/sf0.001")
+    near, put = {}, w.area.put
+
+    def noted(name, table, by=None):
+        near[name] = by
+        return put(name, table, by)
+
+    monkeypatch.setattr(w.area, "put", noted)
+    assert w.enriched.count() > 0 and near["order_item_enriched"] is None
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = sort_merge_keys(fact.enriched(w.staged))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "product_id" in joins[0] and "order_id" in joins[1]
