@@ -43,23 +43,27 @@ SCOPES = {"open": OPEN, "narrow": NARROW}
 # --- sources and sinks ---------------------------------------------------------------------
 
 
-def csv_folder(w: Warehouse) -> str:
-    """The raw tables as CSV, written once per warehouse."""
+# Text that the queries write for themselves to read; part files are small enough to read whole.
+TEXT_CODEC = "gzip"
 
-    def write() -> str:
-        folder = w.area.location("csv")
-        files.write_bundle(w.raw, folder)
-        return folder
 
-    return w.once("csv_folder", write)
+def csv_folder(w: Warehouse, *names: str) -> str:
+    """The named raw tables as CSV, each written once per warehouse."""
+    folder = w.once("csv_folder", lambda: w.area.location("csv"))
+    for name in names:
+        w.once(
+            f"csv_{name}",
+            lambda name=name: files.write_bundle({name: w.raw[name]}, folder, compression=TEXT_CODEC),
+        )
+    return folder
 
 
 def csv_source(name: str) -> Query:
-    return lambda w: files.read_csv(w.spark, csv_folder(w), name, typed=False)
+    return lambda w: files.read_csv(w.spark, csv_folder(w, name), name, typed=False)
 
 
 def typed_csv(name: str) -> Query:
-    return lambda w: files.read_csv_bundle(w.spark, csv_folder(w))[name]
+    return lambda w: files.read_csv_bundle(w.spark, csv_folder(w, *C.RAW))[name]
 
 
 def damaged_folder(w: Warehouse) -> str:
@@ -88,7 +92,7 @@ def damaged_folder(w: Warehouse) -> str:
             "unit_cost",
             F.when(col("category") == "ECONOMY", "n/a").otherwise(col("unit_cost").cast("string")),
         )
-        files.write_bundle(raw, folder)
+        files.write_bundle(raw, folder, compression=TEXT_CODEC)
         return folder
 
     return w.once("damaged_folder", write)
@@ -196,7 +200,7 @@ def json_row_sets(w: Warehouse) -> DataFrame:
         "account_facts": (w.account_facts, "filtered_revenue"),
     }
     folder = w.area.location("json")
-    files.write_bundle({name: table for name, (table, _) in sets.items()}, folder, ["json"])
+    files.write_bundle({name: table for name, (table, _) in sets.items()}, folder, ["json"], TEXT_CODEC)
     read = []
     for name, (table, amount) in sets.items():
         back = w.spark.read.schema(table.schema).json(f"{folder}/{name}.json")

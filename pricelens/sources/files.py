@@ -55,20 +55,28 @@ def each_source(read: Callable[[str], DataFrame], folder: str) -> dict[str, Data
 
 
 def write_bundle(
-    tables: Mapping[str, DataFrame], folder: str, formats: Iterable[str] = ("csv",)
+    tables: Mapping[str, DataFrame],
+    folder: str,
+    formats: Iterable[str] = ("csv",),
+    compression: str | None = None,
 ) -> None:
     """Write each table to ``<folder>/<name>.<format>`` with one part file per task.
 
+    ``compression`` names a codec for the part files; readers tell it by their ending.
     Tables are replaced one by one; ``generations.publish_bundle`` replaces all at once.
     """
     kinds = list(formats)
     for name, table in tables.items():
         for kind in kinds:
-            save(table, folder, name, kind)
+            save(table, folder, name, kind, compression)
 
 
-def save(table: DataFrame, folder: str, name: str, kind: str) -> None:
+def save(
+    table: DataFrame, folder: str, name: str, kind: str, compression: str | None = None
+) -> None:
     writer = table.write.mode("overwrite")
+    if compression:
+        writer = writer.option("compression", compression)
     if kind == "csv":
         writer = writer.option("header", True)
     writer.format(kind).save(f"{folder}/{name}.{kind}")

@@ -138,3 +138,14 @@ def test_lines_move_once_before_products_widen_them(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "product_id" in joins[0] and "order_id" in joins[1]
+
+
+def test_a_csv_query_writes_its_own_table_compressed(spark):
+    with Warehouse.from_folder(spark, "/root/testdata/sf0.001") as w:
+        found = queries.run("a1_csv_products", w).count()
+        folder = Path(queries.csv_folder(w))
+        assert [f.name for f in folder.iterdir()] == ["products.csv"]
+        assert {f.suffix for f in (folder / "products.csv").glob("part-*")} == {".gz"}
+        assert found == w.raw["products"].count()
+        assert queries.run("a2_typed_csv_products", w).count() == found
+        assert len([*folder.iterdir()]) == 5
