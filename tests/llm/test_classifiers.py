@@ -182,3 +182,18 @@ def test_weights_are_those_of_all_pairs():
         step = gap.T @ (p - 1) / len(gap) + quality.RIDGE * w
         w -= np.linalg.solve((gap * (p * (1 - p))[:, None]).T @ gap / len(gap) + quality.RIDGE * np.eye(3), step)
     assert np.abs(model["weights"] - w).max() < 0.005
+
+
+def test_a_step_starts_python_only_for_the_features(spark, monkeypatch):
+    values = [(i % 2, [float(i % 7 - j) for j in range(len(quality.FEATURES))]) for i in range(90)]
+    rows = local_frame(spark, values, "label int, features array<double>").repartition(5)
+    started, map_in_arrow = [], type(rows).mapInArrow
+    monkeypatch.setattr(
+        type(rows), "mapInArrow", lambda frame, *a, **k: started.append(1) or map_in_arrow(frame, *a, **k)
+    )
+    w = np.linspace(-1, 1, len(quality.FEATURES))
+    part = lambda x, y: quality._pair_sums(x, y, w, 6.0)
+    found = quality._summed_over(rows)(part)
+    want = part(np.array([x for _, x in values]), np.array([y for y, _ in values]))
+    assert len(started) == 1 and np.allclose(found, want)
+    assert quality._summed_over(rows.limit(0))(part).shape == want.shape
