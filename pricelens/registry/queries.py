@@ -494,6 +494,12 @@ def profiler(w: Warehouse) -> profiling.TableProfiler:
     return w.once("profiler", lambda: profiling.TableProfiler(w.area, all_tables(w), repeats))
 
 
+def customer_links(w: Warehouse) -> dict[str, DataFrame]:
+    """The tables whose links and customers are counted; no other is built for it."""
+    scored = {"customer_pricing_profile": w.profile, "customer_risk_scores": w.scores}
+    return {name: w.raw[name] for name in C.RAW} | scored
+
+
 def all_tables(w: Warehouse) -> dict[str, DataFrame]:
     return {**{name: w.raw[name] for name in C.RAW}, **w.derived_tables()}
 
@@ -764,8 +770,8 @@ QUERIES: dict[str, Query] = {
     "k4_top_values": lambda w: profiler(w).top_values(),
     "k5_numeric_summary": lambda w: profiler(w).numeric_summary(),
     "k6_column_issues": lambda w: profiler(w).issues(),
-    "k7_join_counts": lambda w: profiling.join_counts(all_tables(w)),
-    "k8_population_coverage": lambda w: profiling.population_coverage(all_tables(w)),
+    "k7_join_counts": lambda w: profiling.join_counts(customer_links(w)),
+    "k8_population_coverage": lambda w: profiling.population_coverage(customer_links(w)),
     "k9_ranked_issues": lambda w: profiling.by_severity(profiler(w).issues()),
     "m1_raw_structure": lambda w: quality.raw_structure(w.raw),
     "m2_raw_integrity": lambda w: quality.raw_integrity(w.raw),

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import types as T
 
 from pricelens.plans import profiling
+from pricelens.plans.warehouse import Warehouse
+from pricelens.registry import queries
 from pricelens.sources import contract as C
 
 
@@ -183,3 +185,10 @@ def test_severity_order(spark):
     rows = [("a", "c", s, "t", "") for s in ("Low", "High", "Medium")]
     table = spark.createDataFrame(rows, list(profiling.ISSUE_COLUMNS))
     assert [r.severity for r in profiling.by_severity(table).collect()] == ["High", "Medium", "Low"]
+
+
+def test_join_counts_build_no_other_table(spark):
+    with Warehouse.from_folder(spark, "/root/testdata/sf0.001") as w:
+        assert queries.run("k7_join_counts", w).count() == len(profiling.JOIN_RULES)
+        assert queries.run("k8_population_coverage", w).count() == 1
+        assert "segments" not in w.__dict__ and "median_discounts" not in w.__dict__
