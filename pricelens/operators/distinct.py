@@ -29,6 +29,14 @@ def whole_number(value: Column, kind: T.DataType) -> Column | None:
     return F.unix_date(value).cast("long") if isinstance(kind, T.DateType) else None
 
 
+def least_distinct(value: Column) -> Column:
+    """An aggregate that no column has fewer different non-NULL values than: the hash slots, of 64,
+    that its values fill. One number per task, whatever the values; not exact beyond one value."""
+    slot = F.pmod(F.xxhash64(value), F.lit(64)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot)
+    return F.bit_count(F.coalesce(F.bit_or(F.when(value.isNotNull(), bit)), F.lit(0).cast("long")))
+
+
 def _fits_64_bits(kind: T.DataType) -> bool:
     return isinstance(kind, _SHORT) or (isinstance(kind, T.DecimalType) and kind.precision <= 18)
 

@@ -491,7 +491,18 @@ def cell_spotlight(w: Warehouse) -> DataFrame:
 def profiler(w: Warehouse) -> profiling.TableProfiler:
     """Shared profiles; the pricing fact holds the enriched lines' columns on the same rows."""
     repeats = {"order_item_enriched": "order_item_pricing_metrics"}
-    return w.once("profiler", lambda: profiling.TableProfiler(w.area, all_tables(w), repeats))
+    return w.once("profiler", lambda: profiling.TableProfiler(w.area, written_tables(w), repeats))
+
+
+def written_tables(w: Warehouse) -> dict[str, DataFrame]:
+    """All tables, with the joins and aggregates among them written, as a profile scans each often.
+
+    The pricing fact stays a view; the star join then reads the written lines.
+    """
+    w.raw.update({name: w.area.put(f"raw_{name}", w.raw[name]) for name in C.RAW})
+    tables = all_tables(w)
+    marts_ = ("segment_channel_diagnostics", "risk_tier_summary", "main_driver_summary")
+    return tables | {name: w.area.put(name, tables[name]) for name in marts_}
 
 
 def customer_links(w: Warehouse) -> dict[str, DataFrame]:

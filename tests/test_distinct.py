@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pricelens.operators.distinct import distinct_counts
+from pricelens.operators.distinct import distinct_counts, least_distinct
 from tests.conftest import local_frame
 
 DDL = "a long, b int, d date, x double, s string, `p.q` string, m decimal(12,2), t boolean, w decimal(30,2)"
@@ -63,3 +63,12 @@ def test_empty_table_and_no_column(spark, frame):
     assert {(r[0], r[1]) for r in got} == {("a", 0), ("s", 0)}
     with pytest.raises(ValueError):
         distinct_counts(frame, [])
+
+
+def test_least_distinct_is_never_more_than_the_count(spark):
+    kinds = [(0.0, 0), (-0.0, 1), (None, None)] + [(float(i), i % 3) for i in range(500)]
+    table = local_frame(spark, kinds, "x double, b int")
+    found = table.agg(least_distinct(F.col("x")).alias("x"), least_distinct(F.col("b")).alias("b")).first()
+    assert 5 < found.x <= 64 and 1 <= found.b <= 3
+    one = table.where("x = 0").agg(least_distinct(F.col("x")), least_distinct(F.lit(None).cast("double"))).first()
+    assert tuple(one) == (1, 0)

@@ -3,12 +3,15 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelens.plans import profiling
 from pricelens.plans.warehouse import Warehouse
 from pricelens.registry import queries
 from pricelens.sources import contract as C
+from pricelens.sources.area import StagingArea
+from tests.conftest import local_frame
 
 
 @pytest.fixture(scope="module")
@@ -187,8 +190,56 @@ def test_severity_order(spark):
     assert [r.severity for r in profiling.by_severity(table).collect()] == ["High", "Medium", "Low"]
 
 
+def test_issues_count_only_what_they_depend_on(spark, monkeypatch):
+    with StagingArea(spark) as area:
+        rows = [(f"k{i // 2}", i / 7, float(i % 5), float(i % 6), None, float(i)) for i in range(200)]
+        table = local_frame(
+            spark, rows, "order_item_id string, many double, few double, six double, none double, unit_price double"
+        )
+        counted, count = [], profiling.distinct_counts
+        monkeypatch.setattr(
+            profiling, "distinct_counts", lambda t, names, dense: counted.extend(names) or count(t, names, dense)
+        )
+        repeats = {"order_item_enriched": "order_items"}
+        tables = {"order_items": table, "order_item_enriched": table}
+        profiler = profiling.TableProfiler(area, tables, repeats)
+        found = {(r.table_name, r.column_name, r.issue_type, r.detail) for r in profiler.column_issues().collect()}
+        assert "many" not in counted and "unit_price" not in counted
+        assert counted.count("order_item_id") == 1
+        low = {(t, "few", "low_cardinality_surprise", "5 distinct values") for t in tables}
+        keys = {(t, "order_item_id", "duplicate_risk_identifier", "cardinality ratio 50.00%") for t in tables}
+        nulls = {(t, "none", "high_null_rate", "null rate 100.00%") for t in tables}
+        assert found == low | keys | nulls
+        full = profiling.TableProfiler(area, tables, repeats)
+        full.column_profile()
+        assert {tuple(r) for r in full.column_issues().collect()} == {tuple(r) for r in profiler.column_issues().collect()}
+
+
+def test_an_aggregate_of_facts_fits_generated_code(spark, area):
+    names = [f"price_{i}" for i in range(40)]
+    table = local_frame(spark, [(1.0,) * 40, (2.0,) * 40], ", ".join(f"{n} double" for n in names))
+    profiler = profiling.TableProfiler(area, {"t": table})
+    widths = []
+    at = range(0, 40, profiling.FACTS_AT_ONCE)
+    for begin in at:
+        shapes = [profiler._shape(f, "metric") for f in table.schema.fields[begin : begin + profiling.FACTS_AT_ONCE]]
+        plan = table.agg(F.count(F.lit(1)), *shapes)._jdf.queryExecution().executedPlan()
+        leaf = plan.toString()
+        widths.append(leaf.count("partial_"))
+    assert max(widths) < 100
+    assert profiler._facts.count() == 40 and {r.rows for r in profiler._facts.collect()} == {2}
+
+
 def test_join_counts_build_no_other_table(spark):
     with Warehouse.from_folder(spark, "/root/testdata/sf0.001") as w:
         assert queries.run("k7_join_counts", w).count() == len(profiling.JOIN_RULES)
         assert queries.run("k8_population_coverage", w).count() == 1
         assert "segments" not in w.__dict__ and "median_discounts" not in w.__dict__
+
+
+def test_a_profile_reads_written_tables(spark):
+    with Warehouse.from_folder(spark, "/root/testdata/sf0.001") as w:
+        tables = queries.profiler(w).tables
+        for name in (*C.RAW, "segment_channel_diagnostics", "risk_tier_summary", "main_driver_summary"):
+            plan = tables[name]._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan and "Aggregate" not in plan
