@@ -16,6 +16,9 @@ from pricelens.sources import tpch
 from pricelens.sources.area import StagingArea
 from pricelens.sources.staging import staged_tables
 
+# Lines in a task that sums them by customer and another column: about 200 MB of groups.
+LINES_A_TASK = 250_000
+
 
 class Warehouse:
     """A snapshot of the five input tables and what is derived from them.
@@ -61,13 +64,14 @@ class Warehouse:
 
     @cached_property
     def staged(self) -> dict[str, DataFrame]:
-        """The staging models; products are written, so their true size decides the join.
+        """The staging models; products and reps are written, so their true size decides the join.
 
         A grouped or derived table is only estimated, and never small at scale: lines would
-        be shuffled on a few product ids to meet it.
+        be shuffled on a few product ids, and order headers on a few reps, to meet it.
         """
         models = staged_tables(self.raw)
-        return models | {"products": self.area.put("products", models["products"])}
+        written = ("products", "sales_reps")
+        return models | {name: self.area.put(name, models[name]) for name in written}
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -83,6 +87,20 @@ class Warehouse:
         """The pricing fact."""
         return fact.pricing_metrics(self.enriched, self.policy, self.peer_baseline)
 
+    @cached_property
+    def lines_by_customer(self) -> DataFrame:
+        """The pricing fact with all lines of a customer in one partition.
+
+        For plans that count distinct values beside other sums per customer: over ``lines`` they
+        shuffle the buffers of all sums per customer and value, nearly one row per line, and the
+        merged buffers once more. Here the stored columns a plan reads move once, and everything
+        per customer is summed where it lies. The number of lines decides the number of tasks, so
+        that their groups fit in memory; a customer with many lines adds time, not groups.
+        """
+        tasks = self.enriched.count() // LINES_A_TASK + 1
+        placed = self.enriched.repartition(tasks, "customer_id")
+        return fact.pricing_metrics(placed, self.policy, self.peer_baseline)
+
     @cached_property
     def peer_baseline(self) -> DataFrame:
         """Mean realization per product and channel, computed once and of known size.

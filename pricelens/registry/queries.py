@@ -329,7 +329,7 @@ def path_parity(w: Warehouse) -> DataFrame:
             ),
             sql_models.parity(
                 "customers",
-                sql_models.customers(w.lines, w.ledger),
+                sql_models.customers(w.lines_by_customer, w.ledger),
                 w.profile,
                 ["customer_id"],
             ),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from pricelens.functions.numeric import weighted_mean
 from pricelens.operators import ordered
-from pricelens.plans import customers, dashboard, fact, quality
+from pricelens.plans import customers, dashboard, fact, quality, sql_models
+from pricelens.plans import warehouse as warehouses
 from pricelens.plans.dashboard import Scope
 from pricelens.plans.warehouse import Warehouse
 from pricelens.registry import queries
@@ -55,6 +56,67 @@ def test_products_are_broadcast_to_the_lines(warehouse, small_broadcasts):
     assert not [k for k in sort_merge_keys(frame) if "product_id" in k]
 
 
+def test_reps_are_broadcast_to_the_orders(warehouse, small_broadcasts):
+    frame = fact.enriched(warehouse.staged)
+    assert not [k for k in sort_merge_keys(frame) if "sales_rep_id" in k]
+
+
+def test_customer_sums_by_sql_move_stored_lines_and_no_buffers(spark, monkeypatch):
+    monkeypatch.setattr(warehouses, "LINES_A_TASK", 1000)
+    with Warehouse.from_folder(spark, "/root/testdata/sf0.001") as w:
+        shuffles = re.findall(r"hashpartitioning\((.*)\), (\w+)", plan(queries.run("c11_path_parity", w)))
+        tasks = w.lines.count() // 1000 + 1
+    assert not [keys for keys, _ in shuffles if "customer_id" in keys and "product_id" in keys]
+    moved = [keys for keys, kind in shuffles if kind == "REPARTITION_BY_NUM"]
+    assert tasks > 1 and [re.sub(r"#\d+L?", "", keys) for keys in moved] == [f"customer_id, {tasks}"]
+
+
+def test_lines_by_customer_give_the_sums_of_all_lines(spark, raw_tables, monkeypatch):
+    monkeypatch.setattr(warehouses, "LINES_A_TASK", 10)
+    orders = [(f"O{i}", "C1" if i % 4 else f"C{i}", "2024-01-05", "Online", "R1") for i in range(16)]
+    items = [
+        (f"I{i}", f"O{i % 16}", f"P{i % 3}", i % 7, 100.0, 100.0 - i % 9, i % 9 / 100 if i % 11 else None)
+        for i in range(64)
+    ]
+    raw = raw_tables | {
+        "customers": local_frame(
+            spark,
+            [(f"C{i}", "2023-01-01", "S1", "North", "Large") for i in range(16)],
+            "customer_id string, signup_date string, segment string, region string,"
+            " company_size string",
+        ),
+        "products": local_frame(
+            spark,
+            [(f"P{i}", f"Product {i}", "K1", 100.0, 40.0) for i in range(3)],
+            "product_id string, product_name string, category string, list_price double,"
+            " unit_cost double",
+        ),
+        "orders": local_frame(
+            spark,
+            orders,
+            "order_id string, customer_id string, order_date string, sales_channel string,"
+            " sales_rep_id string",
+        ),
+        "order_items": local_frame(
+            spark,
+            items,
+            "order_item_id string, order_id string, product_id string, quantity bigint,"
+            " list_price_at_sale double, realized_unit_price double, discount_pct double",
+        ),
+    }
+    with Warehouse(spark, raw) as w:
+        assert w.lines_by_customer.rdd.getNumPartitions() == 7
+        got, want = (
+            by_name(sql_models.customers(lines, w.ledger), "customer_id")
+            for lines in (w.lines_by_customer, w.lines)
+        )
+        assert got.keys() == want.keys() == {"C0", "C1", "C4", "C8", "C12"}
+        assert got["C1"].total_order_items == 48 and got["C1"].product_diversity == 3
+        for key, row in want.items():
+            assert got[key].asDict() == pytest.approx(row.asDict())
+        assert queries.run("c11_path_parity", w).agg(F.sum("differing_rows")).first()[0] == 0
+
+
 @pytest.mark.parametrize("limit", ["-1", "10m"])
 def test_no_join_on_a_group_alone(spark, warehouse, limit):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
